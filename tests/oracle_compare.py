@@ -1,0 +1,90 @@
+"""Run registered queries on Spark and their DuckDB oracles; compare.
+
+Usage: python tests/oracle_compare.py [sf_dir] [query ...]
+Compares row count, column names and the order-insensitive multiset of
+rows (floats as repr; dates and strings as text).
+"""
+from __future__ import annotations
+
+import math
+import sys
+import time
+
+import duckdb
+
+from talentmatch.session import TABLES, get_spark
+
+
+def _norm(v):
+    if v is None:
+        return None
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "NaN"
+        return repr(round(v, 9))
+    return str(v)
+
+
+def rows_of(records, cols):
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    return sorted((tuple(_norm(r[i]) for i in order) for r in records), key=repr)
+
+
+def duck(sf_dir):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def compare(spark, con, name, fn, sql, sf_dir):
+    t = time.time()
+    sdf = fn(spark, sf_dir)
+    scols = sdf.columns
+    srows = [tuple(r) for r in sdf.collect()]
+    ts = time.time() - t
+    rel = con.sql(sql)
+    dcols = rel.columns
+    drows = rel.fetchall()
+    problems = []
+    if sorted(scols) != sorted(dcols):
+        problems.append(f"columns spark={scols} duck={dcols}")
+    if len(srows) != len(drows):
+        problems.append(f"rows spark={len(srows)} duck={len(drows)}")
+    if not problems:
+        a, b = rows_of(srows, scols), rows_of(drows, dcols)
+        if a != b:
+            sa, sb = set(a), set(b)
+            only_s = [x for x in a if x not in sb][:3]
+            only_d = [x for x in b if x not in sa][:3]
+            problems.append(f"values differ; spark-only {only_s} duck-only {only_d}")
+    return problems, len(srows), ts
+
+
+def main(argv):
+    sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
+    only = set(argv[2:])
+    sys.path.insert(0, ".")
+    from __spark_entry__ import oracle_sql, queries
+    spark = get_spark("local[8]")
+    con = duck(sf_dir)
+    qs, os_ = queries(), oracle_sql()
+    bad = 0
+    for name in sorted(qs):
+        if only and name not in only:
+            continue
+        if name not in os_:
+            print(f"-- {name}: no oracle (rows-only)")
+            continue
+        try:
+            problems, n, ts = compare(spark, con, name, qs[name], os_[name], sf_dir)
+        except Exception as e:  # noqa: BLE001
+            problems, n, ts = [f"error: {str(e)[:1500]}"], -1, 0
+        bad += bool(problems)
+        print(f"{'OK ' if not problems else 'BAD'} {name:26s} rows={n:7d} {ts:5.1f}s "
+              + "; ".join(problems)[:3000], flush=True)
+    print("mismatches:", bad)
+
+
+if __name__ == "__main__":
+    main(sys.argv)
