@@ -43,24 +43,27 @@ def _block_counts(n_left: int, n_right: int, block_rows: int, target_groups: int
 
 
 def _topk_rows(scores: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """Top k per row of ``scores`` by (rounded score desc, right id asc)."""
+    """Top k per row of ``scores`` by (rounded score desc, right id asc).
+
+    Columns must be in ascending right-id order.  Scores are compared as
+    integers of 1e-6 units, i.e. rounded to 6 decimals."""
     n_l, n_r = scores.shape
-    order = np.argsort(right_ids, kind="stable")
-    scores = scores[:, order]
-    right_ids = right_ids[order]
     kk = min(k, n_r)
-    rounded = np.round(scores, SCORE_DECIMALS)
+    q = np.rint(scores * 10.0 ** SCORE_DECIMALS)
     if kk < n_r:
-        thr = np.partition(rounded, n_r - kk, axis=1)[:, n_r - kk]
-        rows, cols = np.nonzero(rounded >= thr[:, None])
+        # exactly kk per row in O(n): everything above the kk-th largest
+        # value, then the lowest columns among those equal to it
+        kth = np.argpartition(-q, kk - 1, axis=1)[:, kk - 1]
+        thr = q[np.arange(n_l), kth][:, None]
+        gt = q > thr
+        eq = q == thr
+        need = kk - gt.sum(axis=1, keepdims=True, dtype=np.int32)
+        rows, cols = np.nonzero(gt | (eq & (np.cumsum(eq, axis=1, dtype=np.int32) <= need)))
     else:
         rows, cols = np.divmod(np.arange(n_l * n_r), n_r)
     # rows ascending, then score descending, then column (= right id) ascending
-    sel = np.lexsort((cols, -rounded[rows, cols], rows))
+    sel = np.lexsort((cols, -q[rows, cols], rows))
     rows, cols = rows[sel], cols[sel]
-    starts = np.searchsorted(rows, rows, side="left")
-    keep = (np.arange(len(rows)) - starts) < kk
-    rows, cols = rows[keep], cols[keep]
     return pd.DataFrame({"left_id": left_ids[rows], "right_id": right_ids[cols],
                          "score": scores[rows, cols]})
 
@@ -156,6 +159,7 @@ def topk_cosine(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dense
             return pd.DataFrame({"left_id": pd.Series([], dtype="int64"),
                                  "right_id": pd.Series([], dtype="int64"),
                                  "score": pd.Series([], dtype="float64")})
+        rpdf = rpdf.sort_values("id", kind="stable").reset_index(drop=True)
         if kind == "dense":
             s = _dense_scores(lpdf["vec"], rpdf["vec"])
         else:

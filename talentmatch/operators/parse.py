@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from talentmatch.functions import constants as K
 from talentmatch.functions import resume as R
 from talentmatch.functions.text import is_blank
+from talentmatch.session import spread
 
 RECORD_COLUMNS = ("name", "email", "phone", "skills", "experience", "education",
                   "raw_text", "file", "text_length", "error")
@@ -35,7 +36,7 @@ def parse_resumes(df: DataFrame, text_col: str = "text", path_col: str | None =
     text = F.col(text_col)
     path = F.col(path_col) if path_col else F.lit(None).cast("string")
 
-    stage1 = df.select(
+    stage1 = spread(df).select(
         *keep,
         F.length(text).cast("bigint").alias("_len"),
         is_blank(text).alias("_blank"),

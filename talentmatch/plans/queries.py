@@ -23,7 +23,7 @@ from talentmatch.operators import tfidf as TF
 from talentmatch.operators.ingest import first_nonempty
 from talentmatch.operators.parse import parse_resumes
 from talentmatch.operators.profiles import manual_profiles, resolve_profiles
-from talentmatch.session import scratch_path, table
+from talentmatch.session import scratch_path, spread, table
 from talentmatch.sources import fixtures as FX
 from talentmatch.sources import jobs_csv as J
 from talentmatch.sources import resume_files as RF
@@ -41,7 +41,7 @@ def documents(spark, sf):
 
 
 def clean_documents(spark, sf):
-    return documents(spark, sf).select("doc_id", R.clean_text(F.col("text")).alias("c"))
+    return spread(documents(spark, sf)).select("doc_id", R.clean_text(F.col("text")).alias("c"))
 
 
 def parsed_resumes(spark, sf):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from talentmatch.functions import constants as K
 from talentmatch.functions.text import decode_entities, element_text
+from talentmatch.session import spread
 
 
 def _class_attr(token: str) -> str:
@@ -66,7 +67,7 @@ def extract_cards(pages: DataFrame, *, page_id: str = "page_id", html: str = "ht
     chosen = splits[-1]
     for s in reversed(splits[:-1]):
         chosen = F.when(F.size(s) > 1, s).otherwise(chosen)
-    cards = pages.select(
+    cards = spread(pages).select(
         F.col(page_id).alias("page_id"),
         F.posexplode(F.slice(chosen, 2, max_cards)).alias("card_no", "card"))
     card = F.col("card")
