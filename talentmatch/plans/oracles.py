@@ -403,3 +403,8 @@ ORACLES["first_nonempty_source"] = f"""with {cards_ctes()}, {feed_ctes()},
 u as (select title, company, location, link, source, date_scraped, 0 prio from cards
       union all select title, company, location, link, source, date_scraped, 1 prio from feed)
 select title, company, location, link, source, date_scraped from u where prio = (select min(prio) from u)"""
+ORACLES["stream_job_snapshot"] = f"""with {cards_ctes()}
+select page_id, card_no, {strip('lower(title)')} title, {strip('lower(company)')} company,
+  {strip('lower(location)')} location, link, source, DATE '2025-08-17' date_scraped,
+  coalesce(cast(contains(lower({strip('lower(location)')}), 'remote') as int), 0) is_remote
+from cards where page_id % 2 = 1"""

@@ -45,7 +45,9 @@ def start_snapshot_stream(spark: SparkSession, landing: str, snapshot: str, chec
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
             return
-        clean_jobs(newest_landing(batch)).write.mode("overwrite").parquet(snapshot)
+        # partition folders of the landing add columns; keep the landed ones
+        landed = batch.select(*schema.fieldNames())
+        clean_jobs(newest_landing(landed)).write.mode("overwrite").parquet(snapshot)
 
     stream = spark.readStream.schema(schema).parquet(landing)
     return (stream.writeStream.foreachBatch(write_batch)
