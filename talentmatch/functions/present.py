@@ -18,9 +18,12 @@ def score_band(score: Column) -> Column:
 
 
 def score_pct(score: Column) -> Column:
-    """``"%.0f" % (score * 100)`` followed by ``%``: round half to even."""
-    return F.concat(F.bround(score.cast("double") * 100, 0).cast("bigint").cast("string"),
-                    F.lit("%"))
+    """``"%.0f" % (score * 100)`` followed by ``%``: round half to even;
+    a NaN score prints as ``nan%``."""
+    s = score.cast("double")
+    digits = F.when(F.isnan(s), F.lit("nan")) \
+        .otherwise(F.bround(s * 100, 0).cast("bigint").cast("string"))
+    return F.concat(digits, F.lit("%"))
 
 
 def skills_summary(skills: Column) -> Column:
