@@ -68,58 +68,98 @@ def _topk_rows(scores: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray,
                          "score": scores[rows, cols]})
 
 
-def _dense_scores(lv: pd.Series, rv: pd.Series) -> np.ndarray:
-    L = np.stack([np.asarray(v, dtype=np.float64) for v in lv])
-    R = np.stack([np.asarray(v, dtype=np.float64) for v in rv])
-    ln = np.linalg.norm(L, axis=1)
-    rn = np.linalg.norm(R, axis=1)
-    dots = L @ R.T
-    denom = np.outer(ln, rn)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(denom > 0, dots / np.where(denom > 0, denom, 1.0), 0.0)
+_LEFT_CHUNK = 1024     # left rows scored at a time (bounds the score matrix)
+_HOT_SHARE = 64        # a term in >= 1/64 of a block's right rows is "hot"
+
+
+def _dense_matrix(vecs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    M = np.stack([np.asarray(v, dtype=np.float64) for v in vecs])
+    return M, np.linalg.norm(M, axis=1)
+
+
+class _DenseScorer:
+    def __init__(self, rpdf: pd.DataFrame):
+        self.R, self.rn = _dense_matrix(rpdf["vec"])
+
+    def scores(self, lpdf: pd.DataFrame) -> np.ndarray:
+        L, ln = _dense_matrix(lpdf["vec"])
+        denom = np.outer(ln, self.rn)
+        ok = denom > 0
+        # a zero vector scores 0 against everything
+        return np.where(ok, (L @ self.R.T) / np.where(ok, denom, 1.0), 0.0)
 
 
 def _flatten_sparse(pdf: pd.DataFrame):
     lens = pdf["terms"].map(len).to_numpy()
     idx = np.repeat(np.arange(len(pdf)), lens)
-    terms = np.concatenate([np.asarray(t, dtype=object) for t in pdf["terms"]]) if lens.sum() else np.array([], dtype=object)
-    weights = np.concatenate([np.asarray(w, dtype=np.float64) for w in pdf["weights"]]) if lens.sum() else np.array([], dtype=np.float64)
+    if lens.sum() == 0:
+        return idx, np.array([], dtype=object), np.array([], dtype=np.float64)
+    terms = np.concatenate([np.asarray(t, dtype=object) for t in pdf["terms"]])
+    weights = np.concatenate([np.asarray(w, dtype=np.float64) for w in pdf["weights"]])
     return idx, terms, weights
 
 
-def _sparse_scores(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> np.ndarray:
-    """Dot products of L2-normalised sparse vectors via an in-block
-    inverted index (sorted term codes + bincount), in bounded chunks."""
-    n_l, n_r = len(lpdf), len(rpdf)
-    out = np.zeros(n_l * n_r, dtype=np.float64)
-    li, lt, lw = _flatten_sparse(lpdf)
-    ri, rt, rw = _flatten_sparse(rpdf)
-    if len(lt) == 0 or len(rt) == 0:
-        return out.reshape(n_l, n_r)
-    codes, _ = pd.factorize(np.concatenate([lt, rt]))
-    lc, rc = codes[: len(lt)], codes[len(lt):]
-    order = np.argsort(rc, kind="stable")
-    rc, ri, rw = rc[order], ri[order], rw[order]
-    lo = np.searchsorted(rc, lc, side="left")
-    cnt = np.searchsorted(rc, lc, side="right") - lo
-    has = cnt > 0
-    li, lw, lo, cnt = li[has], lw[has], lo[has], cnt[has]
-    csum = np.cumsum(cnt)
-    start = 0
-    while start < len(cnt):
-        base = csum[start - 1] if start else 0
-        stop = int(np.searchsorted(csum, base + _CHUNK, side="right"))
-        stop = max(stop, start + 1)
-        c = cnt[start:stop]
-        rep = np.repeat(np.arange(start, stop), c)
-        off = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-        ridx = lo[rep] + off
-        out += np.bincount(li[rep] * n_r + ri[ridx], weights=lw[rep] * rw[ridx],
-                           minlength=n_l * n_r)
-        start = stop
-    scores = out.reshape(n_l, n_r)
-    # normalised inputs: clip accumulated rounding to the cosine range
-    return np.clip(scores, -1.0, 1.0)
+class _SparseScorer:
+    """Dot products of L2-normalised sparse vectors against one block of
+    right rows.
+
+    Terms held by many right rows ("hot", at most ``_HOT_SHARE`` times the
+    mean row length of them) go through a dense matrix product; the rest
+    through an inverted index (postings sorted by term code, pairs summed
+    with ``bincount`` in bounded chunks).  So a term shared by every row
+    never expands into per-pair work.
+    """
+
+    def __init__(self, rpdf: pd.DataFrame):
+        self.n_r = n_r = len(rpdf)
+        ri, rt, rw = _flatten_sparse(rpdf)
+        codes, uniques = pd.factorize(rt) if len(rt) else (np.array([], dtype=np.int64), [])
+        self.vocab = pd.Index(uniques)
+        n_terms = len(self.vocab)
+        per_term = np.bincount(codes, minlength=n_terms)
+        hot = per_term >= max(8, n_r // _HOT_SHARE)
+        self.hot_col = np.full(n_terms, -1, dtype=np.int64)
+        self.hot_col[hot] = np.arange(int(hot.sum()))
+        self.R_hot = np.zeros((n_r, int(hot.sum())), dtype=np.float64)
+        h = self.hot_col[codes] >= 0
+        self.R_hot[ri[h], self.hot_col[codes[h]]] = rw[h]
+        cold = ~h
+        order = np.argsort(codes[cold], kind="stable")
+        self.rc, self.ri, self.rw = codes[cold][order], ri[cold][order], rw[cold][order]
+
+    def scores(self, lpdf: pd.DataFrame) -> np.ndarray:
+        n_l, n_r = len(lpdf), self.n_r
+        li, lt, lw = _flatten_sparse(lpdf)
+        lc = self.vocab.get_indexer(lt) if len(lt) else np.array([], dtype=np.int64)
+        known = lc >= 0
+        li, lc, lw = li[known], lc[known], lw[known]
+        hc = self.hot_col[lc] if len(lc) else np.array([], dtype=np.int64)
+        h = hc >= 0
+        if self.R_hot.shape[1]:
+            L_hot = np.zeros((n_l, self.R_hot.shape[1]), dtype=np.float64)
+            L_hot[li[h], hc[h]] = lw[h]
+            out = (L_hot @ self.R_hot.T).ravel()
+        else:
+            out = np.zeros(n_l * n_r, dtype=np.float64)
+        li, lc, lw = li[~h], lc[~h], lw[~h]
+        lo = np.searchsorted(self.rc, lc, side="left")
+        cnt = np.searchsorted(self.rc, lc, side="right") - lo
+        has = cnt > 0
+        li, lw, lo, cnt = li[has], lw[has], lo[has], cnt[has]
+        csum = np.cumsum(cnt)
+        start = 0
+        while start < len(cnt):
+            base = csum[start - 1] if start else 0
+            stop = max(int(np.searchsorted(csum, base + _CHUNK, side="right")), start + 1)
+            c = cnt[start:stop]
+            rep = np.repeat(np.arange(start, stop), c)
+            off = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+            ridx = lo[rep] + off
+            out += np.bincount(li[rep] * n_r + self.ri[ridx], weights=lw[rep] * self.rw[ridx],
+                               minlength=n_l * n_r)
+            start = stop
+        # normalised inputs: clip accumulated rounding to the cosine range
+        return np.clip(out.reshape(n_l, n_r), -1.0, 1.0)
 
 
 def topk_cosine(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dense",
@@ -136,10 +176,10 @@ def topk_cosine(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dense
     spark = left.sparkSession
     if kind == "dense":
         cols = ["vec"]
-        block_rows = block_rows or 4096
+        block_rows = block_rows or 8192
     elif kind == "sparse":
         cols = ["terms", "weights"]
-        block_rows = block_rows or 2048
+        block_rows = block_rows or 8192
     else:
         raise ValueError(kind)
     L = left.select(F.col(left_id).cast("long").alias("id"), *cols)
@@ -160,11 +200,14 @@ def topk_cosine(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dense
                                  "right_id": pd.Series([], dtype="int64"),
                                  "score": pd.Series([], dtype="float64")})
         rpdf = rpdf.sort_values("id", kind="stable").reset_index(drop=True)
-        if kind == "dense":
-            s = _dense_scores(lpdf["vec"], rpdf["vec"])
-        else:
-            s = _sparse_scores(lpdf, rpdf)
-        return _topk_rows(s, lpdf["id"].to_numpy(np.int64), rpdf["id"].to_numpy(np.int64), k)
+        scorer = (_DenseScorer if kind == "dense" else _SparseScorer)(rpdf)
+        right_ids = rpdf["id"].to_numpy(np.int64)
+        parts = []
+        for a in range(0, len(lpdf), _LEFT_CHUNK):
+            chunk = lpdf.iloc[a:a + _LEFT_CHUNK]
+            parts.append(_topk_rows(scorer.scores(chunk), chunk["id"].to_numpy(np.int64),
+                                    right_ids, k))
+        return pd.concat(parts, ignore_index=True)
 
     cand = (L.groupBy("lb", "rb").cogroup(R.groupBy("lb", "rb"))
              .applyInPandas(score_block, "left_id long, right_id long, score double"))

@@ -32,23 +32,15 @@ def match_dense(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_
                       F.col("score").alias("match_score"), "rank")
 
 
-def _with_empty_vectors(ids: DataFrame, vecs: DataFrame) -> DataFrame:
-    """Every id, with an empty sparse vector when it has no known term."""
-    return (ids.join(vecs, "id", "left")
-               .select("id",
-                       F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
-                       F.coalesce("weights", F.array().cast("array<double>")).alias("weights")))
-
-
 def tfidf_features(resumes: DataFrame, jobs: DataFrame, *, resume_id: str = "resume_id",
                    job_id: str = "job_id", text: str = "text", n_jobs: int | None = None):
     """Sparse vectors for both sides with the vocabulary fitted on jobs."""
     tf_j = tfidf.term_counts(jobs, job_id, text)
     n_jobs = jobs.count() if n_jobs is None else n_jobs
     idf = tfidf.fit_idf(tf_j, n_jobs)
-    jv = _with_empty_vectors(jobs.select(F.col(job_id).alias("id")), tfidf.vectors(tf_j, idf))
+    jv = tfidf.vectors(tf_j, idf, jobs.select(F.col(job_id).alias("id")))
     tf_r = tfidf.term_counts(resumes, resume_id, text)
-    rv = _with_empty_vectors(resumes.select(F.col(resume_id).alias("id")), tfidf.vectors(tf_r, idf))
+    rv = tfidf.vectors(tf_r, idf, resumes.select(F.col(resume_id).alias("id")))
     return rv, jv, n_jobs
 
 
@@ -57,9 +49,16 @@ def match_tfidf(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_
                 n_resumes: int | None = None, n_jobs: int | None = None, **kw) -> DataFrame:
     """Top-n jobs per résumé by TF-IDF cosine.  Jobs sharing no term with
     a résumé score 0 and still compete (lowest job id first), as when every
-    job is scored."""
+    job is scored.
+
+    ``n_jobs`` must be the exact job row count (it enters the idf);
+    ``n_resumes`` only sizes the blocks, so an upper bound will do."""
     rv, jv, n_jobs = tfidf_features(resumes, jobs, resume_id=resume_id, job_id=job_id,
                                     text=text, n_jobs=n_jobs)
+    if n_resumes is None:
+        # block sizing only: count the input (pruned to what its filters
+        # read), not the vectors, whose plan would run in full
+        n_resumes = resumes.count()
     out = topk_cosine(rv.withColumnRenamed("id", "l"), jv.withColumnRenamed("id", "r"), top_n,
                       kind="sparse", left_id="l", right_id="r", n_left=n_resumes,
                       n_right=n_jobs, **kw)

@@ -31,7 +31,9 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def fit_idf(tf: DataFrame, n_docs: int) -> DataFrame:
     """``(term, idf)`` from a term-count table of ``n_docs`` documents."""
-    return (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # count(tf), not count(1): keeps tf's columns, so this aggregate and
+    # the vectors read one shared exchange of the term counts
+    return (tf.groupBy("term").agg(F.count("tf").alias("df"))
               .select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df")))
                                + F.lit(1.0)).alias("idf")))
 
@@ -45,13 +47,15 @@ def weights(tf: DataFrame, idf: DataFrame) -> DataFrame:
                      .otherwise(F.lit(0.0)).alias("weight")))
 
 
-def vectors(tf: DataFrame, idf: DataFrame) -> DataFrame:
+def vectors(tf: DataFrame, idf: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """``(id, terms, weights)`` sparse rows, L2-normalised, one per doc with
-    at least one known term."""
-    packed = (tf.join(idf, "term")
-                .groupBy("id")
-                .agg(F.sort_array(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("w"))))
-                     .alias("e")))
+    at least one known term - or, given ``ids(id)``, one per id (an empty
+    vector for a doc without known terms; a union, not a join)."""
+    e = tf.join(idf, "term").select(
+        "id", F.struct("term", (F.col("tf") * F.col("idf")).alias("w")).alias("e"))
+    if ids is not None:
+        e = e.unionByName(ids.select("id", F.lit(None).cast(e.schema["e"].dataType).alias("e")))
+    packed = e.groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("e"))
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
     return packed.select(
         "id", F.col("e.term").alias("terms"),

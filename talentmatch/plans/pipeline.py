@@ -36,7 +36,9 @@ def match_resumes_to_jobs(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DE
     res_text = parsed.where(F.col("error").isNull()).select(
         "resume_id", C.resume_text(F.col("skills"), F.col("experience"), F.col("education"))
         .alias("text"))
-    m = match_tfidf(res_text, job_text, top_n)
+    # cheap input counts (column-less scans): the job count enters the
+    # idf; the résumé count (an upper bound after parse errors) sizes blocks
+    m = match_tfidf(res_text, job_text, top_n, n_resumes=resumes.count(), n_jobs=jobs.count())
     # display fields are joined after the top-n cut, so only ids and
     # scores travel through the matching shuffles
     return (m.join(clean.select("job_id", "title", "company", "location", "link"), "job_id")

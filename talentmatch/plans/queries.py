@@ -83,7 +83,9 @@ def dense_matches(spark, sf, top_n=K.DEFAULT_TOP_N):
 
 
 def tfidf_matches(spark, sf, top_n=K.DEFAULT_TOP_N):
-    return M.match_tfidf(resume_texts(parsed_resumes(spark, sf)), job_texts(spark, sf), top_n)
+    return M.match_tfidf(resume_texts(parsed_resumes(spark, sf)), job_texts(spark, sf), top_n,
+                         n_resumes=FX.resumes_raw(spark, sf).count(),
+                         n_jobs=FX.jobs_raw(spark, sf).count())
 
 
 def parsed_uploads(spark, sf):
