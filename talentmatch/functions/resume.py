@@ -88,7 +88,7 @@ def skill_title(skill: str) -> str:
     return skill.title()
 
 
-def extract_skills(lower_clean: Column, lower_skills_tail: Column,
+def extract_skills(lower_clean: Column | str, lower_skills_tail: Column | str,
                    lexicon: tuple[str, ...] = K.SKILL_LEXICON) -> Column:
     """Sorted distinct title-cased lexicon skills found in the text.
 
@@ -96,7 +96,16 @@ def extract_skills(lower_clean: Column, lower_skills_tail: Column,
     or as a plain substring of the text after the word "skills".  Both
     inputs are computed once by the caller; the cheap ``contains`` test
     guards each regex so most rows never run one.
+
+    Given column *names*, the expression is built as one SQL text (one call
+    to the JVM instead of several hundred); given Columns, with the
+    Column API.  Both build the same expression.
     """
+    if isinstance(lower_clean, str) and isinstance(lower_skills_tail, str):
+        return F.expr(_skills_sql(f"`{lower_clean}`", f"`{lower_skills_tail}`", lexicon))
+    lower_clean, lower_skills_tail = F.col(lower_clean) if isinstance(lower_clean, str) \
+        else lower_clean, F.col(lower_skills_tail) if isinstance(lower_skills_tail, str) \
+        else lower_skills_tail
     hits = []
     for skill in lexicon:
         found = lower_clean.contains(skill) & (
@@ -105,5 +114,15 @@ def extract_skills(lower_clean: Column, lower_skills_tail: Column,
     return F.array_sort(F.filter(F.array(*hits), lambda x: x.isNotNull()))
 
 
+def _skills_sql(lc: str, tail: str, lexicon: tuple[str, ...]) -> str:
+    for skill in lexicon:
+        if "'" in skill:
+            raise ValueError(f"quote in skill {skill!r}")
+    hits = ", ".join(
+        f"CASE WHEN contains({lc}, '{s}') AND ({lc} RLIKE r'{bounded(s)}' "
+        f"OR contains({tail}, '{s}')) THEN '{skill_title(s)}' END" for s in lexicon)
+    return f"array_sort(filter(array({hits}), x -> x IS NOT NULL))"
+
+
 def skills_tail_lower(clean: Column) -> Column:
     return F.lower(F.regexp_extract(clean, section_pattern(K.SECTION_SKILLS), 1))

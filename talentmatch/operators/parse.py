@@ -59,7 +59,7 @@ def parse_resumes(df: DataFrame, text_col: str = "text", path_col: str | None =
         when_ok(R.extract_name(clean)).alias("name"),
         when_ok(R.extract_email(clean)).alias("email"),
         when_ok(R.extract_phone(clean)).alias("phone"),
-        when_ok(R.extract_skills(F.col("_lc"), F.col("_tail"))).alias("skills"),
+        when_ok(R.extract_skills("_lc", "_tail")).alias("skills"),
         when_ok(R.extract_section(clean, K.SECTION_EXPERIENCE)).alias("experience"),
         when_ok(R.extract_section(clean, K.SECTION_EDUCATION)).alias("education"),
         when_ok(R.raw_text(clean)).alias("raw_text"),

@@ -116,7 +116,7 @@ def q_extract_phone(spark, sf):
 def q_extract_skills(spark, sf):
     d = clean_documents(spark, sf).select(
         "doc_id", F.lower("c").alias("lc"), R.skills_tail_lower(F.col("c")).alias("tail"))
-    return d.select("doc_id", F.array_join(R.extract_skills(F.col("lc"), F.col("tail")), ", ")
+    return d.select("doc_id", F.array_join(R.extract_skills("lc", "tail"), ", ")
                     .alias("skills"))
 
 
