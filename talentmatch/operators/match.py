@@ -35,12 +35,12 @@ def match_dense(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_
 def tfidf_features(resumes: DataFrame, jobs: DataFrame, *, resume_id: str = "resume_id",
                    job_id: str = "job_id", text: str = "text", n_jobs: int | None = None):
     """Sparse vectors for both sides with the vocabulary fitted on jobs."""
-    tf_j = tfidf.term_counts(jobs, job_id, text)
+    tf_j = tfidf.term_counts(jobs, job_id, text, keep_empty=True)
     n_jobs = jobs.count() if n_jobs is None else n_jobs
     idf = tfidf.fit_idf(tf_j, n_jobs)
-    jv = tfidf.vectors(tf_j, idf, jobs.select(F.col(job_id).alias("id")))
-    tf_r = tfidf.term_counts(resumes, resume_id, text)
-    rv = tfidf.vectors(tf_r, idf, resumes.select(F.col(resume_id).alias("id")))
+    jv = tfidf.vectors(tf_j, idf)
+    tf_r = tfidf.term_counts(resumes, resume_id, text, keep_empty=True)
+    rv = tfidf.vectors(tf_r, idf)
     return rv, jv, n_jobs
 
 

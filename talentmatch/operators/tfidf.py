@@ -21,19 +21,27 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, term, tf)`` for every distinct term of every document."""
-    return (docs.select(F.col(id_col).alias("id"),
-                        F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN), 0))
-                        .alias("term"))
+def term_counts(docs: DataFrame, id_col: str, text_col: str,
+                keep_empty: bool = False) -> DataFrame:
+    """``(id, term, tf)`` for every distinct term of every document.
+
+    ``keep_empty`` keeps a document without any token as one row with a
+    null term, so later steps see every document without reading the
+    input again."""
+    tokens = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN), 0)
+    term = F.explode_outer(tokens) if keep_empty else F.explode(tokens)
+    return (docs.select(F.col(id_col).alias("id"), term.alias("term"))
             .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def fit_idf(tf: DataFrame, n_docs: int) -> DataFrame:
     """``(term, idf)`` from a term-count table of ``n_docs`` documents."""
-    # count(tf), not count(1): keeps tf's columns, so this aggregate and
-    # the vectors read one shared exchange of the term counts
-    return (tf.groupBy("term").agg(F.count("tf").alias("df"))
+    # counts rows with tf > 0 (all of them) rather than count(1): reading
+    # tf keeps the term-count aggregate whole, so this and the vectors share
+    # one exchange instead of tokenizing the documents twice
+    # (a null term - documents without tokens - yields one row that never
+    # joins; filtering it would be pushed below the exchange and split it)
+    return (tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.lit(1))).alias("df"))
               .select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df")))
                                + F.lit(1.0)).alias("idf")))
 
@@ -47,14 +55,21 @@ def weights(tf: DataFrame, idf: DataFrame) -> DataFrame:
                      .otherwise(F.lit(0.0)).alias("weight")))
 
 
-def vectors(tf: DataFrame, idf: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """``(id, terms, weights)`` sparse rows, L2-normalised, one per doc with
-    at least one known term - or, given ``ids(id)``, one per id (an empty
-    vector for a doc without known terms; a union, not a join)."""
-    e = tf.join(idf, "term").select(
-        "id", F.struct("term", (F.col("tf") * F.col("idf")).alias("w")).alias("e"))
-    if ids is not None:
-        e = e.unionByName(ids.select("id", F.lit(None).cast(e.schema["e"].dataType).alias("e")))
+def vectors(tf: DataFrame, idf: DataFrame) -> DataFrame:
+    """``(id, terms, weights)`` sparse rows, L2-normalised, one per document
+    of ``tf`` (an empty vector when it has no term of the vocabulary).
+
+    A left join keeps every document; a null term (a document without
+    tokens) joins on a key unique to its document, so those rows spread
+    over the join instead of gathering under one null key."""
+    key = F.coalesce(F.col("term"), F.concat(F.lit("\u0000"), F.col("id").cast("string")))
+    # a non-null key: no "term is not null" is inferred and pushed into the
+    # vocabulary's plan, which stays identical to (and shares) the tf one
+    v = idf.select(F.coalesce(F.col("term"), F.lit("\u0000")).alias("_k"), "idf")
+    e = (tf.select("id", "term", "tf", key.alias("_k")).join(v, "_k", "left")
+           .select("id", F.when(F.col("idf").isNotNull(),
+                                F.struct("term", (F.col("tf") * F.col("idf")).alias("w")))
+                   .alias("e")))
     packed = e.groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("e"))
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
     return packed.select(
