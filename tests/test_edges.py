@@ -144,3 +144,22 @@ def test_default_jobs_bootstrap(spark):
 def test_nan_score_not_high(spark):
     assert not (float("nan") >= 0.7)  # the application's comparison
     assert math.isnan(float("nan"))
+
+
+def test_read_resume_files(spark, tmp_path):
+    d = tmp_path / "uploads"
+    (d / "sub").mkdir(parents=True)
+    (d / "a.txt").write_bytes(b"Ada Lovelace\r\nskills: python\r\n")
+    (d / "sub" / "b.PDF").write_bytes(b"Grace Hopper \xff resume")
+    (d / "c.exe").write_bytes(b"MZ")
+    (d / "noext").write_bytes(b"x")
+    rows = {r.file: r for r in RF.read_resume_files(spark, str(d)).collect()}
+    assert set(rows) == {"a.txt", "b.PDF", "c.exe", "noext"}
+    assert rows["a.txt"].admitted and rows["a.txt"].text == "Ada Lovelace\nskills: python\n"
+    assert rows["b.PDF"].admitted and rows["b.PDF"].text == "Grace Hopper  resume"
+    assert not rows["c.exe"].admitted and rows["c.exe"].text is None
+    assert not rows["noext"].admitted
+    parsed = parse_resumes(RF.read_resume_files(spark, str(d)).where("admitted"),
+                           path_col="path").collect()
+    by_file = {r.file: r for r in parsed}
+    assert by_file["a.txt"].skills == ["Python"] and by_file["a.txt"].name == "Ada Lovelace"
