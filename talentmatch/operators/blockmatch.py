@@ -212,7 +212,8 @@ def topk_cosine(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dense
     every left row.
 
     dense: both sides have ``vec``.  sparse: both sides have ``terms`` and
-    ``weights`` (L2-normalised).  ``n_left``/``n_right`` are row counts; when
+    ``weights`` (L2-normalised).  Ids are keys (unique per side): blocks are
+    assigned by hashing them, which bounds every group's size.  ``n_left``/``n_right`` are row counts; when
     omitted they are counted (a scalar action).
     """
     spark = left.sparkSession
