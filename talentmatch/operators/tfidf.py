@@ -30,7 +30,11 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str,
     input again."""
     tokens = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN), 0)
     term = F.explode_outer(tokens) if keep_empty else F.explode(tokens)
-    return (docs.select(F.col(id_col).alias("id"), term.alias("term"))
+    # documents hash-partitioned by id: the (id, term) counts, the join to
+    # the vocabulary (when broadcast) and the per-document packing then
+    # need no further exchange
+    return (docs.select(F.col(id_col).alias("id"), F.col(text_col)).repartition("id")
+            .select("id", term.alias("term"))
             .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
