@@ -1,9 +1,10 @@
 """Source fallback - the first source, in priority order, that has rows.
 
-Each source is tagged with its priority and the union is filtered to the
-smallest priority present.  The minimum is a global aggregate (partial per
-partition, one row at the end) joined back by a broadcast equi-join on
-the priority, so no global window or single-partition step is planned.
+Each source is tagged with its priority.  Which sources have rows is
+decided by ``limit(1)`` probes (a task stops at its first row, so a source
+is not computed in full for the test); the smallest priority present is a
+one-row aggregate, joined back to the tagged union by broadcast.  No global
+window or single-partition step is planned.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def first_nonempty(*sources: DataFrame) -> DataFrame:
-    tagged = None
+    tagged = present = None
     for prio, src in enumerate(sources):
         t = src.withColumn("_prio", F.lit(prio))
         tagged = t if tagged is None else tagged.unionByName(t, allowMissingColumns=True)
-    best = tagged.agg(F.min("_prio").alias("_prio"))
+        p = src.limit(1).select(F.lit(prio).alias("_prio"))
+        present = p if present is None else present.unionByName(p)
+    best = present.agg(F.min("_prio").alias("_prio"))
     return tagged.join(F.broadcast(best), "_prio").drop("_prio")

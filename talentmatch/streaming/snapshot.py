@@ -43,11 +43,16 @@ def start_snapshot_stream(spark: SparkSession, landing: str, snapshot: str, chec
     """Start the re-ingest; returns the StreamingQuery (await it)."""
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        # partition folders of the landing add columns; keep the landed ones
-        landed = batch.select(*schema.fieldNames())
-        clean_jobs(newest_landing(landed)).write.mode("overwrite").parquet(snapshot)
+        # partition folders of the landing add columns; keep the landed ones.
+        # Persisted for the three reads below (emptiness, newest date, rows);
+        # a lost executor re-reads the batch's files.
+        landed = batch.select(*schema.fieldNames()).persist()
+        try:
+            if landed.isEmpty():
+                return
+            clean_jobs(newest_landing(landed)).write.mode("overwrite").parquet(snapshot)
+        finally:
+            landed.unpersist()
 
     stream = spark.readStream.schema(schema).parquet(landing)
     return (stream.writeStream.foreachBatch(write_batch)

@@ -163,3 +163,13 @@ def test_read_resume_files(spark, tmp_path):
                            path_col="path").collect()
     by_file = {r.file: r for r in parsed}
     assert by_file["a.txt"].skills == ["Python"] and by_file["a.txt"].name == "Ada Lovelace"
+
+
+def test_first_nonempty_source_fallback(spark):
+    from talentmatch.operators.ingest import first_nonempty
+    a = spark.createDataFrame([("a1",), ("a2",)], "title string")
+    b = spark.createDataFrame([("b1",)], "title string")
+    empty = a.where("false")
+    assert sorted(r.title for r in first_nonempty(a, b).collect()) == ["a1", "a2"]
+    assert [r.title for r in first_nonempty(empty, b).collect()] == ["b1"]
+    assert first_nonempty(empty, empty).count() == 0
