@@ -33,20 +33,24 @@ def match_dense(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_
 
 
 def tfidf_features(resumes: DataFrame, jobs: DataFrame, *, resume_id: str = "resume_id",
-                   job_id: str = "job_id", text: str = "text", n_jobs: int | None = None):
-    """Sparse vectors for both sides with the vocabulary fitted on jobs."""
+                   job_id: str = "job_id", text: str = "text", n_jobs: int | None = None,
+                   resumes_partitioned: bool = False):
+    """Sparse vectors for both sides with the vocabulary fitted on jobs.
+    ``resumes_partitioned``: the résumés are hash-partitioned by id."""
     tf_j = tfidf.term_counts(jobs, job_id, text, keep_empty=True)
     n_jobs = jobs.count() if n_jobs is None else n_jobs
     idf = tfidf.fit_idf(tf_j, n_jobs)
     jv = tfidf.vectors(tf_j, idf)
-    tf_r = tfidf.term_counts(resumes, resume_id, text, keep_empty=True)
+    tf_r = tfidf.term_counts(resumes, resume_id, text, keep_empty=True,
+                             partitioned=resumes_partitioned)
     rv = tfidf.vectors(tf_r, idf)
     return rv, jv, n_jobs
 
 
 def match_tfidf(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_N, *,
                 resume_id: str = "resume_id", job_id: str = "job_id", text: str = "text",
-                n_resumes: int | None = None, n_jobs: int | None = None, **kw) -> DataFrame:
+                n_resumes: int | None = None, n_jobs: int | None = None,
+                resumes_partitioned: bool = False, **kw) -> DataFrame:
     """Top-n jobs per résumé by TF-IDF cosine.  Jobs sharing no term with
     a résumé score 0 and still compete (lowest job id first), as when every
     job is scored.
@@ -54,7 +58,8 @@ def match_tfidf(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_
     ``n_jobs`` must be the exact job row count (it enters the idf);
     ``n_resumes`` only sizes the blocks, so an upper bound will do."""
     rv, jv, n_jobs = tfidf_features(resumes, jobs, resume_id=resume_id, job_id=job_id,
-                                    text=text, n_jobs=n_jobs)
+                                    text=text, n_jobs=n_jobs,
+                                    resumes_partitioned=resumes_partitioned)
     if n_resumes is None:
         # block sizing only: count the input (pruned to what its filters
         # read), not the vectors, whose plan would run in full

@@ -22,19 +22,22 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str,
-                keep_empty: bool = False) -> DataFrame:
+                keep_empty: bool = False, partitioned: bool = False) -> DataFrame:
     """``(id, term, tf)`` for every distinct term of every document.
 
     ``keep_empty`` keeps a document without any token as one row with a
     null term, so later steps see every document without reading the
-    input again."""
+    input again.  ``partitioned`` says ``docs`` is already hash-partitioned
+    by ``id_col`` (see ``session.partition_by_key``)."""
     tokens = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN), 0)
     term = F.explode_outer(tokens) if keep_empty else F.explode(tokens)
     # documents hash-partitioned by id: the (id, term) counts, the join to
     # the vocabulary (when broadcast) and the per-document packing then
     # need no further exchange
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col)).repartition("id")
-            .select("id", term.alias("term"))
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col))
+    if not partitioned:
+        d = d.repartition("id")
+    return (d.select("id", term.alias("term"))
             .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 

@@ -23,7 +23,7 @@ from talentmatch.operators import tfidf as TF
 from talentmatch.operators.ingest import first_nonempty
 from talentmatch.operators.parse import parse_resumes
 from talentmatch.operators.profiles import manual_profiles, resolve_profiles
-from talentmatch.session import scratch_path, spread, table
+from talentmatch.session import partition_by_key, scratch_path, spread, table
 from talentmatch.sources import fixtures as FX
 from talentmatch.sources import jobs_csv as J
 from talentmatch.sources import resume_files as RF
@@ -83,9 +83,11 @@ def dense_matches(spark, sf, top_n=K.DEFAULT_TOP_N):
 
 
 def tfidf_matches(spark, sf, top_n=K.DEFAULT_TOP_N):
-    return M.match_tfidf(resume_texts(parsed_resumes(spark, sf)), job_texts(spark, sf), top_n,
-                         n_resumes=FX.resumes_raw(spark, sf).count(),
-                         n_jobs=FX.jobs_raw(spark, sf).count())
+    raw = FX.resumes_raw(spark, sf)
+    parsed = parse_resumes(partition_by_key(raw, "resume_id"))
+    return M.match_tfidf(resume_texts(parsed), job_texts(spark, sf), top_n,
+                         n_resumes=raw.count(), n_jobs=FX.jobs_raw(spark, sf).count(),
+                         resumes_partitioned=True)
 
 
 def parsed_uploads(spark, sf):

@@ -86,3 +86,11 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+def partition_by_key(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` into at least as many partitions as
+    the cluster has cores (and never fewer than it has), so CPU-heavy work
+    stays spread and later per-key steps need no further exchange."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    return df.repartition(n, key)
