@@ -145,3 +145,18 @@ def test_bounded_topk_equals_exact_selection():
         R = np.arange(n_r, dtype=np.int64) * 2 + 7
         for k in (1, 5, 17):
             assert canon(_topk_rows(s, L, R, k)).equals(canon(_topk_rows_exact(s, L, R, k)))
+
+
+def test_tfidf_prepartitioned_input_gives_same_matches(spark):
+    from talentmatch.session import partition_by_key
+    jobs = spark.createDataFrame([(10 + i, t) for i, t in enumerate(
+        ["python data engineer", "java developer", "python sql", "react node", "data science",
+         "rust systems", "go backend", "excel analyst", ""])], "job_id long, text string")
+    res = spark.createDataFrame([(i, t) for i, t in enumerate(
+        ["python sql data", "react javascript", "cooking", "", "rust go", "excel data"])],
+        "resume_id long, text string")
+    plain = M.match_tfidf(res, jobs, 3, block_rows=4)
+    part = M.match_tfidf(partition_by_key(res, "resume_id"), jobs, 3, block_rows=4,
+                         resumes_partitioned=True)
+    assert plain.count() == 18
+    assert plain.exceptAll(part).count() == 0 and part.exceptAll(plain).count() == 0
