@@ -39,9 +39,20 @@ def read_jobs_csv(spark: SparkSession, path: str, schema: T.StructType = JOBS_SC
     return normalise_missing(spark.read.options(**_READ_OPTIONS).schema(schema).csv(path))
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A2/A3: header CSV, values written verbatim (no whitespace trimming)."""
-    df.write.mode(mode).options(**_WRITE_OPTIONS).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", *,
+              bucket_by: str | None = None, buckets: int = 0) -> None:
+    """A2/A3: header CSV, values written verbatim (no whitespace trimming).
+
+    With ``bucket_by``/``buckets`` the rows go to ``bucket=<n>`` folders by a
+    hash of that column (a large match table is written by every task in
+    parallel, and one résumé's rows land in one folder)."""
+    w = df
+    if bucket_by and buckets > 0:
+        w = df.withColumn("bucket", F.pmod(F.xxhash64(bucket_by), F.lit(buckets)))
+    writer = w.write.mode(mode).options(**_WRITE_OPTIONS)
+    if bucket_by and buckets > 0:
+        writer = writer.partitionBy("bucket")
+    writer.csv(path)
 
 
 def empty_jobs(spark: SparkSession) -> DataFrame:

@@ -173,3 +173,18 @@ def test_first_nonempty_source_fallback(spark):
     assert sorted(r.title for r in first_nonempty(a, b).collect()) == ["a1", "a2"]
     assert [r.title for r in first_nonempty(empty, b).collect()] == ["b1"]
     assert first_nonempty(empty, empty).count() == 0
+
+
+def test_bucketed_match_sink(spark, tmp_path):
+    import os
+    p = str(tmp_path / "matches")
+    m = spark.createDataFrame([(i % 7, i, 0.5) for i in range(50)],
+                              "resume_id long, job_id long, match_score double")
+    J.write_csv(m, p, bucket_by="resume_id", buckets=4)
+    folders = sorted(d for d in os.listdir(p) if d.startswith("bucket="))
+    assert 1 < len(folders) <= 4
+    back = spark.read.options(header="true").schema(
+        "resume_id long, job_id long, match_score double").csv(p)
+    assert back.drop("bucket").exceptAll(m).count() == 0 and back.count() == 50
+    per_resume = back.groupBy("resume_id").agg(F.countDistinct("bucket").alias("n"))
+    assert per_resume.where("n > 1").count() == 0
