@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,13 +41,17 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared reliable folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (local tests) a private
-    folder is created and registered.
+    A cluster names it; only when it is unset and the master is local
+    (tests) a private folder is created and registered.  Elsewhere a folder
+    of the driver's machine would hide each executor's files from the rest,
+    so an unset folder is an error.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
         or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="talentmatch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not sc.getCheckpointDir():

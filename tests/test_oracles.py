@@ -5,11 +5,12 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from talentmatch.plans.queries import QUERIES
 
 import oracle_compare as OC
 
 ORACLES = oracle_sql()
-NAMES = sorted(queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
