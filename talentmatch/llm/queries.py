@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentmatch.llm import chat, sharding, tokencount
+from talentmatch.llm import chat, packing, secret_scan, sharding, tokencount
 from talentmatch.llm.common import read_table
 
 N_SHARDS = 24
 TOKEN_LIMIT = 2048
+SEQUENCE = 1024
+END_ID = 2
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns.unionByName(case)))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), SEQUENCE, END_ID)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", TOKEN_LIMIT)
 
@@ -27,10 +33,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read_table(spark, sf_dir, "documents"), N_SHARDS)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return secret_scan.digests(secret_scan.scan(docs, secret_scan.fit(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op8_token_counts": op8_token_counts,
     "op9_sharding": op9_sharding,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {

@@ -1,0 +1,80 @@
+"""Op 10: fixed patterns against a plain reading of them, models on held-out strings."""
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from talentmatch.llm import queries, secret_scan
+from talentmatch.llm.common import read_table
+
+MORE = "/root/testdata/sf0.01"
+PLAIN = (r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|"""
+         r"""[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"(AKIA[A-Z0-9]+)", r"([0-9a-f]+)")
+
+
+def plain(text):
+    out = []
+    for k, (pattern, group, least) in enumerate(zip(PLAIN, (2, 1, 1), (6, 20, 24))):
+        out += [(m.start(), k, m.end()) for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
+    return sorted(out)
+
+
+def joined(spans):
+    return ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def test_query_against_plain_reading(spark):
+    docs = {r.doc_id: r.text or "" for r in read_table(spark, MORE, "documents").collect()}
+    rows = queries.op10_secret_scan(spark, MORE).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    found = 0
+    for r in rows:
+        base = plain(docs[r.doc_id])
+        found += len(base)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for _, k, _ in base) for x in range(3)]
+        assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        parts = r.spans.split(",") if r.spans else []
+        assert [p for p in parts if not p.startswith("markov")] == (joined(base).split(",") if base else [])
+    assert found > 0
+
+
+CASES = ["", "token=short", "token=secret=abcdefgh x", "Passwd : 'aB3+/_.=-zz", "API_KEY\":  \"abcdef", "apikey=\nabcdef",
+         "AKIA" + "A" * 15, "AKIA" + "A" * 16 + "b", "xAKIAAKIA" + "0" * 20, "g" + "0a" * 12 + "g" + "f" * 23, "ſecret=abcdefgh toKen=abcdefgh",
+         "é漢token=abcdef " + "e" * 30, "secret=" + "0" * 40, "password:=abcdef"]
+
+
+@pytest.mark.parametrize("text", CASES)
+def test_base_spans(text):
+    assert sorted(x[:3] for x in secret_scan.base_spans(text)) == plain(text)
+
+
+def test_models_on_held_out_strings(spark, small_sf):
+    docs = read_table(spark, small_sf, "documents")
+    model = secret_scan.fit(docs)
+    rng = random.Random(99)
+    secrets = ["".join(rng.choices(a, k=n)) for a in secret_scan.DRAWN for n in (24, 32, 40) for _ in range(60)]
+    hit = sum(model.score(s) > secret_scan.LOG_ODDS for s in secrets) / len(secrets)
+    assert hit > 0.95
+    words = sorted({w for r in docs.collect() for w in re.findall(r"[A-Za-z]{4,}", r.text or "")})
+    idents = ["_".join(rng.choices(words, k=3)) for _ in range(500)] + ["".join(rng.choices(words, k=3)) for _ in range(500)]
+    idents = [x for x in idents if x.isascii()]
+    assert sum(model.score(x) > secret_scan.LOG_ODDS for x in idents) / len(idents) < 0.005
+
+
+def test_redact_and_edges(spark, small_sf):
+    key = "k9Qz8XvB2mN7pL4wR6tY1uI3oP5aS0dF"
+    rows = [(1, None, 1), (None, "", 1), (2, f"see {key} here", 2), (2, f"see {key} here", 2), (3, "token=abcdefgh1 é", 3),
+            (4, "an ordinary_identifier_of_the_text and words " * 5000, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    model = secret_scan.fit(read_table(spark, small_sf, "documents"))
+    got = sorted((r.doc_id or 0, r.spans) for r in secret_scan.digests(secret_scan.scan(df, model)).collect())
+    assert got == [(0, ""), (1, ""), (2, "markov:4:36"), (2, "markov:4:36"), (3, "assign:0:15"), (4, "")]
+    clean = secret_scan.redact(df, model)
+    assert clean.columns == df.columns
+    texts = sorted((r.doc_id or 0, r.text) for r in clean.collect() if r.text is not None)
+    assert texts[1] == (2, "see [SECRET] here") and texts[3] == (3, "[SECRET] é")
+    none = df.limit(0)
+    assert secret_scan.scan(none, secret_scan.fit(none)).count() == 0
