@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentmatch.llm import ann, chat, packing, secret_scan, sharding, tokencount, voronoi
+from talentmatch.llm import ann, chat, neardup, packing, secret_scan, sharding, tokencount, voronoi
 from talentmatch.llm.common import read_table
 
 N_SHARDS = 24
@@ -15,6 +15,10 @@ SEQUENCE = 1024
 END_ID = 2
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.typed_turns(read_table(spark, sf_dir, "conversations"))
     case = chat.typed_turns(chat.control_string_case(spark))
@@ -49,6 +53,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_exact_top_k": op3_exact_top_k,
     "op5_best_fit_packing": op5_best_fit_packing,
