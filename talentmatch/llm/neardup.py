@@ -10,10 +10,11 @@
    probability P(Binomial(n + 1, threshold) <= m); a pair is given up once
    that falls below ``MISS``.
 4. Survivors are verified on full shingle sets and joined into components.
-5. A bucket of three or more classes that still holds more than one component
-   has its other pairs across components compared in square tiles of bounded
-   size; survivors are verified too.  So every banded pair is decided, except
-   those inside one component, which cannot change the result.
+5. The classes that share a smallest one form a crowd.  Where a crowd still
+   holds more than one component, its pairs across components are compared in
+   tiles of bounded size, by signatures and then on full sets; a tile returns
+   no more links than it has components.  So every banded pair is decided,
+   except those inside one component, which cannot change the result.
 
 A pair at the threshold shares no band with probability
 (1 - 0.75 ** 4) ** 32 = 5e-6, and is given up in step 3 with about ``MISS``.
@@ -161,10 +162,9 @@ def _likely(pairs: DataFrame, classes: DataFrame, miss: float) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(kept, "a long, b long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` whose full shingle sets reach the threshold.  ``docs``
-    has ``doc_id, text``; each class is read from the row of its smallest id."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, s``: the full shingle set of each wanted class, read from the
+    row of its smallest id.  ``docs`` has ``doc_id, text``."""
     texts = (wanted.join(classes.select("node", "rep"), "node")
              .join(docs, F.col("rep").eqNullSafe(F.col("doc_id"))).select("node", "text"))
 
@@ -180,7 +180,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                         found.append(shingles(words).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["node", "s"])
 
-    own = texts.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"])
+    return texts.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` whose full shingle sets reach the threshold."""
+    own = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs)
     both = (pairs.join(own.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a")
             .join(own.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b"))
 
@@ -197,32 +202,67 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return both.select("a", "b", "s_a", "s_b").mapInArrow(linked, "a long, b long")
 
 
-def _across(crowds: DataFrame, classes: DataFrame, miss: float) -> DataFrame:
-    """Likely pairs ``a, b`` of different components within a bucket.  Crowds
-    are rows ``bucket, m, node, component``; a bucket of m classes is cut into
-    tiles of about ``TILE`` by ``TILE``, so a row is copied m / TILE times."""
-    side = F.ceil(F.col("m") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("node"), side).cast("int")
-    rows = (crowds.join(classes.select("node", "n_shingles", "sig"), "node").withColumn("own", own)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), side - 1)))
-            .withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other")))
-
-    def compared(frame: pd.DataFrame) -> pd.DataFrame:
-        left = frame[frame["own"] == frame["first"]]
-        right = frame[frame["own"] == frame["second"]]
-        a, b = _signatures(left["sig"]), _signatures(right["sig"])
-        na, nb = left["node"].to_numpy(), right["node"].to_numpy()
-        ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
-        sa, sb = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
-        out = []
-        for i in range(len(left)):
-            j = np.flatnonzero(cb != ca[i])
-            stay = j[may_reach(np.broadcast_to(a[i], (len(j), HASHES)), b[j], np.full(len(j), sa[i]), sb[j], miss)]
-            out.append(pd.DataFrame({"a": np.minimum(na[i], nb[stay]), "b": np.maximum(na[i], nb[stay])}))
-        return pd.concat([pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}), *out]).drop_duplicates()
+def _across(members: DataFrame, classes: DataFrame, docs: DataFrame, miss: float) -> DataFrame:
+    """Links ``a, b`` that join different components of one crowd, enough to
+    span what a tile joins.  Members are rows ``centre, node, component``; a
+    crowd is all classes that share a centre.
+
+    Pairs inside a component need no look, so every pair has a side outside
+    the crowd's largest component.  Members go to blocks of about ``TILE``,
+    and those outside the largest also to blocks of their own kind; a tile is
+    a block of either sort.  Few outsiders make few copies of the rest."""
+    sizes = members.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("n"))
+    crowds = (sizes.groupBy("centre").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"))
+              .where(F.col("all") > F.col("top.n"))
+              .select("centre", F.col("top.component").alias("largest"),
+                      F.ceil(F.col("all") / TILE).cast("int").alias("blocks"),
+                      F.ceil((F.col("all") - F.col("top.n")) / TILE).cast("int").alias("outer_blocks")))
+    rows = members.join(crowds, "centre")
+    mark = F.xxhash64("node")
+    names = ["centre", "node", "component", "block", "outer_block", "outer"]
+    left = (rows.withColumn("block", F.pmod(mark, "blocks").cast("int")).withColumn("outer", F.lit(False))
+            .withColumn("outer_block", F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1))).select(names))
+    right = (rows.where("component <> largest").withColumn("outer_block", F.pmod(mark, "outer_blocks").cast("int"))
+             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("outer", F.lit(True)).select(names))
+    own = _sets(rows.select("node").distinct(), classes, docs).join(classes.select("node", "sig"), "node")
+    tiles = left.unionByName(right).join(own, "node")
+
+    def linked(frame: pd.DataFrame) -> pd.DataFrame:
+        outer = frame["outer"].to_numpy()
+        order = np.r_[np.flatnonzero(~outer), np.flatnonzero(outer)]
+        n = int((~outer).sum())
+        node, comp = frame["node"].to_numpy()[order], frame["component"].to_numpy()[order]
+        sig = _signatures(frame["sig"].to_numpy()[order])
+        sets = [np.frombuffer(x, np.uint64) for x in frame["s"].to_numpy()[order]]
+        sizes = np.array([len(x) for x in sets])
+        ends = np.cumsum(sizes)
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        flag = np.zeros(codes.max() + 1, bool)
+        joined = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while joined[c] != c:
+                c = joined[c]
+            return c
 
-    tiles = rows.select("bucket", "first", "second", "own", "node", "component", "n_shingles", "sig")
-    return tiles.groupBy("bucket", "first", "second").applyInPandas(compared, "a long, b long").distinct()
+        out = []
+        for i in range(n, len(order)):
+            j = np.flatnonzero(comp[:n] != comp[i])
+            j = j[may_reach(sig[j], np.broadcast_to(sig[i], (len(j), HASHES)), sizes[j], np.full(len(j), sizes[i]), miss)]
+            if not len(j):
+                continue
+            mine = codes[ends[i] - sizes[i]:ends[i]]
+            flag[mine] = True
+            for k in j:
+                if root(int(comp[k])) != root(int(comp[i])):
+                    common = int(flag[codes[ends[k] - sizes[k]:ends[k]]].sum())
+                    if 100 * common >= THRESHOLD * (sizes[i] + sizes[k] - common):
+                        joined[root(int(comp[k]))] = root(int(comp[i]))
+                        out.append((node[i], node[k]))
+            flag[mine] = False
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return tiles.groupBy("centre", "block", "outer_block").applyInPandas(linked, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
@@ -236,21 +276,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
         i, F.col("sig").substr(i * width + 1, F.lit(width))))
     banded = classes.select("node", F.explode(keys).alias("bucket"))
-    centres = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    crowds = written(banded.join(centres, "bucket"), "crowds")
+    centres = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    members = written(banded.join(centres, "bucket").select("centre", "node").distinct(), "members")
 
-    tried = written(_likely(crowds.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(),
-                            classes, miss), "pairs")
-    links = written(_verified(tried, classes, docs), "verified")
+    stars = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    links = written(_verified(written(_likely(stars, classes, miss), "pairs"), classes, docs), "verified")
     found = components(links)
-
-    placed = (crowds.where("m > 2").join(found, "node", "left")
-              .withColumn("component", F.coalesce("component", "node")))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    more = written(_across(placed.join(open_.select("bucket"), "bucket", "left_semi"), classes, miss)
-                   .join(tried, ["a", "b"], "left_anti"), "pairs")
+    placed = members.join(found, "node", "left").select("centre", "node", F.coalesce("component", "node").alias("component"))
+    more = written(_across(placed, classes, docs, miss), "verified")
     if not more.isEmpty():
-        found = components(links.unionByName(_verified(more, classes, docs)))
+        found = components(links.unionByName(more))
 
     ends = (classes.select("node", "rep").join(found, "node", "left")
             .select("node", "rep", F.coalesce("component", "node").alias("component")))
