@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentmatch.llm import ann, chat, neardup, packing, secret_scan, sharding, tokencount, voronoi
+from talentmatch.llm import ann, chat, neardup, packing, secret_scan, sharding, tokencount, toxicity, voronoi
 from talentmatch.llm.common import read_table
 
 N_SHARDS = 24
@@ -34,6 +34,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), SEQUENCE, END_ID)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings")
     return ann.search(rows, rows.where("vec_id % 100 = 0"), k=10)
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_exact_top_k": op3_exact_top_k,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_token_counts": op8_token_counts,
     "op9_sharding": op9_sharding,
