@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentmatch.llm import ann, chat, neardup, packing, secret_scan, sharding, tokencount, toxicity, voronoi
+from talentmatch.llm import ann, chat, neardup, packing, secret_scan, sharding, tokencount, toxicity, voronoi, wfst
 from talentmatch.llm.common import read_table
 
 N_SHARDS = 24
@@ -30,6 +30,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.top_k(rows, rows.where("vec_id % 20 = 0"), k=20, scale=64)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wfst.digests(read_table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), SEQUENCE, END_ID)
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_exact_top_k": op3_exact_top_k,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
     "op7_nearest_neighbours": op7_nearest_neighbours,
