@@ -41,6 +41,7 @@ MANUAL_PROFILE_NAME = "Candidate"
 # Upload admission.
 ALLOWED_EXTENSIONS: tuple[str, ...] = ("pdf", "docx", "txt")
 MAX_UPLOAD_BYTES = 16 * 1024 * 1024
+TOO_LARGE_ERROR = "File too large. Please upload a file smaller than 16MB."
 
 # Matching.
 DEFAULT_TOP_N = 5

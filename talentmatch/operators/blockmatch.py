@@ -1,262 +1,214 @@
 """Exact top-k cosine matching of every left row against every right row.
 
 All-pairs scoring is quadratic by nature; this operator never materialises
-the pairs as rows.  Both sides are hashed into blocks of bounded size;
-each left row is replicated once per right block and each right row once
-per left block, and the two sides are co-grouped on (left block, right
-block).  One group holds at most ~``block_rows`` rows per side, its score
-matrix is computed with numpy and only the top k per left row leave the
-task.  A ``row_number() <= k`` window (planned as a partial + final
-``WindowGroupLimit``) then merges the per-block candidates.
-
-Vectors are either dense (``array<float|double>``) or sparse (parallel
-``terms: array<string>`` / ``weights: array<double>``).  Scores are
-cosine similarity; a zero vector scores 0 against everything.  Ties are
-broken by rounding scores to 6 decimals, then by the lower right id.
+the pairs as rows.  Both sides are hashed into blocks of at most about
+``block_rows`` rows; a left row goes once to each right block and a right
+row once to each left block, and the sides are co-grouped on (left block,
+right block) in an exchange with an explicit number of partitions.  One group
+computes its scores with numpy in bounded chunks, and only the top k per left
+row leave it; a ``row_number() <= k`` window (partial + final
+``WindowGroupLimit``) merges them.  Block counts come from one-row aggregates
+inside the plan: nothing runs while the query is being built.
+
+Vectors are dense (``vec: array<float|double>``) or sparse (parallel
+``codes: array<long>`` / ``weights: array<double>``, L2-normalised).  Scores
+are cosine similarity.  A vector without a direction - null, empty, zero, or
+with a null, NaN or infinite component - scores 0 against everything; shorter
+dense vectors count missing components as 0.
+
+One rounding rule decides, in a block and between blocks: the score in whole
+millionths, halves away from zero.  Products of whole blocks only select
+candidates; a candidate's score is summed component by component in a fixed
+order, so it does not depend on the layout.  Ties go to the lower right id.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-SCORE_DECIMALS = 6
-_CHUNK = 1 << 22
-
-
-def _block_counts(n_left: int, n_right: int, block_rows: int, target_groups: int) -> tuple[int, int]:
-    lb = max(1, math.ceil(n_left / block_rows))
-    rb = max(1, math.ceil(n_right / block_rows))
-    # Split further while the cluster would sit idle and blocks stay useful.
-    while lb * rb < target_groups:
-        if n_left / lb >= n_right / rb and n_left / lb > 64:
-            lb += 1
-        elif n_right / rb > 64:
-            rb += 1
-        else:
-            break
-    return lb, rb
-
-
-def _topk_rows_exact(scores: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray,
-                     k: int) -> pd.DataFrame:
-    """Top k per row of ``scores`` by (rounded score desc, right id asc),
-    touching every entry (used for rows with mass ties).
-
-    Columns must be in ascending right-id order.  Scores are compared as
-    integers of 1e-6 units, i.e. rounded to 6 decimals."""
-    n_l, n_r = scores.shape
-    kk = min(k, n_r)
-    q = np.rint(scores * 10.0 ** SCORE_DECIMALS)
-    if kk < n_r:
-        # exactly kk per row in O(n): everything above the kk-th largest
-        # value, then the lowest columns among those equal to it
-        kth = np.argpartition(-q, kk - 1, axis=1)[:, kk - 1]
-        thr = q[np.arange(n_l), kth][:, None]
-        gt = q > thr
-        eq = q == thr
-        need = kk - gt.sum(axis=1, keepdims=True, dtype=np.int32)
-        rows, cols = np.nonzero(gt | (eq & (np.cumsum(eq, axis=1, dtype=np.int32) <= need)))
-    else:
-        rows, cols = np.divmod(np.arange(n_l * n_r), n_r)
-    # rows ascending, then score descending, then column (= right id) ascending
-    sel = np.lexsort((cols, -q[rows, cols], rows))
-    rows, cols = rows[sel], cols[sel]
-    return pd.DataFrame({"left_id": left_ids[rows], "right_id": right_ids[cols],
-                         "score": scores[rows, cols]})
-
-
-_PROBE_COLS = 1024     # columns whose k-th best bounds a row's k-th best
-_MAX_CANDIDATES = 256  # rows with more candidates (mass ties) go exact
-# a score this far below another rounds (to 6 decimals) strictly lower
-_ROUND_SLACK = 1.5 * 10.0 ** -SCORE_DECIMALS
-
-
-def _topk_rows(scores: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray,
-               k: int) -> pd.DataFrame:
-    """Same result as ``_topk_rows_exact`` at a fraction of the cost.
-
-    The k-th best of the first ``_PROBE_COLS`` columns is a lower bound
-    ``t`` of the row's k-th best.  Rounding is monotone, so every entry of
-    the top k rounds to at least round(t), and an entry more than
-    ``_ROUND_SLACK`` below ``t`` rounds strictly lower: one comparison pass
-    leaves a few candidates per row, ranked exactly."""
-    n_l, n_r = scores.shape
-    kk = min(k, n_r)
-    probe = min(n_r, _PROBE_COLS)
-    if kk >= probe or n_l == 0:
-        return _topk_rows_exact(scores, left_ids, right_ids, k)
-    t = np.partition(scores[:, :probe], probe - kk, axis=1)[:, probe - kk]
-    mask = scores >= (t - _ROUND_SLACK)[:, None]
-    heavy = mask.sum(axis=1) > _MAX_CANDIDATES
-    parts = []
-    if heavy.any():
-        hr = np.nonzero(heavy)[0]
-        parts.append(_topk_rows_exact(scores[hr], left_ids[hr], right_ids, k))
-        mask[hr] = False
-    rows, cols = np.nonzero(mask)
-    q = np.rint(scores[rows, cols] * 10.0 ** SCORE_DECIMALS)
-    sel = np.lexsort((cols, -q, rows))
-    rows, cols = rows[sel], cols[sel]
-    first = np.searchsorted(rows, rows, side="left")
-    keep = (np.arange(len(rows)) - first) < kk
-    rows, cols = rows[keep], cols[keep]
-    parts.append(pd.DataFrame({"left_id": left_ids[rows], "right_id": right_ids[cols],
-                               "score": scores[rows, cols]}))
-    return parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-
-
-_LEFT_CHUNK = 1024     # left rows scored at a time (bounds the score matrix)
-_HOT_SHARE = 64        # a term in >= 1/64 of a block's right rows is "hot"
-
-
-def _dense_matrix(vecs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    M = np.stack([np.asarray(v, dtype=np.float64) for v in vecs])
-    return M, np.linalg.norm(M, axis=1)
-
-
-class _DenseScorer:
-    def __init__(self, rpdf: pd.DataFrame):
-        self.R, self.rn = _dense_matrix(rpdf["vec"])
-
-    def scores(self, lpdf: pd.DataFrame) -> np.ndarray:
-        L, ln = _dense_matrix(lpdf["vec"])
-        denom = np.outer(ln, self.rn)
-        ok = denom > 0
-        # a zero vector scores 0 against everything
-        return np.where(ok, (L @ self.R.T) / np.where(ok, denom, 1.0), 0.0)
-
-
-def _flatten_sparse(pdf: pd.DataFrame):
-    lens = pdf["terms"].map(len).to_numpy()
-    idx = np.repeat(np.arange(len(pdf)), lens)
-    if lens.sum() == 0:
-        return idx, np.array([], dtype=object), np.array([], dtype=np.float64)
-    terms = np.concatenate([np.asarray(t, dtype=object) for t in pdf["terms"]])
-    weights = np.concatenate([np.asarray(w, dtype=np.float64) for w in pdf["weights"]])
-    return idx, terms, weights
-
-
-class _SparseScorer:
-    """Dot products of L2-normalised sparse vectors against one block of
-    right rows.
-
-    Terms held by many right rows ("hot", at most ``_HOT_SHARE`` times the
-    mean row length of them) go through a dense matrix product; the rest
-    through an inverted index (postings sorted by term code, pairs summed
-    with ``bincount`` in bounded chunks).  So a term shared by every row
-    never expands into per-pair work.
-    """
-
-    def __init__(self, rpdf: pd.DataFrame):
-        self.n_r = n_r = len(rpdf)
-        ri, rt, rw = _flatten_sparse(rpdf)
-        codes, uniques = pd.factorize(rt) if len(rt) else (np.array([], dtype=np.int64), [])
-        self.vocab = pd.Index(uniques)
-        n_terms = len(self.vocab)
-        per_term = np.bincount(codes, minlength=n_terms)
-        hot = per_term >= max(8, n_r // _HOT_SHARE)
-        self.hot_col = np.full(n_terms, -1, dtype=np.int64)
-        self.hot_col[hot] = np.arange(int(hot.sum()))
-        self.R_hot = np.zeros((n_r, int(hot.sum())), dtype=np.float64)
-        h = self.hot_col[codes] >= 0
-        self.R_hot[ri[h], self.hot_col[codes[h]]] = rw[h]
-        cold = ~h
-        order = np.argsort(codes[cold], kind="stable")
-        self.rc, self.ri, self.rw = codes[cold][order], ri[cold][order], rw[cold][order]
-
-    def scores(self, lpdf: pd.DataFrame) -> np.ndarray:
-        n_l, n_r = len(lpdf), self.n_r
-        li, lt, lw = _flatten_sparse(lpdf)
-        lc = self.vocab.get_indexer(lt) if len(lt) else np.array([], dtype=np.int64)
-        known = lc >= 0
-        li, lc, lw = li[known], lc[known], lw[known]
-        hc = self.hot_col[lc] if len(lc) else np.array([], dtype=np.int64)
-        h = hc >= 0
-        if self.R_hot.shape[1]:
-            L_hot = np.zeros((n_l, self.R_hot.shape[1]), dtype=np.float64)
-            L_hot[li[h], hc[h]] = lw[h]
-            out = (L_hot @ self.R_hot.T).ravel()
-        else:
-            out = np.zeros(n_l * n_r, dtype=np.float64)
-        li, lc, lw = li[~h], lc[~h], lw[~h]
-        lo = np.searchsorted(self.rc, lc, side="left")
-        cnt = np.searchsorted(self.rc, lc, side="right") - lo
-        has = cnt > 0
-        li, lw, lo, cnt = li[has], lw[has], lo[has], cnt[has]
-        csum = np.cumsum(cnt)
-        start = 0
-        while start < len(cnt):
-            base = csum[start - 1] if start else 0
-            stop = max(int(np.searchsorted(csum, base + _CHUNK, side="right")), start + 1)
-            c = cnt[start:stop]
-            rep = np.repeat(np.arange(start, stop), c)
-            off = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-            ridx = lo[rep] + off
-            out += np.bincount(li[rep] * n_r + self.ri[ridx], weights=lw[rep] * self.rw[ridx],
-                               minlength=n_l * n_r)
-            start = stop
-        # normalised inputs: clip accumulated rounding to the cosine range
-        return np.clip(out.reshape(n_l, n_r), -1.0, 1.0)
+from pyspark.sql import types as T
+
+UNITS = 1_000_000
+#: Two products of one pair differ by less than this; rounding by half a unit.
+_SLACK = 2.0 / UNITS
+_LEFT_CHUNK = 256       # left rows scored at a time
+_CELLS = 1 << 24        # cells of a dense helper matrix
+_PAIRS = 1 << 16        # candidates summed at a time
+_LEAST_ROWS = 64        # a block is not split below this to keep cores busy
+
+
+def units(scores: np.ndarray) -> np.ndarray:
+    """Whole millionths, halves away from zero."""
+    return (np.sign(scores) * np.floor(np.abs(scores) * UNITS + 0.5)).astype(np.int64)
+
+
+class _Dense:
+    """Directions of one side; ``pair`` sums left to right, so trailing zeros
+    and the other rows of a block change nothing."""
+
+    def __init__(self, frame: pd.DataFrame, dim: int):
+        m = np.zeros((len(frame), dim))
+        for k, v in enumerate(frame["vec"]):
+            if v is not None and all(x is not None for x in v):
+                m[k, :len(v)] = v
+        m[~np.isfinite(m).all(axis=1)] = 0
+        largest = np.abs(m).max(axis=1, initial=0)
+        m /= np.where(largest > 0, largest, 1)[:, None]
+        norm = np.sqrt(np.cumsum(m * m, axis=1)[:, -1]) if dim else np.zeros(len(m))
+        self.m = m / np.where(norm > 0, norm, 1)[:, None]
+
+    def __len__(self):
+        return len(self.m)
+
+
+class DenseBlock:
+    def __init__(self, left: pd.DataFrame, right: pd.DataFrame):
+        dim = max((len(v) for f in (left, right) for v in f["vec"] if v is not None), default=0)
+        self.left, self.right = _Dense(left, dim), _Dense(right, dim)
+
+    def rough(self, a: int, b: int) -> np.ndarray:
+        return self.left.m[a:b] @ self.right.m.T
+
+    def pair(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        both = self.left.m[rows] * self.right.m[cols]
+        return np.cumsum(both, axis=1)[:, -1] if both.shape[1] else np.zeros(len(rows))
+
+
+class _Sparse:
+    """Entries of one side by row, codes ascending within a row."""
+
+    def __init__(self, frame: pd.DataFrame):
+        codes = [np.asarray(c if c is not None else [], np.int64) for c in frame["codes"]]
+        weights = [np.asarray(w if w is not None else [], np.float64) for w in frame["weights"]]
+        self.size = np.array([len(c) for c in codes], np.int64)
+        self.row = np.repeat(np.arange(len(codes)), self.size)
+        self.code = np.concatenate([np.zeros(0, np.int64), *codes])
+        self.weight = np.concatenate([np.zeros(0), *weights])
+        order = np.lexsort((self.code, self.row))
+        self.code, self.weight = self.code[order], self.weight[order]
+        self.end = np.cumsum(self.size)
+
+
+class SparseBlock:
+    """Rough scores: the vocabulary of the right rows is cut into column
+    groups so that no helper matrix passes ``_CELLS`` cells."""
+
+    def __init__(self, left: pd.DataFrame, right: pd.DataFrame):
+        self.l, self.r = _Sparse(left), _Sparse(right)
+        self.vocabulary = np.unique(self.r.code)
+        self.r_col = np.searchsorted(self.vocabulary, self.r.code)
+        at = np.searchsorted(self.vocabulary, self.l.code)
+        known = at < len(self.vocabulary)
+        known[known] = self.vocabulary[at[known]] == self.l.code[known]
+        self.l_col = np.where(known, at, -1)
+        by_col = np.argsort(self.r_col, kind="stable")
+        self.post_row, self.post_weight = self.r.row[by_col], self.r.weight[by_col]
+        self.post_start = np.searchsorted(self.r_col[by_col], np.arange(len(self.vocabulary) + 1))
+        # (row, column) of every right entry as one sorted number
+        self.r_key = self.r.row * max(1, len(self.vocabulary)) + self.r_col
+
+    def rough(self, a: int, b: int) -> np.ndarray:
+        n_r = len(self.r.size)
+        out = np.zeros((b - a, n_r))
+        lo, hi = (self.l.end[a - 1] if a else 0), (self.l.end[b - 1] if b else 0)
+        rows, cols, weights = self.l.row[lo:hi] - a, self.l_col[lo:hi], self.l.weight[lo:hi]
+        rows, cols, weights = rows[cols >= 0], cols[cols >= 0], weights[cols >= 0]
+        used, place = np.unique(cols, return_inverse=True)
+        step = max(1, _CELLS // max(1, n_r))
+        for at in range(0, len(used), step):
+            own = used[at:at + step]
+            here = (place >= at) & (place < at + step)
+            left = np.zeros((b - a, len(own)))
+            left[rows[here], place[here] - at] = weights[here]
+            right = np.zeros((n_r, len(own)))
+            counts = self.post_start[own + 1] - self.post_start[own]
+            entry = np.repeat(self.post_start[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            right[self.post_row[entry], np.repeat(np.arange(len(own)), counts)] = self.post_weight[entry]
+            out += left @ right.T
+        return out
+
+    def pair(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        sizes = self.l.size[rows]
+        entry = np.repeat(self.l.end[rows] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        key = cols[owner] * max(1, len(self.vocabulary)) + self.l_col[entry]
+        at = np.minimum(np.searchsorted(self.r_key, key), max(0, len(self.r_key) - 1))
+        hit = (self.l_col[entry] >= 0) & (self.r_key[at] == key) if len(self.r_key) else np.zeros(len(key), bool)
+        return np.bincount(owner[hit], self.l.weight[entry[hit]] * self.r.weight[at[hit]], len(rows))
+
+
+def block_topk(block, n_left: int, n_right: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Left and right places and scores in millionths of each left row's ``k``
+    best, right rows being in id order."""
+    k = min(k, n_right)
+    found = []
+    for a in range(0, n_left, _LEFT_CHUNK):
+        b = min(n_left, a + _LEFT_CHUNK)
+        rough = block.rough(a, b)
+        kth = np.partition(rough, n_right - k, axis=1)[:, n_right - k]
+        maybe = rough >= (kth - _SLACK)[:, None]
+        zero = maybe & (rough == 0)  # pairs without a common direction: only the first k can count
+        maybe &= ~zero | (np.cumsum(zero, axis=1) <= k)
+        rows, cols = np.nonzero(maybe)
+        score = np.zeros(len(rows), np.int64)
+        for at in range(0, len(rows), _PAIRS):
+            part = slice(at, at + _PAIRS)
+            score[part] = units(np.clip(block.pair(rows[part] + a, cols[part]), -1, 1))
+        order = np.lexsort((cols, -score, rows))
+        rows, cols, score = rows[order], cols[order], score[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+        found.append((rows[keep] + a, cols[keep], score[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def topk_cosine(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dense",
-                left_id: str = "left_id", right_id: str = "right_id",
-                block_rows: int | None = None, n_left: int | None = None,
-                n_right: int | None = None) -> DataFrame:
+                left_id: str = "left_id", right_id: str = "right_id", block_rows: int = 2048,
+                partitions: int | None = None, left_rows: DataFrame | None = None,
+                right_rows: DataFrame | None = None) -> DataFrame:
     """``(left_id, right_id, score, rank)`` for the k best right rows of
     every left row.
 
-    dense: both sides have ``vec``.  sparse: both sides have ``terms`` and
-    ``weights`` (L2-normalised).  Ids are keys (unique per side): blocks are
-    assigned by hashing them, which bounds every group's size.  ``n_left``/``n_right`` are row counts; when
-    omitted they are counted (a scalar action).
-    """
+    Ids are keys (unique and not null per side) of any orderable type.
+    ``left_rows``/``right_rows`` are DataFrames to count for the block layout
+    where the sides themselves are costly to compute (an upper bound will
+    do); ``partitions`` is the number of scoring tasks."""
+    make, cols = {"dense": (DenseBlock, ["vec"]), "sparse": (SparseBlock, ["codes", "weights"])}[kind]
     spark = left.sparkSession
-    if kind == "dense":
-        cols = ["vec"]
-        block_rows = block_rows or 8192
-    elif kind == "sparse":
-        cols = ["terms", "weights"]
-        block_rows = block_rows or 8192
-    else:
-        raise ValueError(kind)
-    L = left.select(F.col(left_id).cast("long").alias("id"), *cols)
-    R = right.select(F.col(right_id).cast("long").alias("id"), *cols)
-    n_left = L.count() if n_left is None else n_left
-    n_right = R.count() if n_right is None else n_right
-    lb, rb = _block_counts(n_left, n_right, block_rows,
-                           spark.sparkContext.defaultParallelism)
-
-    L = (L.withColumn("lb", F.pmod(F.xxhash64("id"), F.lit(lb)))
-          .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)).cast("array<long>"))))
-    R = (R.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(rb)))
-          .withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(lb - 1)).cast("array<long>"))))
-
-    def score_block(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(lpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame({"left_id": pd.Series([], dtype="int64"),
-                                 "right_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        rpdf = rpdf.sort_values("id", kind="stable").reset_index(drop=True)
-        scorer = (_DenseScorer if kind == "dense" else _SparseScorer)(rpdf)
-        right_ids = rpdf["id"].to_numpy(np.int64)
-        parts = []
-        for a in range(0, len(lpdf), _LEFT_CHUNK):
-            chunk = lpdf.iloc[a:a + _LEFT_CHUNK]
-            parts.append(_topk_rows(scorer.scores(chunk), chunk["id"].to_numpy(np.int64),
-                                    right_ids, k))
-        return pd.concat(parts, ignore_index=True)
-
-    cand = (L.groupBy("lb", "rb").cogroup(R.groupBy("lb", "rb"))
-             .applyInPandas(score_block, "left_id long, right_id long, score double"))
-    w = Window.partitionBy("left_id").orderBy(
-        F.round("score", SCORE_DECIMALS).desc(), F.col("right_id").asc())
-    return (cand.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k)
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias(name))
+
+    # one row: blocks of either side; small inputs are split to fill the tasks
+    layout = counted(left_rows or left, "nl").crossJoin(counted(right_rows or right, "nr"))
+    rb = F.ceil(F.col("nr") / block_rows)
+    lb = F.greatest(F.ceil(F.col("nl") / block_rows),
+                    F.least(F.ceil(F.col("nl") / _LEAST_ROWS), F.ceil(F.lit(partitions) / F.col("rbs"))))
+    layout = F.broadcast(layout.withColumn("rbs", rb).select("rbs", lb.alias("lbs")))
+
+    def blocks(df: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
+        rows = df.select(F.col(id_col).alias("id"), *[F.col(c).alias(c) for c in cols]).crossJoin(layout)
+        own_block = F.pmod(F.xxhash64("id"), F.col(f"{own}s")).alias(own)
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}s") - 1)).alias(other)
+        return rows.select("id", *cols, own_block, copies).repartition(partitions, "lb", "rb")
+
+    schema = T.StructType([T.StructField("left_id", left.schema[left_id].dataType),
+                           T.StructField("right_id", right.schema[right_id].dataType),
+                           T.StructField("units", T.LongType())])
+
+    def score_block(l_rows: pd.DataFrame, r_rows: pd.DataFrame) -> pd.DataFrame:
+        if l_rows.empty or r_rows.empty:
+            return pd.DataFrame({"left_id": l_rows["id"][:0], "right_id": r_rows["id"][:0], "units": np.zeros(0, np.int64)})
+        r_rows = r_rows.sort_values("id", kind="stable", ignore_index=True)
+        at, to, score = block_topk(make(l_rows, r_rows), len(l_rows), len(r_rows), k)
+        return pd.DataFrame({"left_id": l_rows["id"].to_numpy()[at], "right_id": r_rows["id"].to_numpy()[to], "units": score})
+
+    found = (blocks(left, left_id, "lb", "rb").groupBy("lb", "rb")
+             .cogroup(blocks(right, right_id, "rb", "lb").groupBy("lb", "rb"))
+             .applyInPandas(score_block, schema))
+    order = Window.partitionBy("left_id").orderBy(F.desc("units"), F.asc("right_id"))
+    return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select(F.col("left_id").alias(left_id), F.col("right_id").alias(right_id),
-                    F.round("score", SCORE_DECIMALS).alias("score"), "rank"))
+                    (F.col("units") / UNITS).alias("score"), "rank"))

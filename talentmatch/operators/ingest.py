@@ -1,24 +1,17 @@
 """Source fallback - the first source, in priority order, that has rows.
 
-Each source is tagged with its priority.  Which sources have rows is
-decided by ``limit(1)`` probes (a task stops at its first row, so a source
-is not computed in full for the test); the smallest priority present is a
-one-row aggregate, joined back to the tagged union by broadcast.  No global
-window or single-partition step is planned.
+Sources are probed one after the other (``isEmpty`` stops at the first row),
+and only the chosen one is returned, so the others are never computed in
+full.  With no rows anywhere the last source is returned, empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def first_nonempty(*sources: DataFrame) -> DataFrame:
-    tagged = present = None
-    for prio, src in enumerate(sources):
-        t = src.withColumn("_prio", F.lit(prio))
-        tagged = t if tagged is None else tagged.unionByName(t, allowMissingColumns=True)
-        p = src.limit(1).select(F.lit(prio).alias("_prio"))
-        present = p if present is None else present.unionByName(p)
-    best = present.agg(F.min("_prio").alias("_prio"))
-    return tagged.join(F.broadcast(best), "_prio").drop("_prio")
+    for source in sources[:-1]:
+        if not source.isEmpty():
+            return source
+    return sources[-1]

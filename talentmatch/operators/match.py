@@ -6,18 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentmatch.functions import constants as K
+from talentmatch.functions.text import is_blank
 from talentmatch.operators import tfidf
-from talentmatch.operators.blockmatch import SCORE_DECIMALS, topk_cosine
+from talentmatch.operators.blockmatch import topk_cosine
+
+
+def _direction(v: Column) -> Column:
+    """The vector as doubles, or null if it has no direction to speak of: a
+    null, NaN or infinite component."""
+    v = v.cast("array<double>")
+    inf = F.lit(float("inf"))
+    return F.when(~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == inf)), v)
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """D4 on two dense array columns: dot / (|a| |b|), 0 for a zero vector."""
-    a = a.cast("array<double>")
-    b = b.cast("array<double>")
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v))
-    nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, v: s + v * v))
-    return F.when((na > 0) & (nb > 0), dot / (na * nb)).otherwise(F.lit(0.0))
+    """D4 on two dense array columns: dot / (|a| |b|), 0 if either is null,
+    zero or not finite; missing components count as 0."""
+    a, b = _direction(a), _direction(b)
+    zero = F.lit(0.0)
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x, zero) * F.coalesce(y, zero)), zero, lambda s, v: s + v)
+    na = F.sqrt(F.aggregate(a, zero, lambda s, v: s + v * v))
+    nb = F.sqrt(F.aggregate(b, zero, lambda s, v: s + v * v))
+    return F.when((na > 0) & (nb > 0), dot / (na * nb)).otherwise(zero)
 
 
 def match_dense(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_N, *,
@@ -32,49 +42,45 @@ def match_dense(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_
                       F.col("score").alias("match_score"), "rank")
 
 
-def tfidf_features(resumes: DataFrame, jobs: DataFrame, *, resume_id: str = "resume_id",
-                   job_id: str = "job_id", text: str = "text", n_jobs: int | None = None,
-                   resumes_partitioned: bool = False):
-    """Sparse vectors for both sides with the vocabulary fitted on jobs.
-    ``resumes_partitioned``: the résumés are hash-partitioned by id."""
-    tf_j = tfidf.term_counts(jobs, job_id, text, keep_empty=True)
-    n_jobs = jobs.count() if n_jobs is None else n_jobs
-    idf = tfidf.fit_idf(tf_j, n_jobs)
-    jv = tfidf.vectors(tf_j, idf)
-    tf_r = tfidf.term_counts(resumes, resume_id, text, keep_empty=True,
-                             partitioned=resumes_partitioned)
-    rv = tfidf.vectors(tf_r, idf)
-    return rv, jv, n_jobs
+def with_text(jobs: DataFrame, text: str = "text") -> DataFrame:
+    """Jobs that have any text; the others take no part in matching."""
+    return jobs.where(~is_blank(F.col(text)))
+
+
+def job_counts(jobs: DataFrame, text: str = "text") -> DataFrame:
+    """One row: jobs that are matched against, and jobs without text."""
+    blank = is_blank(F.col(text)).cast("int")
+    return jobs.agg(F.coalesce(F.sum(1 - blank), F.lit(0)).cast("bigint").alias("n_jobs"),
+                    F.coalesce(F.sum(blank), F.lit(0)).cast("bigint").alias("n_without_text"))
 
 
 def match_tfidf(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_N, *,
                 resume_id: str = "resume_id", job_id: str = "job_id", text: str = "text",
-                n_resumes: int | None = None, n_jobs: int | None = None,
-                resumes_partitioned: bool = False, **kw) -> DataFrame:
-    """Top-n jobs per résumé by TF-IDF cosine.  Jobs sharing no term with
-    a résumé score 0 and still compete (lowest job id first), as when every
-    job is scored.
-
-    ``n_jobs`` must be the exact job row count (it enters the idf);
-    ``n_resumes`` only sizes the blocks, so an upper bound will do."""
-    rv, jv, n_jobs = tfidf_features(resumes, jobs, resume_id=resume_id, job_id=job_id,
-                                    text=text, n_jobs=n_jobs,
-                                    resumes_partitioned=resumes_partitioned)
-    if n_resumes is None:
-        # block sizing only: count the input (pruned to what its filters
-        # read), not the vectors, whose plan would run in full
-        n_resumes = resumes.count()
-    out = topk_cosine(rv.withColumnRenamed("id", "l"), jv.withColumnRenamed("id", "r"), top_n,
-                      kind="sparse", left_id="l", right_id="r", n_left=n_resumes,
-                      n_right=n_jobs, **kw)
+                resume_rows: DataFrame | None = None, **kw) -> DataFrame:
+    """Top-n jobs per résumé by TF-IDF cosine, the vocabulary fitted on the
+    jobs that have text.  Jobs sharing no term with a résumé score 0 and
+    still compete (lowest job id first), as when every job is scored.
+
+    ``resume_rows`` is counted for the block layout in place of the résumés;
+    an upper bound will do."""
+    jobs = with_text(jobs, text)
+    jc = tfidf.term_counts(jobs, job_id, text)
+    idf = tfidf.fit_idf(jc, jobs)
+    sides = [tfidf.coded(tfidf.vectors(c, idf)) for c in (tfidf.term_counts(resumes, resume_id, text), jc)]
+    out = topk_cosine(sides[0].withColumnRenamed("id", "l"), sides[1].withColumnRenamed("id", "r"), top_n,
+                      kind="sparse", left_id="l", right_id="r", left_rows=resume_rows if resume_rows is not None else resumes,
+                      right_rows=jobs, **kw)
     return out.select(F.col("l").alias(resume_id), F.col("r").alias(job_id),
                       F.col("score").alias("match_score"), "rank")
 
 
-def top_global(scored: DataFrame, n: int = K.DEFAULT_TOP_N, score: str = "match_score",
-               tie: str = "job_id") -> DataFrame:
-    """One ranked list: ``orderBy(desc).limit(n)`` (TakeOrderedAndProject)."""
-    return scored.orderBy(F.round(score, SCORE_DECIMALS).desc(), F.col(tie).asc()).limit(n)
+def match_one(resume_vector: DataFrame, jobs: DataFrame, n: int = K.DEFAULT_TOP_N, *,
+              resume_id: str = "resume_id", job_id: str = "job_id", vec: str = "vec") -> DataFrame:
+    """One résumé's ranked list: ``resume_vector`` is one row, sent to
+    every task; ``orderBy(desc).limit(n)`` keeps n rows per task."""
+    one = F.broadcast(resume_vector.select(resume_id, F.col(vec).alias("own")).limit(1))
+    scored = jobs.crossJoin(one).select(resume_id, job_id, F.round(cosine(F.col("own"), F.col(vec)), 6).alias("match_score"))
+    return scored.orderBy(F.desc("match_score"), F.asc(job_id)).limit(n)
 
 
 def match_stats(matches: DataFrame, resume_id: str = "resume_id") -> DataFrame:

@@ -1,6 +1,7 @@
 """Parse a table of résumé texts into typed records.
 
-One narrow plan: three projections, no shuffle.  The cleaned text, its
+Sections and raw text are kept whole; :func:`displayed` shortens them for
+display alone.  One narrow plan: three projections, no shuffle.  The cleaned text, its
 lower-cased form and the lower-cased skills tail are produced in earlier
 projections so the 48 skill predicates and the field patterns read them
 instead of recomputing them (Catalyst keeps projections apart when merging
@@ -14,17 +15,14 @@ from pyspark.sql import functions as F
 
 from talentmatch.functions import constants as K
 from talentmatch.functions import resume as R
-from talentmatch.functions.text import is_blank
+from talentmatch.functions.text import is_blank, truncate
 from talentmatch.session import spread
+from talentmatch.sources.resume_files import basename
 
 RECORD_COLUMNS = ("name", "email", "phone", "skills", "experience", "education",
                   "raw_text", "file", "text_length", "error")
 
 
-def basename(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
-
-
 def parse_resumes(df: DataFrame, text_col: str = "text", path_col: str | None = None,
                   keep: tuple[str, ...] | None = None) -> DataFrame:
     """Add the parse record to each row of ``df``.
@@ -60,15 +58,23 @@ def parse_resumes(df: DataFrame, text_col: str = "text", path_col: str | None =
         when_ok(R.extract_email(clean)).alias("email"),
         when_ok(R.extract_phone(clean)).alias("phone"),
         when_ok(R.extract_skills("_lc", "_tail")).alias("skills"),
-        when_ok(R.extract_section(clean, K.SECTION_EXPERIENCE)).alias("experience"),
-        when_ok(R.extract_section(clean, K.SECTION_EDUCATION)).alias("education"),
-        when_ok(R.raw_text(clean)).alias("raw_text"),
+        when_ok(R.section_text(clean, K.SECTION_EXPERIENCE)).alias("experience"),
+        when_ok(R.section_text(clean, K.SECTION_EDUCATION)).alias("education"),
+        when_ok(clean).alias("raw_text"),
         when_ok(F.col("_file")).alias("file"),
         when_ok(F.col("_len")).alias("text_length"),
         F.when(~ok, F.lit(K.EMPTY_TEXT_ERROR)).alias("error"),
     )
 
 
+def displayed(parsed: DataFrame) -> DataFrame:
+    """The record as shown, sections and raw text cut with an ellipsis."""
+    return parsed.withColumns({
+        "experience": truncate(F.col("experience"), K.SECTION_MAX_CHARS, K.ELLIPSIS),
+        "education": truncate(F.col("education"), K.SECTION_MAX_CHARS, K.ELLIPSIS),
+        "raw_text": truncate(F.col("raw_text"), K.RAW_TEXT_MAX_CHARS, K.ELLIPSIS)})
+
+
 def parse_errors(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("error").isNotNull())
 

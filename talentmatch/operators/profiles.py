@@ -37,13 +37,16 @@ def manual_profiles(forms: DataFrame, *, request_id: str = "request_id",
 def resolve_profiles(files: DataFrame, forms: DataFrame) -> DataFrame:
     """One profile (or a rejection) per request.
 
-    ``files``: request_id, admitted, and the parse record (name, email,
-    skills, experience, education, error).  ``forms``: raw form rows
-    (request_id, skills, experience, education).  An admitted file that
+    ``files``: request_id, admitted, too_large, and the parse record (name,
+    email, skills, experience, education, error).  ``forms``: raw form rows
+    (request_id, skills, experience, education).  A file over the size limit
+    rejects the request before its form is read; an admitted file that
     parsed wins; an admitted file that failed to parse rejects the request;
-    otherwise the form is used if its skills field is not blank.
+    otherwise (no file, or one of another type) the form is used if its
+    skills field is not blank.
     """
     f = files.select("request_id", F.col("admitted").alias("f_admitted"),
+                     F.col("too_large").alias("f_too_large"),
                      *[F.col(c).alias("f_" + c) for c in
                        ("name", "email", "skills", "experience", "education", "error")])
     m = forms.select("request_id", *[F.col(c).alias("m_" + c)
@@ -51,10 +54,11 @@ def resolve_profiles(files: DataFrame, forms: DataFrame) -> DataFrame:
     j = f.join(m, "request_id", "full")
     form_valid, form_cols = _form_columns(F.col("m_skills"), F.col("m_experience"),
                                           F.col("m_education"))
-    use_file = F.coalesce(F.col("f_admitted"), F.lit(False))
+    refused = F.coalesce(F.col("f_too_large"), F.lit(False))
+    use_file = ~refused & F.coalesce(F.col("f_admitted"), F.lit(False))
     file_ok = use_file & F.col("f_error").isNull()
     file_bad = use_file & F.col("f_error").isNotNull()
-    form_ok = ~use_file & F.col("m_skills").isNotNull() & form_valid
+    form_ok = ~refused & ~use_file & F.col("m_skills").isNotNull() & form_valid
 
     def pick(c: str):
         return F.when(file_ok, F.col("f_" + c)).when(form_ok, form_cols[c])
@@ -65,5 +69,6 @@ def resolve_profiles(files: DataFrame, forms: DataFrame) -> DataFrame:
         pick("name").alias("name"), pick("email").alias("email"),
         pick("skills").alias("skills"), pick("experience").alias("experience"),
         pick("education").alias("education"),
-        F.when(file_bad, F.concat(F.lit("Resume parsing error: "), F.col("f_error")))
+        F.when(refused, F.lit(K.TOO_LARGE_ERROR))
+         .when(file_bad, F.concat(F.lit("Resume parsing error: "), F.col("f_error")))
          .when(~file_ok & ~form_ok, F.lit(NO_PROFILE_ERROR)).alias("rejection"))

@@ -6,80 +6,73 @@ side (n = job rows, df = jobs containing the term); vectors are
 L2-normalised.  Terms unknown to the fitted vocabulary are dropped from the
 other side before normalising.
 
-Plan: explode + ``groupBy(doc, term)`` (map-side partial counts), one
-``groupBy(term)`` for df (partial aggregation absorbs hot terms), a join on
-term (AQE broadcasts the vocabulary when its measured size allows, else a
-sort-merge join whose hot-term partitions AQE splits), then one
+Plan: terms are counted inside the row (sorted tokens, then the places where
+the token changes), so no text is shuffled; one ``groupBy(term)`` for df
+(partial aggregation absorbs hot terms) against n as a one-row aggregate; a
+join on term (AQE broadcasts the vocabulary when its measured size allows,
+else a sort-merge join whose hot-term partitions AQE splits); one
 ``groupBy(doc)`` that packs each document's own terms into arrays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+COUNTS = "array<struct<term:string,tf:bigint>>"
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str,
-                keep_empty: bool = False, partitioned: bool = False) -> DataFrame:
-    """``(id, term, tf)`` for every distinct term of every document.
-
-    ``keep_empty`` keeps a document without any token as one row with a
-    null term, so later steps see every document without reading the
-    input again.  ``partitioned`` says ``docs`` is already hash-partitioned
-    by ``id_col`` (see ``session.partition_by_key``)."""
+def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, counts)``: the distinct terms of every document with their
+    number of occurrences, by term; an empty array without any token."""
     tokens = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN), 0)
-    term = F.explode_outer(tokens) if keep_empty else F.explode(tokens)
-    # documents hash-partitioned by id: the (id, term) counts, the join to
-    # the vocabulary (when broadcast) and the per-document packing then
-    # need no further exchange
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col))
-    if not partitioned:
-        d = d.repartition("id")
-    return (d.select("id", term.alias("term"))
-            .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
-
-
-def fit_idf(tf: DataFrame, n_docs: int) -> DataFrame:
-    """``(term, idf)`` from a term-count table of ``n_docs`` documents."""
-    # counts rows with tf > 0 (all of them) rather than count(1): reading
-    # tf keeps the term-count aggregate whole, so this and the vectors share
-    # one exchange instead of tokenizing the documents twice
-    # (a null term - documents without tokens - yields one row that never
-    # joins; filtering it would be pushed below the exchange and split it)
-    return (tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.lit(1))).alias("df"))
-              .select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df")))
-                               + F.lit(1.0)).alias("idf")))
-
-
-def weights(tf: DataFrame, idf: DataFrame) -> DataFrame:
-    """``(id, term, weight)``: L2-normalised tf*idf over known terms."""
-    w = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return (w.join(norms, "id")
-             .select("id", "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm"))
-                     .otherwise(F.lit(0.0)).alias("weight")))
-
-
-def vectors(tf: DataFrame, idf: DataFrame) -> DataFrame:
-    """``(id, terms, weights)`` sparse rows, L2-normalised, one per document
-    of ``tf`` (an empty vector when it has no term of the vocabulary).
-
-    A left join keeps every document; a null term (a document without
-    tokens) joins on a key unique to its document, so those rows spread
-    over the join instead of gathering under one null key."""
-    key = F.coalesce(F.col("term"), F.concat(F.lit("\u0000"), F.col("id").cast("string")))
-    # a non-null key: no "term is not null" is inferred and pushed into the
-    # vocabulary's plan, which stays identical to (and shares) the tf one
-    v = idf.select(F.coalesce(F.col("term"), F.lit("\u0000")).alias("_k"), "idf")
-    e = (tf.select("id", "term", "tf", key.alias("_k")).join(v, "_k", "left")
-           .select("id", F.when(F.col("idf").isNotNull(),
-                                F.struct("term", (F.col("tf") * F.col("idf")).alias("w")))
-                   .alias("e")))
-    packed = e.groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.array_sort(tokens), F.array().cast("array<string>")).alias("s"))
+    size = F.size("s")
+
+    def token(i: Column) -> Column:
+        return F.get(F.col("s"), i)
+
+    firsts = F.when(size > 0, F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (token(i) != token(i - 1))))
+    d = d.select("id", "s", F.coalesce(firsts, F.array().cast("array<int>")).alias("p"))
+    ends = F.concat(F.slice("p", 2, F.size("p")), F.array(size))
+    counts = F.transform(F.arrays_zip(F.col("p").alias("a"), ends.alias("b")), lambda x: F.struct(
+        token(x["a"]).alias("term"), (x["b"] - x["a"]).cast("bigint").alias("tf")))
+    return d.select("id", F.when(size > 0, counts).otherwise(F.array().cast(COUNTS)).alias("counts"))
+
+
+def fit_idf(counts: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """``(term, idf)`` from the term counts of all documents; n counts the
+    rows of ``docs`` (the counts themselves unless given)."""
+    n = (docs if docs is not None else counts).agg(F.count(F.lit(1)).alias("n"))
+    df = (counts.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    return df.crossJoin(F.broadcast(n)).select(  # one row
+        "term", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+
+
+def vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """``(id, terms, weights)`` sparse rows, L2-normalised, terms ascending,
+    one per document (empty when it has no term of the vocabulary).
+
+    A document without tokens carries a key of its own through the join, so
+    such rows do not gather under one null key."""
+    e = counts.select("id", F.explode_outer("counts").alias("c")).select(
+        "id", "c.term", "c.tf", F.coalesce("c.term", F.concat(F.lit("\u0000"), F.col("id").cast("string"))).alias("key"))
+    known = e.join(idf.select(F.col("term").alias("key"), "idf"), "key", "left").select(
+        "id", F.when(F.col("idf").isNotNull(), F.struct("term", (F.col("tf") * F.col("idf")).alias("w"))).alias("e"))
+    packed = known.groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("e"))  # one document's own vocabulary
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    return packed.select(
-        "id", F.col("e.term").alias("terms"),
-        F.transform("e", lambda x: F.when(norm > 0, x["w"] / norm).otherwise(F.lit(0.0)))
-        .alias("weights"))
+    packed = packed.select("id", "e", norm.alias("norm"))
+    return packed.select("id", F.col("e.term").alias("terms"), F.transform(
+        "e", lambda x: F.when(F.col("norm") > 0, x["w"] / F.col("norm")).otherwise(F.lit(0.0))).alias("weights"))
+
+
+def weights(vectors_: DataFrame) -> DataFrame:
+    """``(id, term, weight)`` of every entry of :func:`vectors`."""
+    entry = F.explode(F.arrays_zip("terms", "weights"))
+    return vectors_.select("id", entry.alias("e")).select("id", F.col("e.terms").alias("term"), F.col("e.weights").alias("weight"))
+
+
+def coded(vectors_: DataFrame) -> DataFrame:
+    """Vectors with terms as 64-bit hashes: ``(id, codes, weights)``."""
+    return vectors_.select("id", F.transform("terms", lambda t: F.xxhash64(t)).alias("codes"), "weights")

@@ -93,9 +93,9 @@ def parse_select(src: str, id_col: str, text: str = "text", extra: str = "") ->
   case when not b then {email('c')} end email,
   case when not b then {phone('c')} end phone,
   case when not b then {skills('lc', 'tl')} end skills,
-  case when not b then {trunc(section_text('c', 'experience'), 200)} end experience,
-  case when not b then {trunc(section_text('c', 'education'), 200)} end education,
-  case when not b then {trunc('c', 500)} end raw_text,
+  case when not b then {section_text('c', 'experience')} end experience,
+  case when not b then {section_text('c', 'education')} end education,
+  case when not b then c end raw_text,
   case when not b then len end text_length,
   case when b then {lit(K.EMPTY_TEXT_ERROR)} end error
 from (select *, lower(c) lc, {tail('c')} tl from (
@@ -160,7 +160,7 @@ jobs_text as (select job_id, concat_ws(' ', title, company, location) text from
 
 UPLOADS = f"""{with_views('resumes_raw')},
 uploads as ({view_sql('uploads')}),
-up_parsed as (select *, {admitted('filename', 'size')} admitted from
+up_parsed as (select *, {admitted('filename', 'size')} admitted, size > 16777216 too_large from
   ({parse_select('uploads', 'request_id', extra='filename, size')}))"""
 
 
@@ -200,8 +200,11 @@ dense as (select resume_id, job_id, s match_score,
    qualify rank <= {K.DEFAULT_TOP_N})"""
 
 
-def _open_tag(tag: str, token: str) -> str:
-    return rf'<(?i:{tag})\s[^>]*class\s*=\s*"(?:[^"]*\s)?{token}(?:\s[^"]*)?"[^>]*>'
+def _open_tag(tag: str, token: str | None) -> str:
+    if token is None:
+        return rf"<(?i:{tag})(?:\s[^>]*)?>"
+    double, single = rf'"(?:[^"]*\s)?{token}(?:\s[^"]*)?"', rf"'(?:[^']*\s)?{token}(?:\s[^']*)?'"
+    return rf"<(?i:{tag})\s(?:[^>]*\s)?(?i:class)\s*=\s*(?:{double}|{single})[^>]*>"
 
 
 def _element(tag, token):
@@ -210,7 +213,7 @@ def _element(tag, token):
 
 def _entities(x: str) -> str:
     for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                    ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+                    ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         x = f"replace({x}, {lit(ent)}, {lit(ch)})"
     return x
 
@@ -224,34 +227,50 @@ def _field(card: str, selectors, default: str) -> str:
     return "case " + " ".join(parts) + f" else {lit(default)} end"
 
 
-def _link(card: str):
-    href = r'\shref\s*=\s*"([^"]*)"'
+def _link(card: str, selectors):
+    href = lit(r"""\s(?i:href)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
     link_parts, drop_parts = [], []
-    for tag, token in K.CARD_LINK:
+    for tag, token in selectors:
         pat = lit("(" + _open_tag(tag, token) + ")")
         opening = f"regexp_extract({card}, {pat}, 1)"
-        link_parts.append(f"when regexp_matches({card}, {pat}) then split_part("
-                          f"{_entities(f'regexp_extract({opening}, {lit(href)}, 1)')}, '?', 1)")
-        drop_parts.append(f"when regexp_matches({card}, {pat}) then not regexp_matches({opening}, {lit(href)})")
+        value = f"regexp_extract({opening}, {href}, 1) || regexp_extract({opening}, {href}, 2)"
+        link_parts.append(f"when regexp_matches({card}, {pat}) then split_part({_entities(f'({value})')}, '?', 1)")
+        drop_parts.append(f"when regexp_matches({card}, {pat}) then not regexp_matches({opening}, {href})")
     return ("case " + " ".join(link_parts) + f" else {lit(K.MISSING_LINK)} end",
             "case " + " ".join(drop_parts) + " else false end")
 
 
-def cards_ctes() -> str:
+def cards_from(pages: str, containers=K.CARD_CONTAINERS, title=K.CARD_TITLE, company=K.CARD_COMPANY,
+               location=K.CARD_LOCATION, link=K.CARD_LINK) -> str:
+    """CTEs up to ``cards``.  A segment ends where one more closing than
+    opening tag of its container's kind has been seen."""
     splits = ", ".join(f"regexp_split_to_array(html, {lit(_open_tag(t, c))}) s{i}"
-                       for i, (t, c) in enumerate(K.CARD_CONTAINERS))
-    link, drop = _link("card")
-    return f"""{with_views('pages_jobs')},
-sp as (select page_id, {splits} from pages_jobs),
-segs as (select page_id, (case when len(s0) > 1 then s0 when len(s1) > 1 then s1 else s2 end)[2:{K.MAX_CARDS_PER_PAGE + 1}] segs from sp),
-cardrows as (select page_id, unnest(segs) card, cast(generate_subscripts(segs, 1) - 1 as int) card_no from segs),
-cards as (select page_id, card_no, {_field('card', K.CARD_TITLE, K.MISSING_TITLE)} title,
-  {_field('card', K.CARD_COMPANY, K.MISSING_COMPANY)} company,
-  {_field('card', K.CARD_LOCATION, K.MISSING_LOCATION)} location, {link} link,
+                       for i, (t, c) in enumerate(containers))
+    kinds = " ".join(f"when len(s{i}) > 1 then {i}" for i in range(len(containers)))
+    chosen = " ".join(f"when {i} then s{i}" for i in range(len(containers)))
+    tags = [lit(rf"<(/?)(?i:{t})(?:\s[^>]*)?>") for t, _ in containers]
+    marks = " ".join(f"when {i} then regexp_extract_all(seg, {t}, 1)" for i, t in enumerate(tags))
+    pieces = " ".join(f"when {i} then regexp_split_to_array(seg, {t})" for i, t in enumerate(tags))
+    href, drop = _link("card", link)
+    return f"""sp as (select page_id, {splits} from {pages}),
+kinds as (select *, case {kinds} end kind from sp),
+seglists as (select page_id, kind, (case kind {chosen} end)[2:] segs from kinds where kind is not null),
+segrows as (select page_id, kind, unnest(segs) seg, cast(generate_subscripts(segs, 1) - 1 as int) card_no from seglists),
+cut as (select page_id, card_no, case kind {pieces} end parts,
+  [case when x = '/' then -1 else 1 end for x in (case kind {marks} end)] steps from segrows),
+ends as (select *, list_position([1 + list_sum(steps[1:i]) for i in range(1, len(steps) + 1)], 0) stop_at from cut),
+cardrows as (select page_id, card_no, array_to_string(case when stop_at > 0 then parts[1:stop_at] else parts end, '') card from ends),
+cards as (select page_id, card_no, {_field('card', title, K.MISSING_TITLE)} title,
+  {_field('card', company, K.MISSING_COMPANY)} company,
+  {_field('card', location, K.MISSING_LOCATION)} location, {href} link,
   {lit(K.SOURCE_HTML)} source, DATE '{SCRAPE_DATE}' date_scraped
   from cardrows where not ({drop}))"""
 
 
+def cards_ctes() -> str:
+    return f"{with_views('pages_jobs')},\n{cards_from('pages_jobs')}"
+
+
 def feed_ctes() -> str:
     fields = ", ".join(f"case when json_exists(j, {lit('$.' + key)}) then j->>{lit(key)} else {lit(d)} end {n}"
                        for n, key, d in K.FEED_FIELDS)
@@ -321,8 +340,27 @@ select a.vec_id, b.vec_id next_vec_id, round(case when list_dot_product(a.v, a.v
   then list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) else 0 end, 6) cosine
 from e a join e b on b.vec_id = a.vec_id + 1""",
     "match_topk_dense": f"with {DENSE} select resume_id, job_id, rank, match_score from dense",
-    "match_single": f"with {DENSE} select resume_id, job_id, match_score from dense "
-                    f"order by match_score desc, job_id, resume_id limit {K.DEFAULT_TOP_N}",
+    "match_single": f"with {DENSE} select resume_id, job_id, s match_score from pairs "
+                    f"where resume_id = (select min(resume_id) from r) order by s desc, job_id limit {K.DEFAULT_TOP_N}",
+    "blend_bands": """with e as (select vec_id, cast(embedding as double[]) v from embeddings),
+p as (select a.vec_id, a.v, [x[1] + x[2] * (a.vec_id % 7) / 2.0 for x in list_zip(a.v, b.v)] w
+  from e a join e b on b.vec_id = a.vec_id + 1),
+s as (select vec_id, round(case when list_dot_product(v, v) > 0 and list_dot_product(w, w) > 0 then
+  list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))) else 0 end, 6) score from p)
+select vec_id, score, case when score >= 0.7 then 'high' when score >= 0.5 then 'medium' else 'low' end band,
+  cast(cast(round_even(score * 100, 0) as bigint) as varchar) || '%' pct from s""",
+    "section_text": f"with {DOCS_CLEAN} select doc_id, {section_text('c', 'that')} section from docs",
+    "display_resumes": f"with {PARSED} select resume_id, name, {trunc('experience', 200)} experience, "
+                       f"{trunc('education', 200)} education, {trunc('raw_text', 500)} raw_text from parsed",
+    "parse_resume_files": f"""with {with_views('resumes_raw')},
+landed as (select resume_id, text || chr(10) text from resumes_raw),
+parsed as ({parse_select('landed', 'resume_id')})
+select resume_id, name, email, phone, array_to_string(skills, ', ') skills, experience, education, text_length, error from parsed""",
+    "canonical_url": "select page_id, split_part(url, '?', 1) url from pages",
+    "job_counts": f"""with {with_views('jobs_raw')},
+t as (select case when job_id % 97 = 0 then '' else concat_ws(' ', {strip("lower(case when job_id % 2 <> 0 then title else ' ' end)")},
+  {strip("lower(case when job_id % 3 <> 0 then company else ' ' end)")}, {strip("lower(case when job_id % 5 <> 0 then location else ' ' end)")}) end x from jobs_raw)
+select count(*) filter (not {blank('x')}) n_jobs, count(*) filter ({blank('x')}) n_without_text from t""",
 }
 
 
@@ -337,8 +375,13 @@ _RES_FROM_PARSED = (f"select resume_id, {resume_text('skills', 'experience', 'ed
 ORACLES["match_topk_tfidf"] = (_tfidf_with(PARSED, _RES_FROM_PARSED)
                                + "\nselect resume_id, job_id, rank, match_score from ranked")
 ORACLES["match_stats"] = (_tfidf_with(PARSED, _RES_FROM_PARSED)
-                          + "\nselect resume_id, count(*) n_matches, max(match_score) top_score "
-                            "from ranked group by resume_id")
+                          + "\nselect resume_id, count(*) n_matches, max(match_score) top_score, "
+                            "(select count(*) from jobs_text) n_jobs from ranked group by resume_id")
+ORACLES["match_results"] = (_tfidf_with(PARSED, _RES_FROM_PARSED) + """
+select m.resume_id, m.rank, m.job_id, j.title, j.company, j.location, j.link, m.match_score,
+  case when match_score >= 0.7 then 'high' when match_score >= 0.5 then 'medium' else 'low' end band,
+  cast(cast(round_even(match_score * 100, 0) as bigint) as varchar) || '%' pct
+from ranked m join jobs_clean j using (job_id)""")
 ORACLES["roundtrip_matches"] = (_tfidf_with(PARSED, _RES_FROM_PARSED) + """
 select m.resume_id, m.rank, m.job_id, j.title, j.company, j.location, j.link, m.match_score
 from ranked m join jobs_clean j using (job_id)""")
@@ -352,14 +395,14 @@ select p.request_id resume_id, coalesce(st.n_matches, 0) n_matches, st.top_score
 from up_parsed p left join st on st.resume_id = p.request_id""")
 
 _RESOLVED = f"""{UPLOADS}, {with_views('forms_raw')},
-j as (select coalesce(p.request_id, f.request_id) request_id, p.admitted f_admitted, p.name f_name, p.email f_email,
+j as (select coalesce(p.request_id, f.request_id) request_id, p.admitted f_admitted, coalesce(p.too_large, false) refused, p.name f_name, p.email f_email,
   p.skills f_skills, p.experience f_experience, p.education f_education, p.error f_error,
   f.skills m_skills, f.experience m_experience, f.education m_education
   from up_parsed p full outer join forms_raw f on p.request_id = f.request_id),
-k as (select *, coalesce(f_admitted, false) use_file,
+k as (select *, not coalesce(refused, false) and coalesce(f_admitted, false) use_file,
   {strip("coalesce(m_skills, '')")} m_raw from j),
 flags as (select *, use_file and f_error is null file_ok, use_file and f_error is not null file_bad,
-  not use_file and m_skills is not null and m_raw <> '' form_ok,
+  not coalesce(refused, false) and not use_file and m_skills is not null and m_raw <> '' form_ok,
   list_filter(list_transform(string_split(m_raw, ','), lambda x: {strip('x')}), lambda x: x <> '') m_list from k),
 resolved as (select request_id,
   case when file_ok then 'file' when form_ok then 'form' end profile_source,
@@ -368,7 +411,8 @@ resolved as (select request_id,
   case when file_ok then f_skills when form_ok then m_list end skills,
   case when file_ok then f_experience when form_ok then {strip("coalesce(m_experience, '')")} end experience,
   case when file_ok then f_education when form_ok then {strip("coalesce(m_education, '')")} end education,
-  case when file_bad then 'Resume parsing error: ' || f_error
+  case when refused then 'File too large. Please upload a file smaller than 16MB.'
+       when file_bad then 'Resume parsing error: ' || f_error
        when not file_ok and not form_ok then 'Please either upload a resume or enter your skills' end rejection
   from flags)"""
 
@@ -408,3 +452,11 @@ select page_id, card_no, {strip('lower(title)')} title, {strip('lower(company)')
   {strip('lower(location)')} location, link, source, DATE '2025-08-17' date_scraped,
   coalesce(cast(contains(lower({strip('lower(location)')}), 'remote') as int), 0) is_remote
 from cards where page_id % 2 = 1"""
+
+_DEFAULTS = ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in K.DEFAULT_JOBS)
+ORACLES["default_jobs_empty"] = f"select * from (values {_DEFAULTS}) t(title, company, location, link)"
+ORACLES["empty_jobs_csv"] = f"""with {with_views('jobs_raw')}, {LANDING}
+select title, company, location, link, source, date_scraped from landing where false"""
+ORACLES["fallback_to_feed"] = f"with {feed_ctes()} select title, company, location, link, source, date_scraped from feed"
+ORACLES["page_cards"] = f"""with {cards_from('pages', (('li', None),), (('a', None),), link=(('a', None),))}
+select page_id, card_no, title, location, link from cards"""

@@ -16,32 +16,19 @@ from talentmatch.functions import present as P
 from talentmatch.operators import clean as C
 from talentmatch.operators.match import match_tfidf
 from talentmatch.operators.parse import parse_resumes
-from talentmatch.session import materialize, partition_by_key
 
 
-def match_resumes_to_jobs(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_N,
-                          *, persist_jobs: bool = False) -> DataFrame:
+def match_resumes_to_jobs(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_N) -> DataFrame:
     """``resumes(resume_id, text)`` x ``jobs(job_id, title, company,
-    location, link)`` -> ranked matches with display columns.
-
-    ``persist_jobs`` writes the cleaned job table under the checkpoint
-    folder first (the job side is read by the vocabulary fit, the job
-    vectors and the final projection)."""
+    location, link)`` -> ranked matches with display columns."""
     clean = C.clean_jobs(jobs.select("job_id", "title", "company", "location", "link"))
-    if persist_jobs:
-        clean = materialize(clean, "jobs_clean")
     job_text = clean.select("job_id", C.job_text(F.col("title"), F.col("company"),
                                                  F.col("location")).alias("text"))
-    # by résumé id from the start: the parse stays spread over the cores and
-    # the TF-IDF counting and packing per résumé need no further exchange
-    parsed = parse_resumes(partition_by_key(resumes.select("resume_id", "text"), "resume_id"))
+    parsed = parse_resumes(resumes.select("resume_id", "text"))
     res_text = parsed.where(F.col("error").isNull()).select(
         "resume_id", C.resume_text(F.col("skills"), F.col("experience"), F.col("education"))
         .alias("text"))
-    # cheap input counts (column-less scans): the job count enters the
-    # idf; the résumé count (an upper bound after parse errors) sizes blocks
-    m = match_tfidf(res_text, job_text, top_n, n_resumes=resumes.count(), n_jobs=jobs.count(),
-                    resumes_partitioned=True)
+    m = match_tfidf(res_text, job_text, top_n, resume_rows=resumes)
     # display fields are joined after the top-n cut, so only ids and
     # scores travel through the matching shuffles
     return (m.join(clean.select("job_id", "title", "company", "location", "link"), "job_id")

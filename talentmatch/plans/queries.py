@@ -21,9 +21,10 @@ from talentmatch.operators import clean as C
 from talentmatch.operators import match as M
 from talentmatch.operators import tfidf as TF
 from talentmatch.operators.ingest import first_nonempty
-from talentmatch.operators.parse import parse_resumes
+from talentmatch.operators.parse import displayed, parse_resumes
 from talentmatch.operators.profiles import manual_profiles, resolve_profiles
-from talentmatch.session import partition_by_key, scratch_path, spread, table
+from talentmatch.plans.pipeline import match_resumes_to_jobs
+from talentmatch.session import scratch_path, spread, table
 from talentmatch.sources import fixtures as FX
 from talentmatch.sources import jobs_csv as J
 from talentmatch.sources import resume_files as RF
@@ -84,17 +85,15 @@ def dense_matches(spark, sf, top_n=K.DEFAULT_TOP_N):
 
 def tfidf_matches(spark, sf, top_n=K.DEFAULT_TOP_N):
     raw = FX.resumes_raw(spark, sf)
-    parsed = parse_resumes(partition_by_key(raw, "resume_id"))
-    return M.match_tfidf(resume_texts(parsed), job_texts(spark, sf), top_n,
-                         n_resumes=raw.count(), n_jobs=FX.jobs_raw(spark, sf).count(),
-                         resumes_partitioned=True)
+    return M.match_tfidf(resume_texts(parse_resumes(raw)), job_texts(spark, sf), top_n, resume_rows=raw)
 
 
 def parsed_uploads(spark, sf):
     up = FX.uploads(spark, sf)
     return parse_resumes(up.select("request_id", "filename", "size", "text"),
                          keep=("request_id", "filename", "size")) \
-        .withColumn("admitted", RF.admitted(F.col("filename"), F.col("size")))
+        .withColumns({"admitted": RF.admitted(F.col("filename"), F.col("size")),
+                      "too_large": RF.too_large(F.col("size"))})
 
 
 # -- C: parsing --------------------------------------------------------------
@@ -127,6 +126,12 @@ def q_extract_section(spark, sf):
         "doc_id", R.extract_section(F.col("c"), SECTION_KEYWORD_DOCS).alias("section"))
 
 
+def q_section_text(spark, sf):
+    """C6 whole: everything after the keyword."""
+    return clean_documents(spark, sf).select(
+        "doc_id", R.section_text(F.col("c"), SECTION_KEYWORD_DOCS).alias("section"))
+
+
 def q_truncate_text(spark, sf):
     return clean_documents(spark, sf).select("doc_id", R.raw_text(F.col("c")).alias("raw_text"))
 
@@ -150,6 +155,23 @@ def q_parse_resumes(spark, sf):
                     "experience", "education", "raw_text", "text_length", "error")
 
 
+def q_display_resumes(spark, sf):
+    """The record as shown, sections and raw text shortened."""
+    return displayed(parsed_resumes(spark, sf)).select("resume_id", "name", "experience", "education", "raw_text")
+
+
+def q_parse_resume_files(spark, sf):
+    """A4: résumés landed as files, one each, listed and read as binary files,
+    admitted, decoded and parsed."""
+    path = scratch_path(spark, "resume_files")
+    FX.resumes_raw(spark, sf).select("resume_id", "text").write.partitionBy("resume_id").text(path)
+    files = RF.read_resume_files(spark, path).where("admitted").withColumn(
+        "resume_id", F.regexp_extract("path", r"resume_id=(\d+)", 1).cast("long"))
+    p = parse_resumes(files, path_col="path", keep=("resume_id",))
+    return p.select("resume_id", "name", "email", "phone", skills_text().alias("skills"), "experience",
+                    "education", "text_length", "error")
+
+
 # -- B: projections ----------------------------------------------------------
 
 def q_clean_jobs(spark, sf):
@@ -165,6 +187,20 @@ def q_canonical_link(spark, sf):
     return FX.jobs_raw(spark, sf).select("job_id", C.canonical_link(F.col("link")).alias("link"))
 
 
+def q_canonical_url(spark, sf):
+    return table(spark, sf, "pages").select("page_id", C.canonical_link(F.col("url")).alias("url"))
+
+
+def q_job_counts(spark, sf):
+    """Jobs that take part in matching, and jobs without any text."""
+    jobs = FX.jobs_raw(spark, sf)
+    some = [F.when(F.col("job_id") % 97 != 0, F.when(F.col("job_id") % m != 0, F.col(c)).otherwise(" ")).alias(c)
+            for c, m in (("title", 2), ("company", 3), ("location", 5))]
+    texts = C.clean_jobs(jobs.select("job_id", *some)).select(
+        "job_id", C.job_text(F.col("title"), F.col("company"), F.col("location")).alias("text"))
+    return M.job_counts(texts)
+
+
 def q_job_text(spark, sf):
     return job_texts(spark, sf)
 
@@ -204,6 +240,16 @@ def q_score_pct(spark, sf):
                                            P.score_pct(F.col("match_score")).alias("pct"))
 
 
+def q_blend_bands(spark, sf):
+    """B10 and B11 over scores that reach every band: each vector against
+    itself blended with the next one."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    blend = F.zip_with("v", "w", lambda x, y: x + y * (F.col("vec_id") % 7) / 2.0)
+    scored = e.join(nxt, "vec_id").select("vec_id", F.round(M.cosine(F.col("v"), blend), 6).alias("score"))
+    return scored.select("vec_id", "score", P.score_band(F.col("score")).alias("band"), P.score_pct(F.col("score")).alias("pct"))
+
+
 def q_profile_summary(spark, sf):
     p = parsed_resumes(spark, sf)
     return p.select("resume_id", P.skills_summary(F.col("skills")).alias("skills_summary"),
@@ -240,11 +286,9 @@ def q_gated_advice(spark, sf):
 # -- D: features and matching --------------------------------------------------
 
 def q_tfidf_weights(spark, sf):
-    jobs = job_texts(spark, sf)
-    tf = TF.term_counts(jobs, "job_id", "text")
-    idf = TF.fit_idf(tf, jobs.count())
-    return TF.weights(tf, idf).select(F.col("id").alias("job_id"), "term",
-                                      F.round("weight", 6).alias("weight"))
+    counts = TF.term_counts(job_texts(spark, sf), "job_id", "text")
+    return TF.weights(TF.vectors(counts, TF.fit_idf(counts))).select(
+        F.col("id").alias("job_id"), "term", F.round("weight", 6).alias("weight"))
 
 
 def q_cosine_pairs(spark, sf):
@@ -265,13 +309,19 @@ def q_match_topk_tfidf(spark, sf):
 
 
 def q_match_single(spark, sf):
-    m = dense_matches(spark, sf)
-    return (m.orderBy(F.col("match_score").desc(), F.col("job_id").asc(), F.col("resume_id").asc())
-             .limit(K.DEFAULT_TOP_N).select("resume_id", "job_id", "match_score"))
+    """The ranked list of one résumé, that of the smallest id."""
+    res, jobs = embedding_sides(spark, sf)
+    return M.match_one(res.orderBy("resume_id").limit(1), jobs, K.DEFAULT_TOP_N)
+
+
+def q_match_results(spark, sf):
+    """What is shown for every match."""
+    return match_resumes_to_jobs(FX.resumes_raw(spark, sf), FX.jobs_raw(spark, sf))
 
 
 def q_match_stats(spark, sf):
-    return M.match_stats(tfidf_matches(spark, sf))
+    return M.match_stats(tfidf_matches(spark, sf)).crossJoin(F.broadcast(  # one row
+        M.job_counts(job_texts(spark, sf)).select("n_jobs")))
 
 
 def q_unmatched_resumes(spark, sf):
@@ -322,6 +372,19 @@ def q_default_jobs(spark, sf):
     return J.jobs_or_default(jobs)
 
 
+def q_default_jobs_empty(spark, sf):
+    """A7 without any job: the default rows."""
+    jobs = clean_job_table(spark, sf).where("job_id < 0").select("title", "company", "location", "link")
+    return J.jobs_or_default(jobs)
+
+
+def q_empty_jobs_csv(spark, sf):
+    """A7 without any data: a table of nothing but its header."""
+    path = scratch_path(spark, "empty_csv")
+    J.write_csv(_jobs_landing(spark, sf).drop("job_id").where("title is null"), path)
+    return J.read_jobs_csv(spark, path)
+
+
 def q_scan_resume_text(spark, sf):
     """Documents landed as bytes with CRLF line ends and undecodable bytes."""
     d = documents(spark, sf)
@@ -367,6 +430,23 @@ def q_first_nonempty_source(spark, sf):
     return first_nonempty(cards, feed)
 
 
+def q_fallback_to_feed(spark, sf):
+    """A8 where the first source has no rows: the pages without any card."""
+    cols = ("title", "company", "location", "link", "source", "date_scraped")
+    pages = FX.pages_jobs(spark, sf).where("page_id % 20 = 0")
+    cards = extract_cards(pages, scrape_date=SCRAPE_DATE).select(*cols)
+    feed = flatten_job_feed(FX.feeds_raw(spark, sf), scrape_date=SCRAPE_DATE).select(*cols)
+    return first_nonempty(cards, feed)
+
+
+def q_page_cards(spark, sf):
+    """A9 and B3 on the pages table: every list item is a card, its link both
+    title and target."""
+    pages = table(spark, sf, "pages")
+    cards = extract_cards(pages, scrape_date=SCRAPE_DATE, containers=(("li", None),), title=(("a", None),), link=(("a", None),))
+    return cards.select("page_id", "card_no", "title", "location", C.canonical_link(F.col("link")).alias("link"))
+
+
 def q_stream_job_snapshot(spark, sf):
     from talentmatch.streaming.snapshot import run_snapshot_over_pages
     return run_snapshot_over_pages(spark, sf)

@@ -33,6 +33,7 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )
+    spark.conf.set("spark.talentmatch.spread", str(spark.sparkContext.defaultParallelism))
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
     return spark
@@ -67,35 +68,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the checkpoint folder and read it back.
-
-    Cuts lineage so a lost executor recomputes from the written table, not
-    from the sources; used for tables read by several later stages.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over the cluster's cores when it arrives in fewer
-    partitions (a small file is one split); for CPU-heavy per-row text work.
-    Inputs already split at least that finely are returned unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
-def partition_by_key(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` into at least as many partitions as
-    the cluster has cores (and never fewer than it has), so CPU-heavy work
-    stays spread and later per-key steps need no further exchange."""
-    n = max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
-    return df.repartition(n, key)
+    """``df`` dealt out over as many partitions as ``spark.talentmatch.spread``
+    says, for CPU-heavy text work over a file of one split; unchanged where
+    that is unset, as on a cluster, whose input comes in many splits."""
+    n = int(df.sparkSession.conf.get("spark.talentmatch.spread", "0"))
+    return df.repartition(n) if n else df

@@ -1,10 +1,12 @@
 """Job cards from landed HTML pages.
 
-Per page: split the markup at the opening tag of the first container kind
-that occurs (segment 1 is what precedes the first card), keep the first 15
-cards *before* any card is dropped, ``posexplode`` them, and read each
-field with the first selector alternative present in the card.  Narrow
-plan: no shuffle, each page handled where it was read.
+Per page: the first container kind that occurs is chosen, the markup split at
+its opening tags (what precedes the first is no card), every segment cut where
+its container closes - found by counting the container's opening and closing
+tags - and each field read with the first selector alternative present in the
+card.  All cards are read; ``max_cards`` keeps the first ones of each page,
+before any card is dropped.  Narrow plan: no shuffle, each page is handled
+where it was read, one search per container kind and per selector.
 """
 
 from __future__ import annotations
@@ -17,68 +19,82 @@ from talentmatch.functions.text import decode_entities, element_text
 from talentmatch.session import spread
 
 
-def _class_attr(token: str) -> str:
-    # the class attribute holds the token as one of its space-separated words
-    return rf'class\s*=\s*"(?:[^"]*\s)?{token}(?:\s[^"]*)?"'
+def open_tag(tag: str, token: str | None) -> str:
+    """An opening tag whose class attribute (in either quotes, in any case)
+    holds the token as one of its words; without a token, any such tag."""
+    if token is None:
+        return rf"<(?i:{tag})(?:\s[^>]*)?>"
+    words = "|".join(f"{q}(?:[^{q}]*\\s)?{token}(?:\\s[^{q}]*)?{q}" for q in "\"'")
+    return rf"<(?i:{tag})\s(?:[^>]*\s)?(?i:class)\s*=\s*(?:{words})[^>]*>"
 
 
-def open_tag(tag: str, token: str) -> str:
-    return rf"<(?i:{tag})\s[^>]*{_class_attr(token)}[^>]*>"
-
-
-def element(tag: str, token: str) -> str:
+def element(tag: str, token: str | None) -> str:
     """Group 1 = inner markup of the first such element."""
     return rf"(?s){open_tag(tag, token)}(.*?)</(?i:{tag})\s*>"
 
 
+def any_tag(tag: str) -> str:
+    """Opening or closing tags; group 1 = the slash of a closing one."""
+    return rf"<(/?)(?i:{tag})(?:\s[^>]*)?>"
+
+
+def _closed(segment: Column, tag: str) -> Column:
+    """What follows a container's opening tag up to its closing tag (to the
+    end if it never closes), without the tags of that kind inside."""
+    steps = F.transform(F.regexp_extract_all(segment, F.lit(any_tag(tag)), 1), lambda x: F.when(x == "/", -1).otherwise(1))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("pieces"))
+    end = F.aggregate(steps, start, lambda s, x: F.when(s["depth"] == 0, s).otherwise(
+        F.struct((s["depth"] + x).alias("depth"), (s["pieces"] + 1).alias("pieces"))))
+    parts = F.split(segment, any_tag(tag), -1)
+    return F.array_join(F.slice(parts, 1, F.when(end["depth"] == 0, end["pieces"]).otherwise(F.size(parts))), "")
+
+
 def _first_present(card: Column, selectors, default: str) -> Column:
-    out = F.lit(default)
-    for tag, token in reversed(selectors):
-        pat = element(tag, token)
-        out = F.when(card.rlike(pat), element_text(F.regexp_extract(card, pat, 1))).otherwise(out)
-    return out
+    found = []
+    for tag, token in selectors:
+        pattern = element(tag, token)
+        found.append(element_text(F.regexp_extract(F.regexp_substr(card, F.lit(pattern)), pattern, 1)))
+    return F.coalesce(*found, F.lit(default))
 
 
-_HREF = r'\shref\s*=\s*"([^"]*)"'
+_HREF = r"""\s(?i:href)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
 
-def _link(card: Column):
+def _link(card: Column, selectors):
     """(link, dropped): the first link element's href cut at '?', '#' when
     no link element exists; a link element without href drops the card."""
-    link, dropped = F.lit(K.MISSING_LINK), F.lit(False)
-    for tag, token in reversed(K.CARD_LINK):
-        pat = "(" + open_tag(tag, token) + ")"
-        opening = F.regexp_extract(card, pat, 1)
-        has_href = opening.rlike(_HREF)
-        href = decode_entities(F.regexp_extract(opening, _HREF, 1))
-        present = card.rlike(pat)
-        link = F.when(present, F.split_part(href, F.lit("?"), F.lit(1))).otherwise(link)
-        dropped = F.when(present, ~has_href).otherwise(dropped)
-    return link, dropped
+    opening = F.coalesce(*[F.regexp_substr(card, F.lit(open_tag(tag, token))) for tag, token in selectors])
+    href = F.concat(F.regexp_extract(opening, _HREF, 1), F.regexp_extract(opening, _HREF, 2))
+    link = F.coalesce(F.split_part(decode_entities(href), F.lit("?"), F.lit(1)), F.lit(K.MISSING_LINK))
+    return link, F.coalesce(~opening.rlike(_HREF), F.lit(False))
 
 
 def extract_cards(pages: DataFrame, *, page_id: str = "page_id", html: str = "html",
-                  scrape_date: str = "2025-08-17", containers=K.CARD_CONTAINERS,
-                  max_cards: int = K.MAX_CARDS_PER_PAGE) -> DataFrame:
+                  scrape_date: str = "2025-08-17", containers=K.CARD_CONTAINERS, title=K.CARD_TITLE,
+                  company=K.CARD_COMPANY, location=K.CARD_LOCATION, link=K.CARD_LINK,
+                  max_cards: int | None = None) -> DataFrame:
     """``(page_id, card_no, title, company, location, link, source,
     date_scraped)`` for every kept card."""
     h = F.col(html)
-    splits = [F.split(h, open_tag(tag, token)) for tag, token in containers]
-    chosen = splits[-1]
-    for s in reversed(splits[:-1]):
-        chosen = F.when(F.size(s) > 1, s).otherwise(chosen)
-    cards = spread(pages).select(
-        F.col(page_id).alias("page_id"),
-        F.posexplode(F.slice(chosen, 2, max_cards)).alias("card_no", "card"))
-    card = F.col("card")
-    link, dropped = _link(card)
-    return (cards.select(
-        "page_id", F.col("card_no").cast("int").alias("card_no"),
-        _first_present(card, K.CARD_TITLE, K.MISSING_TITLE).alias("title"),
-        _first_present(card, K.CARD_COMPANY, K.MISSING_COMPANY).alias("company"),
-        _first_present(card, K.CARD_LOCATION, K.MISSING_LOCATION).alias("location"),
-        link.alias("link"), dropped.alias("_dropped"))
-        .where(~F.col("_dropped"))
-        .select("page_id", "card_no", "title", "company", "location", "link",
-                F.lit(K.SOURCE_HTML).alias("source"),
-                F.to_date(F.lit(scrape_date)).alias("date_scraped")))
+    kind = None
+    for k, (tag, token) in enumerate(containers):
+        present = h.rlike(open_tag(tag, token))
+        kind = F.when(present, k) if kind is None else kind.when(present, k)
+    segments, card = None, None
+    for k, (tag, token) in enumerate(containers):
+        split = F.split(h, open_tag(tag, token), -1)
+        closed = _closed(F.col("segment"), tag)
+        is_kind = F.col("kind") == k
+        segments = F.when(is_kind, split) if segments is None else segments.when(is_kind, split)
+        card = F.when(is_kind, closed) if card is None else card.when(is_kind, closed)
+    found = spread(pages).select(F.col(page_id).alias("page_id"), h, kind.alias("kind")).where("kind is not null")
+    found = found.select("page_id", "kind", F.slice(segments, 2, F.lit(max_cards or (1 << 30))).alias("segments"))
+    cards = (found.select("page_id", "kind", F.posexplode("segments").alias("card_no", "segment"))
+             .select("page_id", F.col("card_no").cast("int").alias("card_no"), card.alias("card")))
+    c = F.col("card")
+    href, dropped = _link(c, link)
+    return (cards.where(~dropped).select(
+        "page_id", "card_no", _first_present(c, title, K.MISSING_TITLE).alias("title"),
+        _first_present(c, company, K.MISSING_COMPANY).alias("company"),
+        _first_present(c, location, K.MISSING_LOCATION).alias("location"), href.alias("link"),
+        F.lit(K.SOURCE_HTML).alias("source"), F.to_date(F.lit(scrape_date)).alias("date_scraped")))

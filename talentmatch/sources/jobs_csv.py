@@ -19,7 +19,7 @@ JOBS_SCHEMA = T.StructType([
 CLEAN_JOBS_SCHEMA = T.StructType(JOBS_SCHEMA.fields + [T.StructField("is_remote", T.IntegerType())])
 
 _READ_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "dateFormat": "yyyy-MM-dd",
-                 "mode": "PERMISSIVE"}
+                 "mode": "PERMISSIVE", "multiLine": "true"}
 _WRITE_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "dateFormat": "yyyy-MM-dd",
                   "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
@@ -35,7 +35,9 @@ def normalise_missing(df: DataFrame) -> DataFrame:
 
 
 def read_jobs_csv(spark: SparkSession, path: str, schema: T.StructType = JOBS_SCHEMA) -> DataFrame:
-    """A1: header CSV with a fixed schema (never inferred)."""
+    """A1: header CSV with a fixed schema (never inferred); quoted values may
+    hold line feeds, so a file is read by one task: land many files, and keep
+    Parquet between stages."""
     return normalise_missing(spark.read.options(**_READ_OPTIONS).schema(schema).csv(path))
 
 
@@ -44,14 +46,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", *,
     """A2/A3: header CSV, values written verbatim (no whitespace trimming).
 
     With ``bucket_by``/``buckets`` the rows go to ``bucket=<n>`` folders by a
-    hash of that column (a large match table is written by every task in
-    parallel, and one résumé's rows land in one folder)."""
+    hash of that column, one task and file per bucket (choose ``buckets`` by
+    the table's size); one résumé's rows land in one folder."""
     w = df
     if bucket_by and buckets > 0:
         w = df.withColumn("bucket", F.pmod(F.xxhash64(bucket_by), F.lit(buckets)))
     writer = w.write.mode(mode).options(**_WRITE_OPTIONS)
     if bucket_by and buckets > 0:
-        writer = writer.partitionBy("bucket")
+        writer = w.repartition(buckets, "bucket").write.mode(mode).options(**_WRITE_OPTIONS).partitionBy("bucket")
     writer.csv(path)
 
 

@@ -31,6 +31,11 @@ def admitted(name: Column, size: Column) -> Column:
             & F.coalesce(size <= K.MAX_UPLOAD_BYTES, F.lit(False)))
 
 
+def too_large(size: Column) -> Column:
+    """Over 16 MiB: the whole request is refused, its form with it."""
+    return F.coalesce(size > K.MAX_UPLOAD_BYTES, F.lit(False))
+
+
 def decode_text(content: Column) -> Column:
     """A4: UTF-8 decode dropping undecodable bytes; CRLF and CR become LF.
 
@@ -50,13 +55,14 @@ def with_fallback(extracted: Column, decoded: Column) -> Column:
 
 
 def read_resume_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """``(path, file, length, admitted, text)`` for every file under path;
-    only admitted files carry text."""
+    """``(path, file, length, admitted, too_large, text)`` for every file
+    under path; only admitted files are read, the others are listed (the size
+    limit is pushed to the listing, so a huge file's bytes are never loaded)."""
     files = (spark.read.format("binaryFile")
              .option("recursiveFileLookup", str(recursive).lower())
              .load(path))
     name = basename(F.col("path"))
-    return files.select(
-        "path", name.alias("file"), "length",
-        admitted(name, F.col("length")).alias("admitted"),
-        F.when(admitted(name, F.col("length")), decode_text(F.col("content"))).alias("text"))
+    ok = admitted(name, F.col("length"))
+    listed = ["path", name.alias("file"), "length", ok.alias("admitted"), too_large(F.col("length")).alias("too_large")]
+    read = files.where((F.col("length") <= K.MAX_UPLOAD_BYTES) & ok).select(*listed, decode_text(F.col("content")).alias("text"))
+    return read.unionByName(files.where(~ok).select(*listed, F.lit(None).cast("string").alias("text")))

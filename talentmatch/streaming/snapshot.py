@@ -1,11 +1,13 @@
 """Recurring re-ingest as Structured Streaming.
 
 New job batches land as files in a folder.  A file-source stream with
-``trigger(availableNow=True)`` picks up whatever landed since the last
-run (progress is kept in the checkpoint under the shared checkpoint
-folder), and ``foreachBatch`` keeps the newest scrape date of the batch
-(several landings can share one micro-batch), cleans it and overwrites
-the snapshot.  An empty batch leaves the snapshot untouched.
+``trigger(availableNow=True)`` picks up whatever landed since the last run
+(progress is kept in the checkpoint under the shared checkpoint folder), and
+``foreachBatch`` keeps the newest scrape date of the batch (several landings
+can share one micro-batch), cleans it and writes it as that date's partition
+of the snapshot table.  The snapshot is the newest partition: a landing of an
+older date that comes late replaces nothing newer, and a write that fails
+leaves the others as they were.  An empty batch writes nothing.
 """
 
 from __future__ import annotations
@@ -50,7 +52,8 @@ def start_snapshot_stream(spark: SparkSession, landing: str, snapshot: str, chec
         try:
             if landed.isEmpty():
                 return
-            clean_jobs(newest_landing(landed)).write.mode("overwrite").parquet(snapshot)
+            (clean_jobs(newest_landing(landed)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("date_scraped").parquet(snapshot))
         finally:
             landed.unpersist()
 
@@ -60,6 +63,13 @@ def start_snapshot_stream(spark: SparkSession, landing: str, snapshot: str, chec
             .trigger(availableNow=True).start())
 
 
+def read_snapshot(spark: SparkSession, snapshot: str) -> DataFrame:
+    """The rows of the newest scrape date (partitions prune the rest)."""
+    table = spark.read.parquet(snapshot)
+    newest = table.agg(F.max("date_scraped").alias("date_scraped"))  # one row
+    return table.join(F.broadcast(newest), "date_scraped").select(*CARD_SCHEMA.fieldNames(), "is_remote")
+
+
 def run_snapshot_over_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land the cards of the pages as two daily batches, run the re-ingest
     and return the snapshot it wrote."""
@@ -75,4 +85,4 @@ def run_snapshot_over_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
               .write.mode("append").parquet(os.path.join(landing, f"day={day}")))
     q = start_snapshot_stream(spark, landing, snapshot, ckpt)
     q.awaitTermination()
-    return spark.read.parquet(snapshot)
+    return read_snapshot(spark, snapshot)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from talentmatch.functions import present as P
@@ -108,19 +110,38 @@ def test_zero_vector_and_ties(spark):
         (1, 10, 0.0), (1, 11, 0.0), (2, 11, 1.0), (2, 12, 1.0)]
 
 
-def test_cards_cap_and_missing_fields(spark):
-    card = ('<div class="base-card x"><h3 class="base-search-card__title"> T &amp; co </h3>'
-            '<h4 class="base-search-card__subtitle">B</h4>'
-            '<a class="base-card__full-link" href="https://j/v/1?x=1">go</a></div>')
+CARD = ('<div class="base-card x"><h3 class="base-search-card__title"> T &amp; co </h3>'
+        '<h4 class="base-search-card__subtitle">B</h4>'
+        '<a class="base-card__full-link" href="https://j/v/1?x=1">go</a></div>')
+
+
+def cards_of(spark, *pages, **kw):
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "page_id long, html string")
+    return sorted(extract_cards(df, scrape_date="2025-08-17", **kw).collect())
+
+
+def test_all_cards_and_missing_fields(spark):
     no_href = '<div class="base-card"><a class="base-card__full-link">go</a></div>'
-    pages = spark.createDataFrame([(1, "<html>" + card * 20 + "</html>"), (2, no_href + card)],
-                                  "page_id long, html string")
-    out = extract_cards(pages, scrape_date="2025-08-17").collect()
-    p1 = [r for r in out if r.page_id == 1]
-    assert len(p1) == K.MAX_CARDS_PER_PAGE
-    assert p1[0].title == "T & co" and p1[0].location == K.MISSING_LOCATION
-    assert p1[0].link == "https://j/v/1"
-    assert len([r for r in out if r.page_id == 2]) == 1
+    out = cards_of(spark, "<html>" + CARD * 20 + "</html>", no_href + CARD, None, "")
+    p0 = [r for r in out if r.page_id == 0]
+    assert [r.card_no for r in p0] == list(range(20))
+    assert p0[0].title == "T & co" and p0[0].location == K.MISSING_LOCATION
+    assert p0[0].link == "https://j/v/1"
+    assert [(r.page_id, r.card_no) for r in out if r.page_id] == [(1, 1)]
+    cut = cards_of(spark, CARD * 20, no_href * 3 + CARD * 20, max_cards=K.MAX_CARDS_PER_PAGE)
+    assert [sum(r.page_id == p for r in cut) for p in (0, 1)] == [15, 12]
+
+
+def test_card_markup(spark):
+    assert cards_of(spark, CARD.replace("class=\"base-card x", "data-class=\"base-card x")) == []
+    (single,) = cards_of(spark, CARD.replace('"', "'").replace("class='base", "CLASS = 'base"))
+    assert (single.title, single.link) == ("T & co", "https://j/v/1")
+    bare = '<div class="base-card"><div>x</div></div>'
+    footer = '<div><h3 class="base-search-card__title">Footer</h3></div>'
+    assert [r.title for r in cards_of(spark, CARD + bare + footer)] == ["T & co", K.MISSING_TITLE]
+    nested = CARD.replace("<h3", "<div><div></div></div><h3")
+    assert [r.title for r in cards_of(spark, "<div>" + nested * 2 + "</div>" + footer)] == ["T & co"] * 2
+    assert [r.title for r in cards_of(spark, CARD.removesuffix("</div>"))] == ["T & co"]  # never closed
 
 
 def test_feed_defaults(spark):
@@ -159,6 +180,7 @@ def test_read_resume_files(spark, tmp_path):
     assert rows["b.PDF"].admitted and rows["b.PDF"].text == "Grace Hopper  resume"
     assert not rows["c.exe"].admitted and rows["c.exe"].text is None
     assert not rows["noext"].admitted
+    assert not any(r.too_large for r in rows.values())
     parsed = parse_resumes(RF.read_resume_files(spark, str(d)).where("admitted"),
                            path_col="path").collect()
     by_file = {r.file: r for r in parsed}
@@ -188,3 +210,74 @@ def test_bucketed_match_sink(spark, tmp_path):
     assert back.drop("bucket").exceptAll(m).count() == 0 and back.count() == 50
     per_resume = back.groupBy("resume_id").agg(F.countDistinct("bucket").alias("n"))
     assert per_resume.where("n > 1").count() == 0
+
+
+def test_large_files_are_listed_not_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "MAX_UPLOAD_BYTES", 10)
+    (tmp_path / "big.txt").write_bytes(b"x" * 11)
+    (tmp_path / "small.txt").write_bytes(b"x" * 10)
+    (tmp_path / "big.exe").write_bytes(b"x" * 11)
+    df = RF.read_resume_files(spark, str(tmp_path))
+    assert {r.file: (r.admitted, r.too_large, r.text) for r in df.collect()} == {
+        "big.txt": (False, True, None), "small.txt": (True, False, "x" * 10), "big.exe": (False, True, None)}
+
+
+def test_profile_resolution(spark):
+    """Too large rejects the request; a wrong type leaves the form; a file
+    that cannot be parsed rejects; without a file the form counts."""
+    from talentmatch.operators.profiles import resolve_profiles
+    files = spark.createDataFrame(
+        [(1, False, True, None, None, None, None, None, None), (2, False, False, "X", "e", ["A"], "", "", None),
+         (3, True, False, None, None, None, None, None, K.EMPTY_TEXT_ERROR), (4, True, False, "Y", "e", ["B"], "", "", None),
+         (6, False, True, "Z", "e", ["C"], "", "", None)],
+        "request_id long, admitted boolean, too_large boolean, name string, email string, skills array<string>, "
+        "experience string, education string, error string")
+    forms = spark.createDataFrame([(i, "Python" if i != 7 else " ", "", "") for i in (1, 2, 3, 4, 5, 7)],
+                                  "request_id long, skills string, experience string, education string")
+    got = {r.request_id: (r.profile_source, r.rejection) for r in resolve_profiles(files, forms).collect()}
+    assert got == {1: (None, K.TOO_LARGE_ERROR), 2: ("form", None), 3: (None, "Resume parsing error: " + K.EMPTY_TEXT_ERROR),
+                   4: ("file", None), 5: ("form", None), 6: (None, K.TOO_LARGE_ERROR),
+                   7: (None, "Please either upload a resume or enter your skills")}
+
+
+def test_csv_keeps_line_feeds(spark, tmp_path):
+    rows = [('Data\nEngineer, "x"', "A", "B", "l", "s", None), ("T", None, "", "l", "s", None)]
+    J.write_csv(spark.createDataFrame(rows, J.JOBS_SCHEMA), str(tmp_path / "c"))
+    back = J.read_jobs_csv(spark, str(tmp_path / "c")).collect()
+    assert sorted((r.title, r.company, r.location) for r in back) == [('Data\nEngineer, "x"', "A", "B"), ("T", None, None)]
+
+
+def test_first_source_with_rows(spark):
+    from talentmatch.operators.ingest import first_nonempty
+    a, none = spark.range(2), spark.range(0)
+    assert first_nonempty(none, a, spark.range(5)).count() == 2
+    assert first_nonempty(none, none).count() == 0
+
+
+def test_whole_sections_and_their_display(spark):
+    from talentmatch.operators.parse import displayed
+    text = "Ada Lovelace experience: " + "x" * 700
+    p = parse_resumes(spark.createDataFrame([(1, text)], "resume_id long, text string"))
+    (whole,), (shown,) = p.collect(), displayed(p).collect()
+    assert whole.experience == "x" * 700 and whole.raw_text == text.replace(":", " ")
+    assert shown.experience == "x" * 200 + "..." and len(shown.raw_text) == 503
+
+
+def test_shared_folder_off_local_mode(monkeypatch):
+    from talentmatch import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Session())

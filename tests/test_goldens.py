@@ -88,14 +88,14 @@ def test_raw_to_clean_golden(spark, tmp_path):
     path = tmp_path / "jobs.csv"
     path.write_text(
         "title,company,location,link,source,date_scraped\n"
-        'Data Analyst,Northwind Films,"Burbank, CA",https://jobs.example.com/1,LinkedIn,2025-08-17\n'
-        '"Data Scientist, Growth (Seattle)",Blue Cup,"Seattle, WA",https://jobs.example.com/2,LinkedIn,2025-08-17\n'
-        "Data Analyst (100% Remote),Lenz,United States,https://jobs.example.com/3,LinkedIn,2025-08-17\n"
-        "  ML Engineer ,ACME  ,Remote - US,https://jobs.example.com/4,RemoteOK,2025-08-17\n")
+        'Tram Driver,Harbour Lines,"Porto, Portugal",https://jobs.example.com/a7,FirstFeed,2024-02-29\n'
+        '"Cheese Maker, Night Shift",Alp & Sons,"Chur, GR",https://jobs.example.com/b2,FirstFeed,2024-02-29\n'
+        "Remote Sensing Lead,Kite Survey,Nairobi,https://jobs.example.com/c9,FirstFeed,2024-02-29\n"
+        "  Archivist ,PAPER TRAIL  ,REMOTE (any zone),https://jobs.example.com/d1,SecondFeed,2024-02-29\n")
     got = C.clean_jobs(J.read_jobs_csv(spark, str(path))).orderBy("link").collect()
     assert [(r.title, r.company, r.location, r.is_remote) for r in got] == [
-        ("data analyst", "northwind films", "burbank, ca", 0),
-        ("data scientist, growth (seattle)", "blue cup", "seattle, wa", 0),
-        ("data analyst (100% remote)", "lenz", "united states", 0),
-        ("ml engineer", "acme", "remote - us", 1)]
-    assert str(got[0].date_scraped) == "2025-08-17"
+        ("tram driver", "harbour lines", "porto, portugal", 0),
+        ("cheese maker, night shift", "alp & sons", "chur, gr", 0),
+        ("remote sensing lead", "kite survey", "nairobi", 0),
+        ("archivist", "paper trail", "remote (any zone)", 1)]
+    assert str(got[0].date_scraped) == "2024-02-29"

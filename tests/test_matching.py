@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -107,56 +110,89 @@ def test_cosine_range_and_symmetry(spark, small_sf):
 
 def test_tfidf_weights_unit_norm(spark):
     docs = spark.createDataFrame([(1, "a bb bb cc"), (2, "bb dd"), (3, "x")], "id long, t string")
-    tf = TF.term_counts(docs, "id", "t")
-    w = TF.weights(tf, TF.fit_idf(tf, 3))
+    counts = TF.term_counts(docs, "id", "t")
+    w = TF.weights(TF.vectors(counts, TF.fit_idf(counts)))
     norms = w.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
     assert {r.id for r in norms} == {1, 2}  # single-letter tokens are dropped
     for r in norms:
         assert abs(r.n - 1.0) < 1e-9
 
 
-def test_bounded_topk_equals_exact_selection():
-    """The probe-bounded per-block selection equals the full one, also with
-    mass ties, negative scores and values at the rounding edge."""
-    import pandas as pd
-    from talentmatch.operators.blockmatch import _topk_rows, _topk_rows_exact
-
-    def canon(df: pd.DataFrame) -> pd.DataFrame:
-        return df.sort_values(["left_id", "score", "right_id"],
-                              ascending=[True, False, True]).reset_index(drop=True)
-
-    rng = np.random.default_rng(1)
-    for trial in range(25):
-        n_l, n_r = int(rng.integers(1, 200)), int(rng.integers(1, 2500))
-        s = rng.random((n_l, n_r))
-        mode = trial % 5
-        if mode == 0:
-            s[s < 0.9] = 0
-        elif mode == 1:
-            s = np.round(s, 2)
-        elif mode == 2:
-            s[:] = 0
-            s[:, ::50] = 0.3
-        elif mode == 3:
-            s = s * 2 - 1
-        else:
-            s = np.round(s * 1e6) / 1e6 + rng.choice([0, 4e-7, -4e-7, 5e-7], size=s.shape)
-        L = np.arange(n_l, dtype=np.int64)
-        R = np.arange(n_r, dtype=np.int64) * 2 + 7
-        for k in (1, 5, 17):
-            assert canon(_topk_rows(s, L, R, k)).equals(canon(_topk_rows_exact(s, L, R, k)))
-
-
-def test_tfidf_prepartitioned_input_gives_same_matches(spark):
-    from talentmatch.session import partition_by_key
-    jobs = spark.createDataFrame([(10 + i, t) for i, t in enumerate(
-        ["python data engineer", "java developer", "python sql", "react node", "data science",
-         "rust systems", "go backend", "excel analyst", ""])], "job_id long, text string")
-    res = spark.createDataFrame([(i, t) for i, t in enumerate(
-        ["python sql data", "react javascript", "cooking", "", "rust go", "excel data"])],
-        "resume_id long, text string")
-    plain = M.match_tfidf(res, jobs, 3, block_rows=4)
-    part = M.match_tfidf(partition_by_key(res, "resume_id"), jobs, 3, block_rows=4,
-                         resumes_partitioned=True)
-    assert plain.count() == 18
-    assert plain.exceptAll(part).count() == 0 and part.exceptAll(plain).count() == 0
+def test_term_counts_inside_the_row(spark):
+    from collections import Counter
+    texts = {1: "bb a bb cc", 2: "", 3: None, 4: "x y", 5: "zz " * 300 + "Zz yy"}
+    df = spark.createDataFrame(list(texts.items()), "id long, t string")
+    got = {r.id: {c.term: c.tf for c in r.counts} for r in TF.term_counts(df, "id", "t").collect()}
+    assert got == {i: dict(Counter(w for w in (t or "").lower().split() if len(w) > 1)) for i, t in texts.items()}
+
+
+def test_no_exchange_above_text_and_no_job_while_building(spark, small_sf):
+    """Texts are parsed and counted where they are read; building the query
+    runs nothing but the listing of its files."""
+    from talentmatch.plans.queries import q_match_topk_tfidf
+    spread = spark.conf.get("spark.talentmatch.spread")
+    spark.conf.unset("spark.talentmatch.spread")
+    try:
+        spark.sparkContext.setJobGroup("building", "")
+        df = q_match_topk_tfidf(spark, small_sf)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.talentmatch.spread", spread)
+    assert len(jobs) <= 2  # footers of the two tables
+    below = [plan[m.start():].splitlines()[0] for m in re.finditer("Exchange hashpartitioning", plan)]
+    assert below and not [x for x in below if "text#" in x]
+
+
+class _Half:
+    """Vectors whose cosines with (1, 0) lie half way between two millionths."""
+    scores = [(2 * n + 1) / 2e6 for n in (123456, 123457, 400000, 7, 500001)]
+    rows = {10 + i: [s, math.sqrt(1 - s * s)] for i, s in enumerate(scores)} | {
+        20 + i: [s + 5e-8, math.sqrt(1 - (s + 5e-8) ** 2)] for i, s in enumerate(scores)}
+
+
+@pytest.mark.parametrize("k", [1, 3, 7])
+def test_layout_changes_nothing(spark, k):
+    left = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(9)] + [(9, [3.0, 1e-9])], "l long, vec array<double>")
+    right = spark.createDataFrame(list(_Half.rows.items()), "r long, vec array<double>")
+    out = []
+    for block_rows, partitions in ((1, 5), (2, 1), (3, 16), (4096, 1), (4096, 64)):
+        got = topk_cosine(left, right, k, left_id="l", right_id="r", block_rows=block_rows, partitions=partitions)
+        out.append(sorted(map(tuple, got.collect())))
+    assert all(x == out[0] for x in out)
+
+
+def test_sparse_layouts_equal(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    jobs = spark.createDataFrame([(i, " ".join(rng.choice(words, 6))) for i in range(150)] + [(200, ""), (201, None)], "job_id long, text string")
+    res = spark.createDataFrame([(i, " ".join(rng.choice(words, 9))) for i in range(70)] + [(99, "")], "resume_id long, text string")
+    out = [sorted(map(tuple, M.match_tfidf(res, jobs, 4, block_rows=b, partitions=p).collect())) for b, p in ((5, 3), (64, 8), (4096, 1))]
+    assert out[0] == out[1] == out[2]
+    assert not {200, 201} & {r[1] for r in out[0]}  # jobs without text take no part
+    assert [r[1] for r in out[0] if r[0] == 99] == [0, 1, 2, 3]
+
+
+def test_vectors_without_direction_and_string_ids(spark):
+    nan, inf = float("nan"), float("inf")
+    vecs = {"a": [1.0, 2.0], "b": None, "c": [nan, 1.0], "d": [inf, 1.0], "e": [0.0, 0.0], "f": [], "g": [None, 1.0],
+            "h": [2.0, 4.0, 0.0], "i": [-1.0, 0.5], "j": [1e-200, 2e-200]}
+    df = spark.createDataFrame(list(vecs.items()), "id string, vec array<double>")
+    got = {(r.l, r.r): r.score for r in topk_cosine(
+        df.withColumnRenamed("id", "l"), df.withColumnRenamed("id", "r"), 20, left_id="l", right_id="r", block_rows=3).collect()}
+    pairs = df.select(F.col("id").alias("l"), F.col("vec").alias("x")).crossJoin(df.select(F.col("id").alias("r"), F.col("vec").alias("y")))
+    want = {(r.l, r.r): r.s for r in pairs.select("l", "r", F.round(M.cosine(F.col("x"), F.col("y")), 6).alias("s")).collect()}
+    tiny = {k for k in want if "j" in k}  # squares of tiny components vanish in the plain formula
+    assert len(got) == 100 and {k: v for k, v in got.items() if k not in tiny} == {k: v for k, v in want.items() if k not in tiny}
+    assert got["a", "h"] == got["a", "j"] == 1.0 and got["c", "a"] == 0.0
+
+
+def test_one_resume_ranked(spark, small_sf):
+    from talentmatch.plans.queries import embedding_sides
+    res, jobs = embedding_sides(spark, small_sf)
+    one = res.orderBy("resume_id").limit(1)
+    (first,) = one.collect()
+    got = [(r.job_id, r.match_score) for r in M.match_one(one, jobs, 5).collect()]
+    want = [(r.job_id, r.match_score) for r in M.match_dense(res, jobs, 5).where(F.col("resume_id") == first.resume_id).orderBy("rank").collect()]
+    assert got == want

@@ -58,14 +58,13 @@ def test_band_monotone_in_score(spark):
     assert all(a[1] <= b[1] for a, b in zip(got, got[1:]))
 
 
-def test_spread_and_partition_by_key(spark):
-    from talentmatch.session import partition_by_key, spread
-    cores = spark.sparkContext.defaultParallelism
-    one = spark.range(100).coalesce(1)
-    assert spread(one).rdd.getNumPartitions() == cores
-    many = spark.range(100).repartition(cores * 2)
-    assert spread(many) is many                       # already split: unchanged
-    by_key = partition_by_key(many, "id")
-    assert by_key.rdd.getNumPartitions() == cores * 2  # never fewer than before
-    assert partition_by_key(one, "id").rdd.getNumPartitions() == cores
-    assert sorted(r.id for r in by_key.collect()) == list(range(100))
+def test_spread_only_where_asked(spark):
+    from talentmatch.session import spread
+    df = spark.range(10)
+    n = spark.conf.get("spark.talentmatch.spread")
+    assert spread(df).rdd.getNumPartitions() == int(n)
+    spark.conf.unset("spark.talentmatch.spread")
+    try:
+        assert spread(df) is df
+    finally:
+        spark.conf.set("spark.talentmatch.spread", n)
