@@ -30,7 +30,7 @@ def clean_text(text: Column) -> Column:
 
 # -- C2 ---------------------------------------------------------------------
 
-# Case-insensitive matching turns both letter classes into [A-Za-z], so a
+# The name patterns.  Case-insensitive matching turns both letter classes into [A-Za-z], so a
 # "name" is any two ASCII words of two or more letters.
 _TWO_WORDS = "([A-Za-z]{2,} [A-Za-z]{2,})"
 NAME_AT_START = "^" + _TWO_WORDS
@@ -46,6 +46,7 @@ def extract_name(clean: Column) -> Column:
 
 # -- C3 / C4 ----------------------------------------------------------------
 
+# The e-mail and phone patterns.
 EMAIL = BOUNDARY + r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Z|a-z]{2,}" + BOUNDARY
 PHONE = (BOUNDARY + rf"(?:\+{DIGIT}{{1,2}}{WS}?)?\(?{DIGIT}{{3}}\)?[{WS_CLASS}.\-]?"
          rf"{DIGIT}{{3}}[{WS_CLASS}.\-]?{DIGIT}{{4}}" + BOUNDARY)
@@ -88,30 +89,17 @@ def skill_title(skill: str) -> str:
     return skill.title()
 
 
-def extract_skills(lower_clean: Column | str, lower_skills_tail: Column | str,
+def extract_skills(lower_clean: str, lower_skills_tail: str,
                    lexicon: tuple[str, ...] = K.SKILL_LEXICON) -> Column:
-    """Sorted distinct title-cased lexicon skills found in the text.
+    """Sorted distinct title-cased lexicon skills found in the text, from the
+    names of two columns computed once by the caller.
 
     A skill counts when it occurs as a whole word in the lower-cased text,
-    or as a plain substring of the text after the word "skills".  Both
-    inputs are computed once by the caller; the cheap ``contains`` test
-    guards each regex so most rows never run one.
-
-    Given column *names*, the expression is built as one SQL text (one call
-    to the JVM instead of several hundred); given Columns, with the
-    Column API.  Both build the same expression.
+    or as a plain substring of the text after the word "skills".  The cheap
+    ``contains`` test guards each regex so most rows never run one.  Built as
+    one SQL text: one call to the JVM instead of several hundred.
     """
-    if isinstance(lower_clean, str) and isinstance(lower_skills_tail, str):
-        return F.expr(_skills_sql(f"`{lower_clean}`", f"`{lower_skills_tail}`", lexicon))
-    lower_clean, lower_skills_tail = F.col(lower_clean) if isinstance(lower_clean, str) \
-        else lower_clean, F.col(lower_skills_tail) if isinstance(lower_skills_tail, str) \
-        else lower_skills_tail
-    hits = []
-    for skill in lexicon:
-        found = lower_clean.contains(skill) & (
-            lower_clean.rlike(bounded(skill)) | lower_skills_tail.contains(skill))
-        hits.append(F.when(found, F.lit(skill_title(skill))))
-    return F.array_sort(F.filter(F.array(*hits), lambda x: x.isNotNull()))
+    return F.expr(_skills_sql(f"`{lower_clean}`", f"`{lower_skills_tail}`", lexicon))
 
 
 def _skills_sql(lc: str, tail: str, lexicon: tuple[str, ...]) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from talentmatch.functions import constants as K
 from talentmatch.functions.text import is_blank
 from talentmatch.operators import tfidf
 from talentmatch.operators.blockmatch import topk_cosine
+from talentmatch.operators.prunedmatch import pruned_topk_cosine
 
 
 def _direction(v: Column) -> Column:
@@ -32,12 +35,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 def match_dense(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_N, *,
                 resume_id: str = "resume_id", job_id: str = "job_id", vec: str = "vec",
-                **kw) -> DataFrame:
+                pivots: int = 0, **kw) -> DataFrame:
     """Top-n jobs per résumé by cosine of dense vectors:
-    ``(resume_id, job_id, match_score, rank)``."""
-    out = topk_cosine(resumes.select(F.col(resume_id).alias("l"), F.col(vec).alias("vec")),
-                      jobs.select(F.col(job_id).alias("r"), F.col(vec).alias("vec")),
-                      top_n, kind="dense", left_id="l", right_id="r", **kw)
+    ``(resume_id, job_id, match_score, rank)``.  With ``pivots``, jobs are
+    grouped around so many of them and a résumé meets only the groups that
+    can hold one of its best (worth it for clustered vectors)."""
+    match = partial(pruned_topk_cosine, n_pivots=pivots) if pivots else partial(topk_cosine, kind="dense")
+    out = match(resumes.select(F.col(resume_id).alias("l"), F.col(vec).alias("vec")),
+                jobs.select(F.col(job_id).alias("r"), F.col(vec).alias("vec")),
+                top_n, left_id="l", right_id="r", **kw)
     return out.select(F.col("l").alias(resume_id), F.col("r").alias(job_id),
                       F.col("score").alias("match_score"), "rank")
 

@@ -340,6 +340,7 @@ select a.vec_id, b.vec_id next_vec_id, round(case when list_dot_product(a.v, a.v
   then list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) else 0 end, 6) cosine
 from e a join e b on b.vec_id = a.vec_id + 1""",
     "match_topk_dense": f"with {DENSE} select resume_id, job_id, rank, match_score from dense",
+    "match_topk_dense_pruned": f"with {DENSE} select resume_id, job_id, rank, match_score from dense",
     "match_single": f"with {DENSE} select resume_id, job_id, s match_score from pairs "
                     f"where resume_id = (select min(resume_id) from r) order by s desc, job_id limit {K.DEFAULT_TOP_N}",
     "blend_bands": """with e as (select vec_id, cast(embedding as double[]) v from embeddings),

@@ -304,6 +304,12 @@ def q_match_topk_dense(spark, sf):
     return dense_matches(spark, sf).select("resume_id", "job_id", "rank", "match_score")
 
 
+def q_match_topk_dense_pruned(spark, sf):
+    """D5 with jobs grouped around pivots: the same rows."""
+    res, jobs = embedding_sides(spark, sf)
+    return M.match_dense(res, jobs, K.DEFAULT_TOP_N, pivots=32).select("resume_id", "job_id", "rank", "match_score")
+
+
 def q_match_topk_tfidf(spark, sf):
     return tfidf_matches(spark, sf).select("resume_id", "job_id", "rank", "match_score")
 

@@ -12,6 +12,7 @@ from talentmatch.sources import jobs_csv as J
 from talentmatch.sources import resume_files as RF
 from talentmatch.functions import resume as R
 
+# Fixed inputs: the sample résumé and the text of the dummy file.
 SAMPLE = """
     John Doe
 

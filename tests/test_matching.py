@@ -196,3 +196,27 @@ def test_one_resume_ranked(spark, small_sf):
     got = [(r.job_id, r.match_score) for r in M.match_one(one, jobs, 5).collect()]
     want = [(r.job_id, r.match_score) for r in M.match_dense(res, jobs, 5).where(F.col("resume_id") == first.resume_id).orderBy("rank").collect()]
     assert got == want
+
+
+def test_pruning_leaves_cells_out_and_keeps_the_rows(spark):
+    from talentmatch.operators.blockmatch import _Dense
+    from talentmatch.operators.prunedmatch import pruned_topk_cosine, wanted_cells
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(6, 8))
+    def some(n):
+        return [(centres[rng.integers(6)] + 0.05 * rng.normal(size=8)).tolist() for _ in range(n)]
+    left = spark.createDataFrame([(i, v) for i, v in enumerate(some(60) + [[0.0] * 8, None, [1.0]])], "l long, vec array<double>")
+    right = spark.createDataFrame([(i, v) for i, v in enumerate(some(400) + [[0.0] * 8, None, [float("nan")] * 8])], "r long, vec array<double>")
+    want = sorted(map(tuple, topk_cosine(left, right, 4, left_id="l", right_id="r").collect()))
+    for block_rows, n_pivots in ((2048, 24), (30, 24), (2048, 1)):
+        got = pruned_topk_cosine(left, right, 4, left_id="l", right_id="r", n_pivots=n_pivots, block_rows=block_rows, partitions=5)
+        assert sorted(map(tuple, got.collect())) == want
+    assert pruned_topk_cosine(left, right.limit(0), 4, left_id="l", right_id="r").count() == 0
+    frame = right.limit(400).toPandas()
+    x = _Dense(frame, 8).m
+    pivots = x[rng.permutation(400)[:24]]
+    cell = (x @ pivots.T).argmax(1)
+    away = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
+    radius = np.array([away[cell == c].max(initial=0) for c in range(24)])
+    sent = wanted_cells(_Dense(left.limit(60).toPandas(), 8).m, pivots, radius, np.bincount(cell, minlength=24), 4)
+    assert sent.sum() < 0.5 * sent.size  # copies of left rows against one per cell
