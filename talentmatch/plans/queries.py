@@ -392,11 +392,11 @@ def q_empty_jobs_csv(spark, sf):
 
 
 def q_scan_resume_text(spark, sf):
-    """Documents landed as bytes with CRLF line ends and undecodable bytes."""
+    """Documents landed as bytes with CRLF line ends, every second one with
+    undecodable bytes."""
     d = documents(spark, sf)
-    content = F.concat(F.unhex(F.lit("FF")),
-                       F.encode(F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n")), "UTF-8"),
-                       F.unhex(F.lit("C3")))
+    valid = F.encode(F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n")), "UTF-8")
+    content = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("FF")), valid, F.unhex(F.lit("C3")))).otherwise(valid)
     t = RF.decode_text(content)
     return d.select("doc_id", F.length(t).cast("bigint").alias("n_chars"),
                     F.md5(F.encode(t, "UTF-8")).alias("text_md5"))

@@ -36,15 +36,20 @@ def too_large(size: Column) -> Column:
     return F.coalesce(size > K.MAX_UPLOAD_BYTES, F.lit(False))
 
 
+#: Two noncharacters that stand for a genuine U+FFFD while bad bytes are dropped.
+_KEPT = "\ufdd0\ufdd1"
+
+
 def decode_text(content: Column) -> Column:
     """A4: UTF-8 decode dropping undecodable bytes; CRLF and CR become LF.
 
     Valid input is used as is; invalid sequences are replaced by U+FFFD by
-    ``make_valid_utf8`` and then removed.  (A genuine U+FFFD inside an
-    otherwise invalid file is removed too.)"""
+    ``make_valid_utf8`` and then removed, a U+FFFD that the file itself holds
+    being kept."""
+    bad = F.lit("\ufffd")
     raw = content.cast("string")
-    text = F.when(F.is_valid_utf8(raw), raw) \
-        .otherwise(F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit("")))
+    dropped = F.replace(F.make_valid_utf8(F.replace(raw, bad, F.lit(_KEPT))), bad, F.lit(""))
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(dropped, F.lit(_KEPT), bad))
     return F.regexp_replace(text, "\r\n?", "\n")
 
 

@@ -281,3 +281,10 @@ def test_shared_folder_off_local_mode(monkeypatch):
 
     with pytest.raises(ValueError):
         session.checkpoint_dir(Session())
+
+
+def test_replacement_character_of_the_file_stays(spark):
+    rows = [(1, "a\ufffdb".encode() + b"\xff\r\n\xc3"), (2, "a\ufffdb\r".encode()), (3, b"\x48\x69\xff\x21"), (4, b"")]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "id long, content binary")
+    got = {r.id: r.t for r in df.select("id", RF.decode_text(F.col("content")).alias("t")).collect()}
+    assert got == {1: "a\ufffdb\n", 2: "a\ufffdb\n", 3: "Hi!", 4: ""}
