@@ -21,8 +21,11 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,7 +47,7 @@ PER_CLASS = (3000, 1500)
 TRAINING_WORDS = 5000
 STEPS, RATE, DECAY = 50, 0.5, 1e-6
 #: Distinct words whose numbers a process keeps between texts.
-CACHE = 300_000
+CACHE = 600_000
 LONGEST_WORD = 40
 
 
@@ -71,42 +74,56 @@ class SubwordModel:
 
     def __post_init__(self):
         self.cache: dict[str, float] = {}
+        self.table: list[float] = []
 
     def word(self, word: str) -> float:
         found = self.cache.get(word)
         if found is None:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            found = self.cache[word] = float(self.weight[grams(word)].mean())
+            self.table = self.table or self.weight.tolist()
+            own = grams(word)
+            found = self.cache[word] = sum([self.table[g] for g in own]) / len(own)
         return found
 
     def score(self, text: str | None) -> float:
         words = words_of(text)
-        odds = self.constant + sum(map(self.word, sorted(words))) / (len(words) + PADDING)
+        known = self.cache.get
+        total = math.fsum(self.word(w) if (x := known(w)) is None else x for w in words)  # in any order
+        odds = self.constant + total / (len(words) + PADDING)
         return float(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
 
     def __getstate__(self):
-        return {"weight": self.weight, "constant": self.constant, "cache": {}}
+        return {"weight": self.weight, "constant": self.constant, "cache": {}, "table": []}
 
 
-class _Sums:
-    """Weighted sums of rows of a matrix by row and column indices, both ways."""
+class _Bags:
+    """Scaled sums of matrix rows, a bag of row numbers for each sum, and the
+    way back.  Works a column at a time, which holds less memory."""
 
-    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, n_rows: int, n_cols: int):
-        self.ways = []
-        for a, b, n in ((row, col, n_rows), (col, row, n_cols)):
-            order = np.argsort(a, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(a[order]) > 0])
-            self.ways.append((b[order], value[order, None], starts, a[order][starts], n))
+    def __init__(self, items: np.ndarray, sizes: np.ndarray, scale: np.ndarray, n_items: int):
+        self.items, self.n_items, self.n = items, n_items, len(sizes)
+        self.full = np.flatnonzero(sizes)
+        self.sizes = sizes[self.full]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.scale = scale[self.full].astype(np.float32)
 
-    def __call__(self, m: np.ndarray, back: bool = False) -> np.ndarray:
-        take, value, starts, at, n = self.ways[back]
-        out = np.zeros((n, m.shape[1]), m.dtype)
-        out[at] = np.add.reduceat(m[take] * value, starts, axis=0)
+    def forth(self, m: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, m.shape[1]), np.float32)
+        if len(self.full):
+            for k in range(m.shape[1]):
+                out[self.full, k] = np.add.reduceat(m[:, k][self.items], self.starts) * self.scale
+        return out
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n_items, g.shape[1]), np.float32)
+        for k in range(g.shape[1]):
+            each = np.repeat(g[self.full, k] * self.scale, self.sizes)
+            out[:, k] = np.bincount(self.items, each, self.n_items)
         return out
 
 
-def train(texts: list[list[str]], labels: list[int], steps: int = STEPS, seed: int = 3) -> SubwordModel:
+def train(texts: Iterable[list[str]], labels: list[int], steps: int = STEPS, seed: int = 3) -> SubwordModel:
     """Joint training of n-gram vectors and softmax by Adam, on the distinct
     words of each text."""
     labels = np.asarray(labels, np.int64)
@@ -114,22 +131,28 @@ def train(texts: list[list[str]], labels: list[int], steps: int = STEPS, seed: i
     if not 0 < toxic < 1:
         return SubwordModel(np.zeros(BUCKETS, np.float32), float(np.log((toxic + 1e-3) / (1 - toxic + 1e-3))))
     index: dict[str, int] = {}
-    word = np.array([index.setdefault(w, len(index)) for t in texts for w in t], np.int64)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    share = np.repeat(1 / (sizes + PADDING), sizes).astype(np.float32)
-
-    bags = [np.array(grams(w), np.int64) for w in index]
-    own = np.array([len(b) for b in bags], np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *bags])
-    row = np.repeat(np.arange(len(bags)), own)
-    seen = np.bincount(flat, np.bincount(word, minlength=len(index))[row], BUCKETS)
-    often = seen[flat] >= LEAST_SEEN
-    used, place = np.unique(flat[often], return_inverse=True)
+    word, sizes = array("i"), []
+    for words in texts:
+        word.extend(index.setdefault(w, len(index)) for w in words)
+        sizes.append(len(words))
+    word, sizes = np.array(word, np.int32), np.array(sizes, np.int32)
+    gram, own = array("i"), np.zeros(len(index), np.int32)
+    for k, w in enumerate(index):
+        bag = grams(w)
+        gram.extend(bag)
+        own[k] = len(bag)
+    gram = np.array(gram, np.int32)
+    seen = np.bincount(gram, np.repeat(np.bincount(word, minlength=len(index)).astype(np.float32), own), BUCKETS)
+    used = np.flatnonzero(seen >= LEAST_SEEN)
     if not len(used):
         return SubwordModel(np.zeros(BUCKETS, np.float32), float(np.log(toxic / (1 - toxic))))
-    of_words = _Sums(row[often], place, np.repeat(1 / np.maximum(1, own), own)[often].astype(np.float32), len(bags), len(used))
-    of_texts = _Sums(doc, word, share, len(texts), len(index))
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    gram = place[gram]
+    ends = np.r_[0, np.cumsum(gram >= 0)][np.r_[0, np.cumsum(own)]]
+    of_words = _Bags(gram[gram >= 0], np.diff(ends).astype(np.int32), 1 / np.maximum(1, own), len(used))
+    of_texts = _Bags(word, sizes, 1 / (sizes + PADDING), len(index))
+    del index, gram
 
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (len(used), DIMENSIONS)).astype(np.float32),
@@ -140,11 +163,11 @@ def train(texts: list[list[str]], labels: list[int], steps: int = STEPS, seed: i
     mean = [np.zeros_like(p) for p in params]
     square = [np.zeros_like(p) for p in params]
     for t in range(1, steps + 1):
-        text = of_texts(of_words(vectors))
+        text = of_texts.forth(of_words.forth(vectors))
         odds = text @ soft + bias
         p = np.exp(odds - odds.max(axis=1, keepdims=True))
         gap = (p / p.sum(axis=1, keepdims=True) - wanted) * weights
-        grads = [of_words(of_texts(gap @ soft.T, back=True), back=True) + DECAY * vectors,
+        grads = [of_words.back(of_texts.back(gap @ soft.T)) + DECAY * vectors,
                  text.T @ gap, gap.sum(axis=0, keepdims=True)]
         for q, g, m, s in zip(params, grads, mean, square):
             m += 0.1 * (g - m)
@@ -161,7 +184,8 @@ def held_out(id_col: str):
 
 
 def training_set(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``toxic, words`` of the labelled documents to train on."""
+    """``id, toxic, words`` of the labelled documents to train on, words
+    joined by line feeds."""
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(
         F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(n) for c, n in enumerate(PER_CLASS)]
@@ -171,16 +195,16 @@ def training_set(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def distinct_words(frames):
         for frame in frames:
             yield pd.DataFrame({"id": frame["id"], "toxic": frame["toxic"],
-                                "words": [sorted(words_of(t))[:TRAINING_WORDS] for t in frame["text"]]})
+                                "words": ["\n".join(sorted(words_of(t))[:TRAINING_WORDS]) for t in frame["text"]]})
 
     kind = rows.schema["id"].dataType.simpleString()
-    return (rows.mapInPandas(distinct_words, f"id {kind}, toxic int, words array<string>")
+    return (rows.mapInPandas(distinct_words, f"id {kind}, toxic int, words string")
             .dropDuplicates(["id"]).select("id", "toxic", "words"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SubwordModel:
     found = sorted(training_set(docs, labels, id_col, text_col).collect(), key=lambda r: r.id)
-    return train([r.words for r in found], [r.toxic for r in found])
+    return train((r.words.split("\n") if r.words else [] for r in found), [r.toxic for r in found])
 
 
 def score_column(model: SubwordModel):
