@@ -4,7 +4,9 @@ Sources keep conversations in different layouts: a row per turn, a list of
 messages, prompt and completion, instruction and output.  A layout is known
 by the nested field paths it uses; the SHA-256 of those sorted paths is its
 fingerprint, and the fingerprint selects a declarative :class:`Layout` that
-says which field holds a turn's role and text.  A typed DataFrame has one
+says which field holds a turn's role and text.  Only paths that some layout
+names count; if they are those of no layout, because an extra column has a
+clashing name, the largest layout that they include is taken.  A typed DataFrame has one
 fingerprint, taken from its schema (:func:`typed_turns`); JSON records have
 one each, taken per row from the paths present in the parsed variant
 (:func:`json_turns`).  Both give canonical conversations
@@ -80,6 +82,8 @@ def fingerprint(paths: Sequence[str]) -> str:
 
 
 BY_FINGERPRINT = {fingerprint(x.paths): x for x in LAYOUTS}
+#: For paths of no layout: the largest layout that they include.
+LARGEST_FIRST = tuple(sorted(LAYOUTS, key=lambda x: -len(x.paths)))
 
 
 def field_paths(schema: T.StructType) -> list[str]:
@@ -125,6 +129,8 @@ def typed_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Conversations of a DataFrame whose columns follow one layout."""
     found = [p for p in field_paths(df.schema) if p in KNOWN_PATHS]
     layout = BY_FINGERPRINT.get(fingerprint(found))
+    if layout is None:
+        layout = next((x for x in LARGEST_FIRST if set(x.paths) <= set(found)), None)
     if layout is None:
         return df.select(F.col(id_col).alias("conv_id"), F.lit(None).cast("string").alias("layout"),
                          F.array().cast(TURNS).alias("turns"))
@@ -148,8 +154,13 @@ def json_turns(df: DataFrame, id_col: str = "conv_id", json_col: str = "record")
         at = "$." + path.removesuffix("[]").replace("[]", "[0]")
         return F.when(F.try_variant_get("v", at, "variant").isNotNull(), F.lit(path))
 
-    mark = F.sha2(F.concat_ws("\n", *[present(p) for p in KNOWN_PATHS]), 256)
-    record = record.select("conv_id", "v", mark.alias("fp"))
+    record = record.select("conv_id", "v", F.array_compact(F.array(*[present(p) for p in KNOWN_PATHS])).alias("paths"))
+    exact = F.sha2(F.array_join("paths", "\n"), 256)
+    included = None
+    for x in LARGEST_FIRST:
+        has = F.size(F.array_except(F.array(*map(F.lit, x.paths)), F.col("paths"))) == 0
+        included = F.when(has, fingerprint(x.paths)) if included is None else included.when(has, fingerprint(x.paths))
+    record = record.select("conv_id", "v", F.when(exact.isin(list(BY_FINGERPRINT)), exact).otherwise(included).alias("fp"))
     name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for fp, layout in BY_FINGERPRINT.items():
         if layout.listed:

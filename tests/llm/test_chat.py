@@ -47,6 +47,7 @@ RECORDS = [
     ("system_prompt_response", {"system": "s", "prompt": "hi", "response": "ho"}, [("system", "s"), *TURNS]),
     ("instruction_input", {"instruction": "do", "input": "it", "output": "ho"}, [("user", "do\n\nit"), ("assistant", "ho")]),
     ("instruction", {"instruction": "do", "output": "ho"}, [("user", "do"), ("assistant", "ho")]),
+    ("prompt_response", {"prompt": "hi", "response": "ho", "input": "extra", "output": 3}, TURNS),  # clashing extra fields
     (None, {"title": "x"}, []),
 ]
 
@@ -63,3 +64,10 @@ def test_typed_layouts(spark, name, record, turns):
     df = spark.read.json(spark.sparkContext.parallelize([json.dumps({"conv_id": 1, **record})]))
     (r,) = chat.typed_turns(df).collect()
     assert (r.layout, [(t.role, t.text) for t in r.turns]) == (name, turns)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, 0, "user", "hi", "x", "y"), (1, 1, "assistant", "ho", None, "z")],
+                               "conv_id long, turn long, role string, text string, input string, system string")
+    (r,) = chat.typed_turns(df).collect()
+    assert (r.layout, [(t.role, t.text) for t in r.turns]) == ("turn_rows", TURNS)
