@@ -1,9 +1,11 @@
 """Op 8 — token counts by batch encoding, lengths only.
 
-One narrow pass: an Arrow function takes the texts, cuts long ones where a
-cut cannot change the tokens, encodes batches of about ``batch_bytes`` bytes
-and gives back one number per text.  No shuffle, no ids and no offsets leave
-the function.
+One narrow pass: an Arrow function takes the texts, cuts them where a cut
+cannot change the tokens, encodes the pieces in batches of about
+``batch_bytes`` bytes and gives back one number per text.  No shuffle, no ids
+and no offsets leave the function.  A text whose spaces are all safe cuts is
+cut at each of them, and a process remembers the counts of ``CACHE`` such
+words, so it encodes a word once; other texts are cut into long pieces.
 
 Safe cut: before a single space that stands between two characters that are
 not white space.  Both kinds of pre-tokenizer in use drop that space or bind
@@ -20,14 +22,19 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _ENCODERS: dict[str, tuple] = {}
+_KNOWN: dict[str, dict[str, int]] = {}
+CACHE = 500_000
+UNSAFE = re.compile(r"\s | \s|^ | $")
 
 
 def vocabulary_path(name: str) -> str:
@@ -75,31 +82,35 @@ def safe_pieces(text: str, size: int) -> Iterator[str]:
     yield text[start:]
 
 
-def counted(texts: list[str], name: str, batch_bytes: int, piece_chars: int) -> list[int]:
-    """Tokens of each text, encoded in batches of about ``batch_bytes``."""
-    count, may_cut = encoder(name)
-    totals = [0] * len(texts)
-    owners: list[int] = []
-    batch: list[str] = []
-    held = 0
+def encoded(texts: list[str], count, batch_bytes: int) -> list[int]:
+    """Tokens of each text, in batches of about ``batch_bytes``."""
+    out: list[int] = []
+    at = held = 0
+    for k, text in enumerate(texts):
+        held += 4 * len(text)  # at most, in UTF-8
+        if held >= batch_bytes:
+            out += count(texts[at:k + 1])
+            at, held = k + 1, 0
+    return out + (count(texts[at:]) if at < len(texts) else [])
 
-    def flush() -> None:
-        for k, n in zip(owners, count(batch)):
-            totals[k] += n
-        owners.clear()
-        batch.clear()
 
-    for k, text in enumerate(texts):
-        for piece in safe_pieces(text, piece_chars) if may_cut else (text,):
-            owners.append(k)
-            batch.append(piece)
-            held += 4 * len(piece)  # at most, in UTF-8
-            if held >= batch_bytes:
-                flush()
-                held = 0
-    if batch:
-        flush()
-    return totals
+def counted(texts: list[str], name: str, batch_bytes: int, piece_chars: int) -> list[int]:
+    """Tokens of each text."""
+    count, may_cut = encoder(name)
+    if not may_cut:
+        return encoded(texts, count, batch_bytes)
+    known = _KNOWN.setdefault(name, {})
+    words: list[list[str] | None] = [None if UNSAFE.search(t) else t.split(" ") for t in texts]
+    new = list({w for own in words if own for w in own[1:] if w not in known})
+    if len(known) + len(new) > CACHE:
+        known.clear()
+        new = list({w for own in words if own for w in own[1:]})
+    known.update(zip(new, encoded([" " + w for w in new], count, batch_bytes)))
+    # what is left: first words, and texts with other white space beside a space
+    pieces = [[own[0]] if own else list(safe_pieces(t, piece_chars)) for own, t in zip(words, texts)]
+    flat = iter(encoded([p for own in pieces for p in own], count, batch_bytes))
+    rest = [sum(next(flat) for _ in own) for own in pieces]
+    return [n + sum([known[w] for w in own[1:]]) if own else n for n, own in zip(rest, words)]
 
 
 def count_tokens(df: DataFrame, tokenizer: str, limit: int, id_col: str = "doc_id", text_col: str = "text",
@@ -110,12 +121,14 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int, id_col: str = "doc_i
                            T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def lengths(batches):
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            sizes = pa.compute.binary_length(b.column("text")).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), sizes, pa.array(counted(texts, tokenizer, batch_bytes, piece_chars), pa.int64())],
-                names=["id", "n_bytes", "n_tokens"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                texts = b.column("text").to_pylist()
+                sizes = pa.compute.binary_length(b.column("text")).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id"), sizes, pa.array(counted(texts, tokenizer, batch_bytes, piece_chars), pa.int64())],
+                    names=["id", "n_bytes", "n_tokens"])
 
     return rows.mapInArrow(lengths, schema).select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -48,3 +48,19 @@ def test_edge_rows(spark):
     got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(df, "piece_bpe_32k.model", 10).collect()}
     assert got[2] == len(sp.encode(long)) and got[3] == len(sp.encode(solid))
     assert tokencount.count_tokens(df.limit(0), "word_bpe_49k.json", 10).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aB É́ß' s1.\n\t \x1c<|endoftext|>漢\u00a0"), max_size=30), max_size=6))
+def test_remembered_words_change_nothing(texts):
+    for name, tok in (("word_bpe_49k.json", WORD), ("byte_bpe_50k.json", BYTE)):
+        want = [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert tokencount.counted(texts, name, 50, 4) == want
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokencount, "CACHE", 20)
+    texts = [" ".join(f"word{i}x{k}" for i in range(15)) for k in range(9)]
+    got = [tokencount.counted([t], "word_bpe_49k.json", 1000, 100)[0] for t in texts]
+    assert got == [len(WORD.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(tokencount._KNOWN["word_bpe_49k.json"]) <= 20
