@@ -49,6 +49,8 @@ HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-6
 TILE = 256
+#: Parts into which the members of one crowd are dealt for a join.
+SALTS = 32
 
 _RNG = np.random.default_rng(97)
 _MULTIPLY = _RNG.integers(0, 2 ** 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -217,8 +219,9 @@ def _across(members: DataFrame, classes: DataFrame, docs: DataFrame, miss: float
               .select("centre", F.col("top.component").alias("largest"),
                       F.ceil(F.col("all") / TILE).cast("int").alias("blocks"),
                       F.ceil((F.col("all") - F.col("top.n")) / TILE).cast("int").alias("outer_blocks")))
-    rows = members.join(crowds, "centre")
     mark = F.xxhash64("node")
+    salted = crowds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = members.withColumn("salt", F.pmod(mark, F.lit(SALTS)).cast("int")).join(salted, ["centre", "salt"])
     names = ["centre", "node", "component", "block", "outer_block", "outer"]
     left = (rows.withColumn("block", F.pmod(mark, "blocks").cast("int")).withColumn("outer", F.lit(False))
             .withColumn("outer_block", F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1))).select(names))
