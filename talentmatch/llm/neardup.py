@@ -187,7 +187,8 @@ def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs ``a, b`` whose full shingle sets reach the threshold."""
-    own = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs)
+    # written, so that both joins read plain rows and the engine can split a centre with many pairs
+    own = written(_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs), "sets")
     both = (pairs.join(own.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a")
             .join(own.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b"))
 
