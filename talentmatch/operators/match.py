@@ -71,7 +71,7 @@ def match_tfidf(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_
     an upper bound will do."""
     jobs = with_text(jobs, text)
     jc = tfidf.term_counts(jobs, job_id, text)
-    idf = tfidf.fit_idf(jc, jobs)
+    idf = tfidf.fit_idf(jobs, text)
     sides = [tfidf.coded(tfidf.vectors(c, idf)) for c in (tfidf.term_counts(resumes, resume_id, text), jc)]
     out = topk_cosine(sides[0].withColumnRenamed("id", "l"), sides[1].withColumnRenamed("id", "r"), top_n,
                       kind="sparse", left_id="l", right_id="r", left_rows=resume_rows if resume_rows is not None else resumes,

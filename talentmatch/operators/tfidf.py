@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talentmatch.session import spread
+
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 COUNTS = "array<struct<term:string,tf:bigint>>"
 
@@ -27,7 +29,7 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, counts)``: the distinct terms of every document with their
     number of occurrences, by term; an empty array without any token."""
     tokens = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN), 0)
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.array_sort(tokens), F.array().cast("array<string>")).alias("s"))
+    d = spread(docs).select(F.col(id_col).alias("id"), F.coalesce(F.array_sort(tokens), F.array().cast("array<string>")).alias("s"))
     size = F.size("s")
 
     def token(i: Column) -> Column:
@@ -41,11 +43,12 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select("id", F.when(size > 0, counts).otherwise(F.array().cast(COUNTS)).alias("counts"))
 
 
-def fit_idf(counts: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """``(term, idf)`` from the term counts of all documents; n counts the
-    rows of ``docs`` (the counts themselves unless given)."""
-    n = (docs if docs is not None else counts).agg(F.count(F.lit(1)).alias("n"))
-    df = (counts.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+def fit_idf(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(term, idf)`` of all documents.  Distinct tokens are exploded straight
+    from the text: a field of the counts would be computed per entry."""
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN), 0))
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    df = spread(docs).select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.crossJoin(F.broadcast(n)).select(  # one row
         "term", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
 

@@ -286,8 +286,8 @@ def q_gated_advice(spark, sf):
 # -- D: features and matching --------------------------------------------------
 
 def q_tfidf_weights(spark, sf):
-    counts = TF.term_counts(job_texts(spark, sf), "job_id", "text")
-    return TF.weights(TF.vectors(counts, TF.fit_idf(counts))).select(
+    jobs = job_texts(spark, sf)
+    return TF.weights(TF.vectors(TF.term_counts(jobs, "job_id", "text"), TF.fit_idf(jobs))).select(
         F.col("id").alias("job_id"), "term", F.round("weight", 6).alias("weight"))
 
 

@@ -46,7 +46,14 @@ def _closed(segment: Column, tag: str) -> Column:
     end = F.aggregate(steps, start, lambda s, x: F.when(s["depth"] == 0, s).otherwise(
         F.struct((s["depth"] + x).alias("depth"), (s["pieces"] + 1).alias("pieces"))))
     parts = F.split(segment, any_tag(tag), -1)
-    return F.array_join(F.slice(parts, 1, F.when(end["depth"] == 0, end["pieces"]).otherwise(F.size(parts))), "")
+    folded = F.array_join(F.slice(parts, 1, F.when(end["depth"] == 0, end["pieces"]).otherwise(F.size(parts))), "")
+    # without another opening tag the first closing one ends it: no need to count
+    first = F.get(F.split(segment, rf"</(?i:{tag})(?:\s[^>]*)?>", 2), 0)
+    return F.when(segment.rlike(rf"<(?i:{tag})(?:\s[^>]*)?>"), folded).otherwise(first)
+
+
+def _closer(tag: str):
+    return lambda segment: _closed(segment, tag)
 
 
 def _first_present(card: Column, selectors, default: str) -> Column:
@@ -80,17 +87,14 @@ def extract_cards(pages: DataFrame, *, page_id: str = "page_id", html: str = "ht
     for k, (tag, token) in enumerate(containers):
         present = h.rlike(open_tag(tag, token))
         kind = F.when(present, k) if kind is None else kind.when(present, k)
-    segments, card = None, None
-    for k, (tag, token) in enumerate(containers):
-        split = F.split(h, open_tag(tag, token), -1)
-        closed = _closed(F.col("segment"), tag)
-        is_kind = F.col("kind") == k
-        segments = F.when(is_kind, split) if segments is None else segments.when(is_kind, split)
-        card = F.when(is_kind, closed) if card is None else card.when(is_kind, closed)
     found = spread(pages).select(F.col(page_id).alias("page_id"), h, kind.alias("kind")).where("kind is not null")
-    found = found.select("page_id", "kind", F.slice(segments, 2, F.lit(max_cards or (1 << 30))).alias("segments"))
-    cards = (found.select("page_id", "kind", F.posexplode("segments").alias("card_no", "segment"))
-             .select("page_id", F.col("card_no").cast("int").alias("card_no"), card.alias("card")))
+    # cards are cut before they are exploded, so that no later step computes them again
+    cut = None
+    for k, (tag, token) in enumerate(containers):
+        segments = F.slice(F.split(h, open_tag(tag, token), -1), 2, F.lit(max_cards or (1 << 30)))
+        own = F.transform(segments, _closer(tag))
+        cut = F.when(F.col("kind") == k, own) if cut is None else cut.when(F.col("kind") == k, own)
+    cards = found.select("page_id", F.posexplode(cut).alias("card_no", "card")).withColumn("card_no", F.col("card_no").cast("int"))
     c = F.col("card")
     href, dropped = _link(c, link)
     return (cards.where(~dropped).select(

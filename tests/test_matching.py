@@ -111,7 +111,7 @@ def test_cosine_range_and_symmetry(spark, small_sf):
 def test_tfidf_weights_unit_norm(spark):
     docs = spark.createDataFrame([(1, "a bb bb cc"), (2, "bb dd"), (3, "x")], "id long, t string")
     counts = TF.term_counts(docs, "id", "t")
-    w = TF.weights(TF.vectors(counts, TF.fit_idf(counts)))
+    w = TF.weights(TF.vectors(counts, TF.fit_idf(docs, "t")))
     norms = w.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
     assert {r.id for r in norms} == {1, 2}  # single-letter tokens are dropped
     for r in norms:
