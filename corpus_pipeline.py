@@ -30,10 +30,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id;
-    rows that repeat it, id and all, stay with it."""
-    dropped = neardup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    """One row of each group of near duplicates, of the smallest id; ids may be
+    null or stand on several texts.  Rows without words all stay."""
+    surplus = neardup.surplus(docs).withColumnsRenamed({"doc_id": "other_id", "mark": "other_mark"})
+    same = docs["doc_id"].eqNullSafe(F.col("other_id")) & (neardup.text_mark() == F.col("other_mark"))
+    alone = docs.join(surplus, same, "left_anti")
+    repeated = surplus.where("first")
+    if repeated.isEmpty():
+        return alone
+    copies = docs.join(repeated, same, "left_semi").groupBy("doc_id", neardup.text_mark().alias("mark"))
+    return alone.unionByName(copies.agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

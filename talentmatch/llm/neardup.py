@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,10 +93,15 @@ def class_hash(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - 2 ** 63
 
 
+def text_mark(text_col: str = "text") -> Column:
+    """64 bits of the text as it stands; with the id they tell rows apart."""
+    return F.xxhash64(F.col(text_col))
+
+
 def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n_shingles, node, sig`` of every row."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("n_shingles", T.LongType()),
+    """``doc_id, mark, n_shingles, node, sig`` of every row."""
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_mark(text_col).alias("mark"))
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["mark"], T.StructField("n_shingles", T.LongType()),
                            T.StructField("node", T.LongType()), T.StructField("sig", T.BinaryType())])
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +116,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     nodes.append(class_hash(words) if words else None)
                     sigs.append(signature(own).tobytes() if words else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
+                    [part.column("doc_id"), part.column("mark"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                      pa.array(sigs, pa.binary())], names=schema.names)
 
     return rows.mapInArrow(printed, schema)
@@ -269,8 +274,8 @@ def _across(members: DataFrame, classes: DataFrame, docs: DataFrame, miss: float
     return tiles.groupBy("centre", "block", "outer_block").applyInPandas(linked, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
+def _grouped(df: DataFrame, id_col: str, text_col: str, miss: float) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and ``node, rep, component`` of every class."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     prints = written(fingerprints(df, id_col, text_col), "prints")
     classes = written(prints.where(F.col("node").isNotNull()).groupBy("node").agg(
@@ -291,11 +296,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
-    ends = (classes.select("node", "rep").join(found, "node", "left")
-            .select("node", "rep", F.coalesce("component", "node").alias("component")))
+    return prints, (classes.select("node", "rep").join(found, "node", "left")
+                    .select("node", "rep", F.coalesce("component", "node").alias("component")))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row."""
+    prints, ends = _grouped(df, id_col, text_col, miss)
     names = ends.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = ends.join(names, "component").select("node", "component_id")
     return prints.join(named, "node", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def surplus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
+    """``doc_id, mark, first`` of the rows with words that are not alone the
+    first of their component, by id (null last) and mark; ``first`` is true
+    where the first one itself is repeated, id and text."""
+    prints, ends = _grouped(df, id_col, text_col, miss)
+    rows = written(prints.where(F.col("node").isNotNull()).groupBy("doc_id", "mark", "node").agg(
+        F.count(F.lit(1)).alias("n")), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    firsts = (rows.groupBy("node").agg(F.min(order).alias("own")).join(ends, "node")
+              .groupBy("component").agg(F.min("own").alias("own"))
+              .select(F.col("own.doc_id").alias("first_id"), F.col("own.mark").alias("first_mark")))
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
+    first = F.col("first_mark").isNotNull()
+    return written(rows.join(firsts, same, "left").where(~first | (F.col("n") > 1)).select(
+        "doc_id", "mark", first.alias("first")), "surplus")

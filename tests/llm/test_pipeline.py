@@ -81,3 +81,16 @@ def test_run_and_edge_rows(spark, tmp_path):
     none = docs.limit(0)
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, none, str(tmp_path)).count() == 0
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    a, b, c, d = (" ".join(f"{name}{i}" for i in range(60)) for name in "abcd")
+    near = c.replace("c59", "other")
+    rows = [(3, b), (7, a), (7, b), (None, a + " "), (None, b), (None, c), (None, near), (None, d), (9, near), (None, None),
+            (None, None), (5, " "), (7, ""), (11, "x y"), (11, "x y"), (11, "x z"), (None, "x w"), (None, "x w")]
+    docs = spark.createDataFrame([(i, t, None, "s", k) for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    want = [(3, b), (7, a), (9, near), (None, d), (None, None), (None, None), (5, " "), (7, ""), (11, "x y"), (11, "x z"), (None, "x w")]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
