@@ -2,8 +2,9 @@
 
 Two character Markov models, one of random strings and one of ordinary
 identifiers, are trained from labelled strings.  A run of credential
-characters that no fixed pattern covers is reported as ``markov`` when its
-log-likelihood ratio (random over ordinary) passes ``LOG_ODDS``.
+characters is cut where fixed patterns cover it, and each uncovered stretch
+of 16 or more is reported as ``markov`` when its log-likelihood ratio (random
+over ordinary) passes ``LOG_ODDS``.
 
 Labelled strings: random are the values that the fixed patterns find in
 ``SAMPLE_DOCS`` sampled documents, and strings drawn from credential
@@ -137,13 +138,12 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Random
 def all_spans(text: str, model: RandomnessModel) -> list[tuple[int, int, int]]:
     """``(start, kind index, end)`` by start, then kind."""
     base = sorted(x[:3] for x in base_spans(text))
-    more, k, reach = [], 0, 0
-    for m in RUN.finditer(text):
-        while k < len(base) and base[k][0] < m.end():
-            reach = max(reach, base[k][2])
-            k += 1
-        if reach <= m.start() and len(set(m[0])) >= LEAST_DISTINCT and model.score(m[0]) > LOG_ODDS:
-            more.append((m.start(), 3, m.end()))
+    more, at = [], 0
+    for start, _, end in [*base, (len(text), 0, 0)]:
+        if start > at:  # what lies between the spans
+            more += [(m.start(), 3, m.end()) for m in RUN.finditer(text, at, start)
+                     if len(set(m[0])) >= LEAST_DISTINCT and model.score(m[0]) > LOG_ODDS]
+        at = max(at, end)
     return sorted(base + more)
 
 
