@@ -5,9 +5,10 @@ A word is the mean of the vectors of its character n-grams (hashed into
 ``PADDING`` zero vectors, so that neither repetition nor a handful of words
 decides; a linear softmax over two classes reads the text vector.  Vectors
 and softmax are trained jointly, in numpy, from at most ``PER_CLASS``
-labelled documents of either class, the first in hash order, and
-``TRAINING_WORDS`` distinct words of each.  A misspelt or inflected word that
-training never saw still shares n-grams with those it did.
+labelled documents of either class, the first in hash order.  A misspelt or
+inflected word that training never saw still shares n-grams with those it did.
+A word of more than ``LONGEST_WORD`` characters, as unspaced scripts have,
+counts as overlapping windows of ``WINDOW`` that hold all its n-grams.
 
 The model is linear above the n-grams, so scoring needs one number per n-gram.
 It is one narrow pass over whole texts.
@@ -48,21 +49,24 @@ TRAINING_WORDS = 5000
 STEPS, RATE, DECAY = 50, 0.5, 1e-6
 #: Distinct words whose numbers a process keeps between texts.
 CACHE = 600_000
-LONGEST_WORD = 40
+LONGEST_WORD, WINDOW = 40, 12
 
 
 def grams(word: str) -> list[int]:
-    """Buckets of the word's n-grams and of the word itself; of a word longer
-    than ``LONGEST_WORD`` those of its two ends."""
-    if len(word) > LONGEST_WORD:
-        word = word[:LONGEST_WORD // 2] + word[-LONGEST_WORD // 2:]
+    """Buckets of the word's n-grams and of the word itself."""
     raw = f"<{word}>"
     found = [raw[i:i + n] for n in GRAMS for i in range(len(raw) - n + 1)]
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in (*found, "=" + word)]
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").lower()))
+    words = set(WORD.findall((text or "").lower()))
+    if max(map(len, words), default=0) > LONGEST_WORD:
+        shared = max(GRAMS) - 1
+        for w in [w for w in words if len(w) > LONGEST_WORD]:
+            words.remove(w)
+            words.update(w[i:i + WINDOW] for i in range(0, len(w) - shared, WINDOW - shared))
+    return words
 
 
 @dataclass

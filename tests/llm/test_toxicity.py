@@ -63,3 +63,16 @@ def test_edges(spark):
     assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == 4
     assert toxicity.scored(docs.limit(0), toxicity.fit(docs.limit(0), labels.limit(0))).count() == 0
     assert toxicity.train([], []).score("") == pytest.approx(0.5)
+
+
+def test_long_words_are_read_whole():
+    rng = np.random.default_rng(5)
+    word = "".join(rng.choice(list("abcdefghijklmnop"), 1000))
+    inside = {word[i:i + n] for n in toxicity.GRAMS for i in range(len(word) - n + 1)}
+    windows = toxicity.words_of("short " + word) - {"short"}
+    assert inside <= {w[i:i + n] for w in windows for n in toxicity.GRAMS for i in range(len(w) - n + 1)}
+    assert toxicity.words_of("a" * 40) == {"a" * 40}
+    weight = np.zeros(toxicity.BUCKETS, np.float32)
+    weight[toxicity.grams("xyzzy")] = 50
+    model = toxicity.SubwordModel(weight, 0.0)
+    assert model.score(word[:500] + "xyzzy" + word[500:]) > model.score(word) + 0.01
