@@ -38,8 +38,6 @@ from pyspark.sql import types as T
 WORD = re.compile(r"\w+")
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
-#: n-grams seen in fewer (text, word) pairs of the training set are left out.
-LEAST_SEEN = 20
 DIMENSIONS = 4
 PADDING = 40
 #: Share of the toxic texts in the loss, whatever their number.
@@ -146,15 +144,12 @@ def train(texts: Iterable[list[str]], labels: list[int], steps: int = STEPS, see
         gram.extend(bag)
         own[k] = len(bag)
     gram = np.array(gram, np.int32)
-    seen = np.bincount(gram, np.repeat(np.bincount(word, minlength=len(index)).astype(np.float32), own), BUCKETS)
-    used = np.flatnonzero(seen >= LEAST_SEEN)
+    used = np.flatnonzero(np.bincount(gram, minlength=BUCKETS))
     if not len(used):
         return SubwordModel(np.zeros(BUCKETS, np.float32), float(np.log(toxic / (1 - toxic))))
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    gram = place[gram]
-    ends = np.r_[0, np.cumsum(gram >= 0)][np.r_[0, np.cumsum(own)]]
-    of_words = _Bags(gram[gram >= 0], np.diff(ends).astype(np.int32), 1 / np.maximum(1, own), len(used))
+    of_words = _Bags(place[gram], own, 1 / np.maximum(1, own), len(used))
     of_texts = _Bags(word, sizes, 1 / (sizes + PADDING), len(index))
     del index, gram
 

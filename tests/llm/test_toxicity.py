@@ -76,3 +76,9 @@ def test_long_words_are_read_whole():
     weight[toxicity.grams("xyzzy")] = 50
     model = toxicity.SubwordModel(weight, 0.0)
     assert model.score(word[:500] + "xyzzy" + word[500:]) > model.score(word) + 0.01
+
+
+def test_rare_words_train():
+    texts = [[f"plain{k}", f"usual{k}", *(["glumbuck"] if k % 4 == 0 else [])] for k in range(24)]
+    model = toxicity.train(texts, [int(k % 4 == 0) for k in range(24)])
+    assert model.score("plain1 usual1 glumbuck") > 0.5 > model.score("plain1 usual1")
