@@ -43,6 +43,8 @@ LIST_ROWS, LEAST_LISTS, MOST_LISTS = 400, 8, 1024
 PROBE_SHARE = 0.8
 EPSILON = 2.1
 COLUMNS = 8
+#: Share of the squared norms that a squared distance of rotated vectors may be off by.
+ROUNDING = 1e-12
 BLOCK_ROWS = 4096
 LISTED = {"list": "int", "part": "int", "id": "long", "v": "binary"}
 
@@ -71,10 +73,13 @@ def rotation(dim: int) -> np.ndarray:
 
 
 def scan(q: np.ndarray, rotated_q: np.ndarray, x: np.ndarray, rotated_x: np.ndarray, own: np.ndarray, k: int,
-         epsilon: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places and exact distances of the rows that one query keeps to the end."""
+         epsilon: float, squares: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact distances of the rows that one query keeps to the end.
+    ``squares`` are the squared norms of ``x``."""
     dim = x.shape[1]
     alive = np.flatnonzero(~own)
+    squares = np.einsum("ij,ij->i", x, x) if squares is None else squares
+    slack = ROUNDING * (q @ q + squares)  # rotation leaves copies of the query at a distance just above 0
     part = np.zeros(len(alive))
     bound = np.inf
     for at in range(0, dim, COLUMNS):
@@ -84,7 +89,7 @@ def scan(q: np.ndarray, rotated_q: np.ndarray, x: np.ndarray, rotated_x: np.ndar
         if t < dim and len(alive) > 4 * k:  # the k-th best of the most promising so far
             first = alive[np.argpartition(part, 2 * k)[:2 * k]]
             bound = min(bound, np.partition(((x[first] - q) ** 2).sum(1), k - 1)[k - 1])
-        keep = part * (dim / t) <= bound * (1 + 1e-9 + epsilon * np.sqrt(1 / t - 1 / dim)) ** 2
+        keep = part * (dim / t) <= bound * (1 + 1e-9 + epsilon * np.sqrt(1 / t - 1 / dim)) ** 2 + slack[alive]
         alive, part = alive[keep], part[keep]
     return alive, np.sqrt(((x[alive] - q) ** 2).sum(1))
 
@@ -145,8 +150,9 @@ def search(data: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
             ids, asked_ids = x["id"].to_numpy(), q["id"].to_numpy()
             a, b = V.unpacked(q["v"], dim), V.unpacked(x["v"], dim)
             rotated_a, rotated_b = a @ turn, b @ turn
+            squares = np.einsum("ij,ij->i", b, b)
             for i, query_id in enumerate(asked_ids):
-                place, far = scan(a[i], rotated_a[i], b, rotated_b, ids == query_id, k, epsilon)
+                place, far = scan(a[i], rotated_a[i], b, rotated_b, ids == query_id, k, epsilon, squares)
                 first = np.lexsort((ids[place], far))[:k]
                 for column, values in zip(out, (np.full(len(first), query_id), ids[place[first]], far[first])):
                     column.append(values)

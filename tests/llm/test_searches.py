@@ -132,3 +132,23 @@ def test_adaptive_scan_gives_up_early():
         true = np.argsort(np.where(own, np.inf, ((x - x[i]) ** 2).sum(1)))[:10]
         exact += len(set(true) & set(place))
     assert np.mean(kept) < 60 and exact >= 0.98 * 200
+
+
+def test_copies_of_the_query_stay():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 64))
+    x[:300] = x[0]
+    turn = ann.rotation(64)
+    rotated = x @ turn
+    asked = rotated[0] * (1 + 1e-15 * rng.choice([-2, 2], 64))  # as another product routine may round
+    place, far = ann.scan(x[0], asked, x, rotated, np.arange(600) == 0, 10, ann.EPSILON)
+    assert set(range(1, 300)) <= set(place) and (far[place < 300] == 0).all()
+
+
+def test_one_query_among_copies(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 32)))]
+    rows += [(400 + i, rows[0][1]) for i in range(300)]
+    df = frame(spark, rows)
+    out = as_rows(ann.search(df, df.where("vec_id = 0"), k=10))
+    assert [(v, s) for _, _, v, s in out] == [(400 + i, 0.0) for i in range(10)]
