@@ -43,7 +43,6 @@ PADDING = 40
 #: Share of the toxic texts in the loss, whatever their number.
 TOXIC_SHARE = 0.45
 PER_CLASS = (3000, 1500)
-TRAINING_WORDS = 5000
 STEPS, RATE, DECAY = 50, 0.5, 1e-6
 #: Distinct words whose numbers a process keeps between texts.
 CACHE = 600_000
@@ -194,7 +193,7 @@ def training_set(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def distinct_words(frames):
         for frame in frames:
             yield pd.DataFrame({"id": frame["id"], "toxic": frame["toxic"],
-                                "words": ["\n".join(sorted(words_of(t))[:TRAINING_WORDS]) for t in frame["text"]]})
+                                "words": ["\n".join(sorted(words_of(t))) for t in frame["text"]]})
 
     kind = rows.schema["id"].dataType.simpleString()
     return (rows.mapInPandas(distinct_words, f"id {kind}, toxic int, words string")

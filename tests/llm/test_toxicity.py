@@ -82,3 +82,10 @@ def test_rare_words_train():
     texts = [[f"plain{k}", f"usual{k}", *(["glumbuck"] if k % 4 == 0 else [])] for k in range(24)]
     model = toxicity.train(texts, [int(k % 4 == 0) for k in range(24)])
     assert model.score("plain1 usual1 glumbuck") > 0.5 > model.score("plain1 usual1")
+
+
+def test_all_words_of_a_sampled_text_train(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(9000)) + " zzz")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    (row,) = toxicity.training_set(docs, labels).collect()
+    assert set(row.words.split("\n")) == {*(f"w{k}" for k in range(9000)), "zzz"}
