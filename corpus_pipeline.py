@@ -49,8 +49,8 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece: which sequence takes it, and where."""
-    return packing.pack(docs, SEQUENCE, END_ID)
+    """One row per piece: its token ids, which sequence takes it, and where."""
+    return packing.pack(docs, SEQUENCE, END_ID, keep_ids=True)
 
 
 STAGES = [

@@ -94,3 +94,11 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
     assert got.dtypes == docs.dtypes
     want = [(3, b), (7, a), (9, near), (None, d), (None, None), (None, None), (5, " "), (7, ""), (11, "x y"), (11, "x z"), (None, "x w")]
     assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
+
+
+def test_sequences_hold_the_texts(stages):
+    _, out = stages
+    ids = {}
+    for r in sorted(out[4], key=lambda r: (r.doc_id, r.piece)):
+        ids.setdefault(r.doc_id, []).extend(r.ids)
+    assert ids == {r.doc_id: [*BYTE.encode(r.text or "", add_special_tokens=False).ids, 2] for r in out[3]}
