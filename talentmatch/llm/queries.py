@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentmatch.llm import ann, chat, neardup, packing, secret_scan, sharding, tokencount, toxicity, voronoi, wfst
+from talentmatch.llm import ann, chat, neardup, packing, pii, secret_scan, sharding, tokencount, toxicity, voronoi, wfst
 from talentmatch.llm.common import read_table
 
 N_SHARDS = 24
@@ -61,6 +61,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(docs, secret_scan.fit(docs)))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.scan(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_sharding": op9_sharding,
     "op10_secret_scan": op10_secret_scan,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLES: dict[str, str] = {
