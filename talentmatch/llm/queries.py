@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentmatch.llm import ann, chat, neardup, packing, pii, secret_scan, sharding, tokencount, toxicity, voronoi, wfst
+from talentmatch.llm import ann, chat, merkle, neardup, packing, pii, secret_scan, sharding, tokencount, toxicity, voronoi, wfst
 from talentmatch.llm.common import read_table
 
 N_SHARDS = 24
@@ -61,6 +61,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(docs, secret_scan.fit(docs)))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked_manifest(spark, sf_dir)
+
+
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.scan(read_table(spark, sf_dir, "documents")))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_sharding": op9_sharding,
     "op10_secret_scan": op10_secret_scan,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_personal_data": op13_personal_data,
 }
 
@@ -110,4 +115,5 @@ WITH v AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op12_merkle_manifest": merkle.oracle(),
 }
