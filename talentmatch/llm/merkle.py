@@ -208,7 +208,7 @@ def manifest(df: DataFrame, fields=FIELDS, id_col: str = "doc_id", source_col: s
     # The order by source is that of one tree: keys go along as its rows' order.
     one = subroots.select(F.lit("").alias("tree"), F.col("tree").alias("source_key"), "node")
     over, root = stored_levels(numbered(one, ["source_key"], "merkle-order"), "merkle-over")
-    return Manifest(levels, over, subroots, root.select("node"))
+    return Manifest(levels, over, subroots, root)
 
 
 def proofs(m: Manifest) -> DataFrame:
@@ -216,8 +216,7 @@ def proofs(m: Manifest) -> DataFrame:
     ``path`` has a step per level, leaf first: the siblings' digests before
     and after, joined."""
     none = F.array().cast(f"array<{STEP}>")
-    paths = m.root.select(F.lit("").alias("tree"), F.lit(0).cast("long").alias("position"), none.alias("path"),
-                          F.lit("").alias("subroot"), F.col("node").alias("root"))
+    paths = m.root.select("tree", "position", none.alias("path"), F.lit("").alias("subroot"), F.col("node").alias("root"))
     for blocks in reversed(m.over):
         paths = lowered(blocks, paths)
     paths = paths.select(F.col("source_key").alias("tree"), F.lit(0).cast("long").alias("position"), "path",
