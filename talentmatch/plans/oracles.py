@@ -395,11 +395,13 @@ select p.request_id resume_id, coalesce(st.n_matches, 0) n_matches, st.top_score
   case when st.n_matches is not null then 'matched' else coalesce(p.error, 'no matches') end status
 from up_parsed p left join st on st.resume_id = p.request_id""")
 
-_RESOLVED = f"""{UPLOADS}, {with_views('forms_raw')},
-j as (select coalesce(p.request_id, f.request_id) request_id, p.admitted f_admitted, coalesce(p.too_large, false) refused, p.name f_name, p.email f_email,
+
+def resolved_ctes(files: str = "up_parsed", forms: str = "forms_raw") -> str:
+    """CTEs up to ``resolved``: a profile or a rejection per request."""
+    return f"""j as (select coalesce(p.request_id, f.request_id) request_id, p.admitted f_admitted, coalesce(p.too_large, false) refused, p.name f_name, p.email f_email,
   p.skills f_skills, p.experience f_experience, p.education f_education, p.error f_error,
   f.skills m_skills, f.experience m_experience, f.education m_education
-  from up_parsed p full outer join forms_raw f on p.request_id = f.request_id),
+  from {files} p full outer join {forms} f on p.request_id = f.request_id),
 k as (select *, not coalesce(refused, false) and coalesce(f_admitted, false) use_file,
   {strip("coalesce(m_skills, '')")} m_raw from j),
 flags as (select *, use_file and f_error is null file_ok, use_file and f_error is not null file_bad,
@@ -417,12 +419,39 @@ resolved as (select request_id,
        when not file_ok and not form_ok then 'Please either upload a resume or enter your skills' end rejection
   from flags)"""
 
+
+_RESOLVED = f"{UPLOADS}, {with_views('forms_raw')}, {resolved_ctes()}"
+
 ORACLES["resolve_profiles"] = (f"with {_RESOLVED} select request_id, profile_source, name, email, "
                                "array_to_string(skills, ', ') skills, experience, education, rejection from resolved")
 ORACLES["gated_advice"] = (f"with {_RESOLVED} select request_id, case when profile_source = 'file' and "
                            f"coalesce(len(skills), 0) > 0 then {advice('skills', True)} end advice "
                            "from resolved where rejection is null")
 
+
+def _answers(match_case: bool) -> str:
+    gate = f"case when profile_source = 'file' and coalesce(len(skills), 0) > 0 then {advice('skills', match_case)} end"
+    shown = {c: f"case when profile_source = 'file' then {trunc(c, K.SECTION_MAX_CHARS)} else {c} end" for c in ("experience", "education")}
+    return f"""with {UPLOADS}, {with_views('forms_raw')}, {JOBS_CLEAN},
+some_files as (select * from up_parsed where request_id % 23 <> 0),
+some_forms as (select coalesce(f.request_id, p.request_id) request_id, f.skills, f.experience, f.education
+  from (select * from forms_raw where request_id % 5 <> 0) f full outer join some_files p on p.request_id = f.request_id),
+{resolved_ctes('some_files', 'some_forms')},
+res_text as (select request_id resume_id, {resume_text('skills', 'experience', 'education')} text from resolved where rejection is null),
+{tfidf_ctes('res_text')},
+lines as (select m.resume_id request_id, count(*) n, max(match_score) top_score, string_agg(concat_ws(' | ', rank, title, company, location,
+    cast(cast(round_even(match_score * 100, 0) as bigint) as varchar) || '%',
+    case when match_score >= 0.7 then 'high' when match_score >= 0.5 then 'medium' else 'low' end, link), chr(10) order by rank) jobs
+  from ranked m join jobs_clean using (job_id) group by m.resume_id)
+select request_id, profile_source, name, email, array_to_string(skills, ', ') skills, {shown['experience']} experience,
+  {shown['education']} education, replace({gate}, chr(10), '<br>') advice_html, cast(coalesce(n, 0) as int) n_jobs, top_score, jobs,
+  coalesce(rejection, case when n is null then 'No AI-matched jobs found.' end) message
+from resolved left join lines using (request_id)"""
+
+
+ORACLES["answer_requests"] = ORACLES["stream_requests"] = _answers(True)
+ORACLES["answer_requests_intended"] = _answers(False)
+
 # A: sources and sinks
 ORACLES["scan_jobs_csv"] = f"""with {with_views('jobs_raw')}, {LANDING}
 select job_id, {_na('title')} title, {_na('company')} company, {_na('location')} location, {_na('link')} link,

@@ -18,17 +18,14 @@ from talentmatch.operators.match import match_tfidf
 from talentmatch.operators.parse import parse_resumes
 
 
-def match_resumes_to_jobs(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_N) -> DataFrame:
-    """``resumes(resume_id, text)`` x ``jobs(job_id, title, company,
-    location, link)`` -> ranked matches with display columns."""
+def matched_jobs(texts: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_N,
+                 resume_rows: DataFrame | None = None) -> DataFrame:
+    """``texts(resume_id, text)`` x ``jobs(job_id, title, company, location,
+    link)`` -> ranked matches with display columns."""
     clean = C.clean_jobs(jobs.select("job_id", "title", "company", "location", "link"))
     job_text = clean.select("job_id", C.job_text(F.col("title"), F.col("company"),
                                                  F.col("location")).alias("text"))
-    parsed = parse_resumes(resumes.select("resume_id", "text"))
-    res_text = parsed.where(F.col("error").isNull()).select(
-        "resume_id", C.resume_text(F.col("skills"), F.col("experience"), F.col("education"))
-        .alias("text"))
-    m = match_tfidf(res_text, job_text, top_n, resume_rows=resumes)
+    m = match_tfidf(texts, job_text, top_n, resume_rows=resume_rows)
     # display fields are joined after the top-n cut, so only ids and
     # scores travel through the matching shuffles
     return (m.join(clean.select("job_id", "title", "company", "location", "link"), "job_id")
@@ -38,6 +35,16 @@ def match_resumes_to_jobs(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DE
                      P.score_pct(F.col("match_score")).alias("pct")))
 
 
+def match_resumes_to_jobs(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_N) -> DataFrame:
+    """``resumes(resume_id, text)`` x ``jobs(job_id, title, company,
+    location, link)`` -> ranked matches with display columns."""
+    parsed = parse_resumes(resumes.select("resume_id", "text"))
+    res_text = parsed.where(F.col("error").isNull()).select(
+        "resume_id", C.resume_text(F.col("skills"), F.col("experience"), F.col("education"))
+        .alias("text"))
+    return matched_jobs(res_text, jobs, top_n, resume_rows=resumes)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talentmatch.sources import fixtures as FX
     return match_resumes_to_jobs(FX.resumes_raw(spark, sf_dir), FX.jobs_raw(spark, sf_dir))

@@ -24,6 +24,7 @@ from talentmatch.operators.ingest import first_nonempty
 from talentmatch.operators.parse import displayed, parse_resumes
 from talentmatch.operators.profiles import manual_profiles, resolve_profiles
 from talentmatch.plans.pipeline import match_resumes_to_jobs
+from talentmatch.plans.requests import answer_requests, with_job_lines
 from talentmatch.session import scratch_path, spread, table
 from talentmatch.sources import fixtures as FX
 from talentmatch.sources import jobs_csv as J
@@ -220,6 +221,29 @@ def q_manual_profiles(spark, sf):
                     F.size("skills").cast("int").alias("n_skills"), "experience", "education")
 
 
+def requests_raw(spark, sf):
+    """Landed requests: an upload, a form, or both."""
+    up = FX.uploads(spark, sf).where("request_id % 23 != 0")
+    forms = FX.forms_raw(spark, sf).where("request_id % 5 != 0")
+    return up.join(forms, "request_id", "full").select("request_id", "filename", "size", "text", "skills", "experience", "education")
+
+
+def q_answer_requests(spark, sf):
+    """The whole answer to every request: profile, jobs, advice or message."""
+    return with_job_lines(answer_requests(requests_raw(spark, sf), FX.jobs_raw(spark, sf)))
+
+
+def q_answer_requests_intended(spark, sf):
+    """The same with advice rules that ignore case."""
+    return with_job_lines(answer_requests(requests_raw(spark, sf), FX.jobs_raw(spark, sf), match_case=False))
+
+
+def q_stream_requests(spark, sf):
+    """The same requests landed as files and answered by the stream."""
+    from talentmatch.streaming.requests import run_requests
+    return with_job_lines(run_requests(spark, requests_raw(spark, sf), FX.jobs_raw(spark, sf)))
+
+
 def _resolved(spark, sf):
     return resolve_profiles(parsed_uploads(spark, sf), FX.forms_raw(spark, sf))
 
