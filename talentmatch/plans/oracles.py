@@ -469,6 +469,11 @@ x as (select request_id, text, case when {extension('filename')} in ('pdf', 'doc
   then text || chr(10) end extracted from uploads)
 select request_id, cast(length(coalesce(extracted, regexp_replace(text, '\\r\\n?', chr(10), 'g'))) as bigint) text_length,
   case when extracted is not null then 'extracted' else 'decoded' end via from x"""
+ORACLES["read_uploads"] = f"""with {with_views('resumes_raw')}, uploads as ({view_sql('uploads')})
+select request_id, cast(length(text) as bigint) text_length, md5(text) text_md5,
+  case when {extension('filename')} = 'docx' and request_id % 5 <> 0 then 'extracted' else 'decoded' end via from uploads"""
+ORACLES["parse_uploads"] = f"""with {UPLOADS} select request_id, case when error is null then filename end file, name, email, phone,
+  array_to_string(skills, ', ') skills, experience, education, text_length, error from up_parsed where admitted"""
 ORACLES["admit_uploads"] = (f"with {with_views('resumes_raw')}, uploads as ({view_sql('uploads')}) "
                             f"select request_id, filename, {admitted('filename', 'size')} admitted from uploads")
 ORACLES["extract_cards"] = f"with {cards_ctes()} select * from cards"

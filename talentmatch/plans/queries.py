@@ -29,6 +29,7 @@ from talentmatch.session import scratch_path, spread, table
 from talentmatch.sources import fixtures as FX
 from talentmatch.sources import jobs_csv as J
 from talentmatch.sources import resume_files as RF
+from talentmatch.sources.formats import extracted_text
 from talentmatch.sources.html_cards import extract_cards
 from talentmatch.sources.json_feed import flatten_job_feed
 
@@ -173,6 +174,25 @@ def q_parse_resume_files(spark, sf):
                     "education", "text_length", "error")
 
 
+def q_read_uploads(spark, sf):
+    """A4 and A5 over uploaded bytes: text documents by their reader, broken
+    ones and all others by the plain decode."""
+    up = FX.upload_files(spark, sf)
+    ext = F.coalesce(RF.extension(F.col("filename")), F.lit(""))
+    read = up.select("request_id", extracted_text(ext, F.col("content")).alias("x"), RF.decode_text(F.col("content")).alias("d"))
+    text = RF.with_fallback(F.col("x"), F.col("d"))
+    return read.select("request_id", F.length(text).cast("bigint").alias("text_length"), F.md5(F.encode(text, "UTF-8")).alias("text_md5"),
+                       F.when(F.col("x").isNotNull(), "extracted").otherwise("decoded").alias("via"))
+
+
+def q_parse_uploads(spark, sf):
+    """Uploaded files of all formats, admitted, read and parsed."""
+    up = FX.upload_files(spark, sf).where(RF.admitted(F.col("filename"), F.col("size")))
+    texts = up.select("request_id", "filename", RF.file_text(F.col("filename"), F.col("content")).alias("text"))
+    p = parse_resumes(texts, path_col="filename", keep=("request_id",))
+    return p.select("request_id", "file", "name", "email", "phone", skills_text().alias("skills"), "experience", "education", "text_length", "error")
+
+
 # -- B: projections ----------------------------------------------------------
 
 def q_clean_jobs(spark, sf):

@@ -9,7 +9,13 @@ Their row counts grow with the tables, so every query over them scales.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from talentmatch.functions.constants import SKILL_LEXICON
 from talentmatch.session import table
@@ -112,3 +118,40 @@ def pages_jobs(spark, sf_dir):
 
 def feeds_raw(spark, sf_dir):
     return view(spark, sf_dir, "feeds_raw")
+
+
+def docx_of(text: str) -> bytes:
+    """A text document with a paragraph for each line; every second paragraph
+    is a link, tabs are elements."""
+    word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument"
+
+    def paragraph(n: int, line: str) -> str:
+        run = "<w:tab/>".join(f'<w:t xml:space="preserve">{escape(x)}</w:t>' for x in line.split("\t"))
+        run = f"<w:r><w:rPr><w:b/></w:rPr>{run}</w:r>"
+        return f"<w:p><w:pPr/>{f'<w:hyperlink>{run}</w:hyperlink>' if n % 2 else run}</w:p>"
+
+    body = "".join(paragraph(n, line) for n, line in enumerate(text.split("\n")))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("_rels/.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                                  f'<Relationship Id="r1" Type="{office}" Target="word/document.xml"/></Relationships>')
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{word}"><w:body>{body}<w:sectPr/></w:body></w:document>')
+    return out.getvalue()
+
+
+def docx_content(text: Column) -> Column:
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(docx_of)
+
+    return packed(text)
+
+
+def upload_files(spark, sf_dir) -> DataFrame:
+    """The uploads as files: ``.docx`` ones are packed, but every fifth of
+    them is plain bytes under that name."""
+    up = uploads(spark, sf_dir)
+    is_docx = F.col("filename").endswith(".docx") & (F.col("request_id") % 5 != 0)
+    return up.select("request_id", "filename", "size", F.when(is_docx, docx_content(F.col("text")))
+                     .otherwise(F.encode("text", "UTF-8")).alias("content"))

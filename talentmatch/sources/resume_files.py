@@ -1,17 +1,20 @@
 """résumé files -> text.
 
 ``binaryFile`` lists and reads the files in parallel; admission, decoding
-and the extracted-text fallback are column expressions.  PDF/DOCX byte
-decoding is outside the engine: text extracted upstream arrives as an
-``extracted_text`` column and wins over the plain-text decode.
+and the fallback from a format reader to the plain decode are column
+expressions.  Format readers are those of :mod:`formats`; text extracted
+upstream can take their place as a column.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentmatch.functions import constants as K
+from talentmatch.sources.formats import READERS, extracted_text
 
 
 def basename(path: Column) -> Column:
@@ -59,7 +62,13 @@ def with_fallback(extracted: Column, decoded: Column) -> Column:
     return F.coalesce(extracted, decoded)
 
 
-def read_resume_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+def file_text(name: Column, content: Column, readers: Mapping[str, Callable[[bytes], str]] = READERS) -> Column:
+    """A4 and A5: the text of a file by its format's reader, else decoded."""
+    return with_fallback(extracted_text(F.coalesce(extension(name), F.lit("")), content, readers), decode_text(content))
+
+
+def read_resume_files(spark: SparkSession, path: str, recursive: bool = True,
+                      readers: Mapping[str, Callable[[bytes], str]] = READERS) -> DataFrame:
     """``(path, file, length, admitted, too_large, text)`` for every file
     under path; only admitted files are read, the others are listed (the size
     limit is pushed to the listing, so a huge file's bytes are never loaded)."""
@@ -69,5 +78,5 @@ def read_resume_files(spark: SparkSession, path: str, recursive: bool = True) ->
     name = basename(F.col("path"))
     ok = admitted(name, F.col("length"))
     listed = ["path", name.alias("file"), "length", ok.alias("admitted"), too_large(F.col("length")).alias("too_large")]
-    read = files.where((F.col("length") <= K.MAX_UPLOAD_BYTES) & ok).select(*listed, decode_text(F.col("content")).alias("text"))
+    read = files.where((F.col("length") <= K.MAX_UPLOAD_BYTES) & ok).select(*listed, file_text(name, F.col("content"), readers).alias("text"))
     return read.unionByName(files.where(~ok).select(*listed, F.lit(None).cast("string").alias("text")))
