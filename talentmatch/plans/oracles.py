@@ -375,6 +375,7 @@ _RES_FROM_PARSED = (f"select resume_id, {resume_text('skills', 'experience', 'ed
                     "from parsed where error is null")
 ORACLES["match_topk_tfidf"] = (_tfidf_with(PARSED, _RES_FROM_PARSED)
                                + "\nselect resume_id, job_id, rank, match_score from ranked")
+ORACLES["match_topk_tfidf_pruned"] = ORACLES["match_topk_tfidf"]
 ORACLES["match_stats"] = (_tfidf_with(PARSED, _RES_FROM_PARSED)
                           + "\nselect resume_id, count(*) n_matches, max(match_score) top_score, "
                             "(select count(*) from jobs_text) n_jobs from ranked group by resume_id")

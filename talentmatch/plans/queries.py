@@ -359,6 +359,12 @@ def q_match_topk_tfidf(spark, sf):
     return tfidf_matches(spark, sf).select("resume_id", "job_id", "rank", "match_score")
 
 
+def q_match_topk_tfidf_pruned(spark, sf):
+    """D6 with jobs in blocks of bounded scores: the same rows."""
+    m = M.match_tfidf(resume_texts(parsed_resumes(spark, sf)), job_texts(spark, sf), pruned=True)
+    return m.select("resume_id", "job_id", "rank", "match_score")
+
+
 def q_match_topk_semantic(spark, sf):
     """D1 and D5 from texts: an encoder trained on the jobs, then the dense
     matcher."""
