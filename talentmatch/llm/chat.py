@@ -46,8 +46,9 @@ TURNS = "array<struct<role:string,text:string>>"
 class Layout:
     """Where the turns are.  ``listed``: (array field, role field, text field,
     role names to change).  ``fixed``: (role, text fields joined by a blank
-    line) per turn; a turn whose fields are all null is left out.  Neither:
-    a row per turn, with fields turn, role and text."""
+    line) per turn; a turn whose fields are all null is left out.  Both: the
+    fixed turns come before the listed ones.  Neither: a row per turn, with
+    fields turn, role and text."""
 
     name: str
     paths: tuple[str, ...]
@@ -62,18 +63,25 @@ def listed(name: str, array: str, role: str, text: str, renamed: Sequence[tuple[
             Layout(name, (f"{array}[]",), listed=spec)]
 
 
-LAYOUTS = (
-    Layout("turn_rows", ("role", "text", "turn")),
+def pair(name: str, asked: Sequence[str], answer: str) -> Layout:
+    """A user's fields and an assistant's."""
+    return Layout(name, (*asked, answer), fixed=(("user", tuple(asked)), ("assistant", (answer,))))
+
+
+def under_system(layout: Layout) -> Layout:
+    """The layout with a system text beside its other fields."""
+    return Layout(f"system_{layout.name}", (*layout.paths, "system"), layout.listed, (("system", ("system",)), *layout.fixed))
+
+
+PLAIN = (
     *listed("messages", "messages", "role", "content"),
     *listed("from_value", "conversations", "from", "value", [("human", "user"), ("gpt", "assistant")]),
-    Layout("prompt_completion", ("completion", "prompt"), fixed=(("user", ("prompt",)), ("assistant", ("completion",)))),
-    Layout("prompt_response", ("prompt", "response"), fixed=(("user", ("prompt",)), ("assistant", ("response",)))),
-    Layout("system_prompt_response", ("prompt", "response", "system"),
-           fixed=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
-    Layout("instruction", ("instruction", "output"), fixed=(("user", ("instruction",)), ("assistant", ("output",)))),
-    Layout("instruction_input", ("input", "instruction", "output"),
-           fixed=(("user", ("instruction", "input")), ("assistant", ("output",)))),
+    pair("prompt_completion", ["prompt"], "completion"),
+    pair("prompt_response", ["prompt"], "response"),
+    pair("instruction", ["instruction"], "output"),
+    pair("instruction_input", ["instruction", "input"], "output"),
 )
+LAYOUTS = (Layout("turn_rows", ("role", "text", "turn")), *PLAIN, *map(under_system, PLAIN))
 KNOWN_PATHS = tuple(sorted({p for x in LAYOUTS for p in x.paths}))
 
 
@@ -107,6 +115,12 @@ def field_paths(schema: T.StructType) -> list[str]:
 
 def _turns(layout: Layout) -> Column:
     """The turns of a record whose fields are columns."""
+    parts = []
+    for role, fields in layout.fixed:
+        given = F.coalesce(*[F.col(f).cast("string") for f in fields]).isNotNull()
+        text = F.concat_ws("\n\n", *[F.col(f).cast("string") for f in fields])
+        parts.append(F.when(given, F.struct(F.lit(role).alias("role"), text.alias("text"))))
+    turns = [F.filter(F.array(*parts), lambda t: t.isNotNull()).cast(TURNS)] if parts else []
     if layout.listed:
         array, role, text, renamed = layout.listed
 
@@ -116,13 +130,8 @@ def _turns(layout: Layout) -> Column:
                 name = F.when(m[role] == old, new).otherwise(name)
             return F.struct(name.alias("role"), m[text].cast("string").alias("text"))
 
-        return F.coalesce(F.transform(F.col(array), turn), F.array().cast(TURNS))
-    parts = []
-    for role, fields in layout.fixed:
-        given = F.coalesce(*[F.col(f).cast("string") for f in fields]).isNotNull()
-        text = F.concat_ws("\n\n", *[F.col(f).cast("string") for f in fields])
-        parts.append(F.when(given, F.struct(F.lit(role).alias("role"), text.alias("text"))))
-    return F.filter(F.array(*parts), lambda t: t.isNotNull()).cast(TURNS)
+        turns.append(F.coalesce(F.transform(F.col(array), turn), F.array().cast(TURNS)).cast(TURNS))
+    return F.concat(*turns)
 
 
 def typed_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -163,13 +172,12 @@ def json_turns(df: DataFrame, id_col: str = "conv_id", json_col: str = "record")
     record = record.select("conv_id", "v", F.when(exact.isin(list(BY_FINGERPRINT)), exact).otherwise(included).alias("fp"))
     name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for fp, layout in BY_FINGERPRINT.items():
+        if not (layout.listed or layout.fixed):
+            continue
+        fields = {f: F.try_variant_get("v", f"$.{f}", "string") for _, fs in layout.fixed for f in fs}
         if layout.listed:
             array, role, text, _ = layout.listed
-            fields = {array: F.try_variant_get("v", f"$.{array}", f"array<struct<{role}:string,`{text}`:string>>")}
-        elif layout.fixed:
-            fields = {f: F.try_variant_get("v", f"$.{f}", "string") for _, fs in layout.fixed for f in fs}
-        else:
-            continue
+            fields[array] = F.try_variant_get("v", f"$.{array}", f"array<struct<{role}:string,`{text}`:string>>")
         record = record.withColumns({f: x for f, x in fields.items() if f not in record.columns})
         name = F.when(F.col("fp") == fp, layout.name).otherwise(name)
         turns = F.when(F.col("fp") == fp, _turns(layout)).otherwise(turns)

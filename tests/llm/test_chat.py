@@ -45,6 +45,14 @@ RECORDS = [
     ("prompt_completion", {"prompt": "hi", "completion": "ho"}, TURNS),
     ("prompt_response", {"prompt": "hi", "response": None}, [("user", "hi")]),
     ("system_prompt_response", {"system": "s", "prompt": "hi", "response": "ho"}, [("system", "s"), *TURNS]),
+    ("system_prompt_completion", {"system": "s", "prompt": "hi", "completion": "ho"}, [("system", "s"), *TURNS]),
+    ("system_instruction", {"system": "s", "instruction": "hi", "output": "ho"}, [("system", "s"), *TURNS]),
+    ("system_instruction_input", {"system": "s", "instruction": "do", "input": "it", "output": "ho"},
+     [("system", "s"), ("user", "do\n\nit"), ("assistant", "ho")]),
+    ("system_messages", {"system": "s", "messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "ho"}]},
+     [("system", "s"), *TURNS]),
+    ("system_from_value", {"system": "s", "conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "ho"}]},
+     [("system", "s"), *TURNS]),
     ("instruction_input", {"instruction": "do", "input": "it", "output": "ho"}, [("user", "do\n\nit"), ("assistant", "ho")]),
     ("instruction", {"instruction": "do", "output": "ho"}, [("user", "do"), ("assistant", "ho")]),
     ("prompt_response", {"prompt": "hi", "response": "ho", "input": "extra", "output": 3}, TURNS),  # clashing extra fields
