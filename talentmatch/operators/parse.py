@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentmatch.functions import constants as K
+from talentmatch.functions import intended as I
 from talentmatch.functions import resume as R
 from talentmatch.functions.text import is_blank, truncate
 from talentmatch.session import spread
@@ -67,6 +68,24 @@ def parse_resumes(df: DataFrame, text_col: str = "text", path_col: str | None =
     )
 
 
+def parse_resumes_intended(df: DataFrame, text_col: str = "text", path_col: str | None = None,
+                           keep: tuple[str, ...] | None = None) -> DataFrame:
+    """:func:`parse_resumes` with every field as it is evidently meant
+    (``functions.intended``): the same columns."""
+    keep = tuple(c for c in (keep if keep is not None else df.columns) if c != text_col)
+    text = F.col(text_col)
+    path = F.col(path_col) if path_col else F.lit(None).cast("string")
+    stage1 = spread(df).select(*keep, F.length(text).cast("bigint").alias("_len"), is_blank(text).alias("_blank"),
+                               basename(path).alias("_file"), I.lines(text).alias("_lines"))
+    stage2 = stage1.withColumn("_lower", F.lower("_lines"))
+    ok, t = ~F.col("_blank"), F.col("_lines")
+    fields = {"name": I.name(t), "email": I.email(t), "phone": I.phone(t), "skills": I.skills("_lower"),
+              "experience": I.section(t, K.SECTION_EXPERIENCE), "education": I.section(t, K.SECTION_EDUCATION),
+              "raw_text": t, "file": F.col("_file"), "text_length": F.col("_len")}
+    return stage2.select(*keep, *[F.when(ok, c).alias(n) for n, c in fields.items()],
+                         F.when(~ok, F.lit(K.EMPTY_TEXT_ERROR)).alias("error"))
+
+
 def displayed(parsed: DataFrame) -> DataFrame:
     """The record as shown, sections and raw text cut with an ellipsis."""
     return parsed.withColumns({

@@ -103,6 +103,49 @@ from (select *, lower(c) lc, {tail('c')} tl from (
   from {src}))"""
 
 
+def meant_lines(x: str) -> str:
+    blanks = r"[ \t\x0b\x0c\x1c-\x1f\x{85}\p{Z}]"
+    x = rf"regexp_replace({x}, '\r\n?|[\x{{2028}}\x{{2029}}]', chr(10), 'g')"
+    x = f"regexp_replace({x}, '{blanks}+', ' ', 'g')"
+    return strip(rf"regexp_replace({x}, ' ?\n ?', chr(10), 'g')")
+
+
+def meant_name(t: str) -> str:
+    one = r"\p{Lu}\p{Ll}+(-\p{Lu}\p{Ll}+)?"
+    tries = [rf"^({one} {one})($|[^{W}])", rf"(?:^|\n)(?:[nN][aA][mM][eE]) ?:? ?({one} {one})($|[^{W}])", rf"(?:^|[^{W}])({one} {one})($|[^{W}])"]
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({t}, '{p}', 1), '')" for p in tries) + f", {lit(K.UNKNOWN_NAME)})"
+
+
+def meant_email(t: str) -> str:
+    return rf"regexp_extract({t}, '(?:^|[^{W}.%+\-])([A-Za-z0-9_][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{{2,}})(?:$|[^{W}])', 1)"
+
+
+def meant_phone(t: str) -> str:
+    d = r"\p{Nd}"
+    return (rf"regexp_extract({t}, '(?:^|[^{W}+])((?:\+{d}{{1,2}}[ .\-]?)?(?:\({d}{{3}}\)|{d}{{3}})[ .\-]?{d}{{3}}[ .\-]?{d}{{4}})(?:$|[^{W}])', 1)")
+
+
+def meant_section(t: str, kw: str) -> str:
+    """Lines after the heading up to a blank line or the next heading, by position."""
+    rest = rf"regexp_extract({t}, '(?is)(?:^|\n){kw} ?(?::|\n)[:\s]*(.*)', 1)"
+    return rf"regexp_extract({rest}, '(?s)^(.*?)(?:\n\n|\n[^\n:]{{1,40}}:|\z)', 1)"
+
+
+def meant_skills(low: str) -> str:
+    edge = f"[^{W}+#]"
+    items = ", ".join(rf"case when regexp_matches({low}, {lit(f'(^|{edge})' + _escape(s).replace(' ', chr(92) + 's+') + f'($|{edge})')}) "
+                      f"then {lit(s.title())} end" for s in K.SKILL_LEXICON)
+    return f"list_sort(list_filter([{items}], lambda x: x is not null))"
+
+
+def meant_parse(src: str, id_col: str) -> str:
+    fields = {"name": meant_name("t"), "email": meant_email("t"), "phone": meant_phone("t"), "skills": meant_skills("lower(t)"),
+              "experience": meant_section("t", "experience"), "education": meant_section("t", "education"), "raw_text": "t", "text_length": "len"}
+    columns = ", ".join(f"case when not b then {x} end {n}" for n, x in fields.items())
+    return (f"select {id_col}, {columns}, case when b then {lit(K.EMPTY_TEXT_ERROR)} end error from "
+            f"(select {id_col}, {blank('text')} b, cast(length(text) as bigint) len, {meant_lines('text')} t from {src})")
+
+
 def resume_text(sk: str, ex: str, ed: str) -> str:
     return strip(f"array_to_string(coalesce({sk}, []::VARCHAR[]), ' ') || ' ' || "
                  f"coalesce({ex}, '') || ' ' || coalesce({ed}, '')")
@@ -305,6 +348,12 @@ ORACLES: dict[str, str] = {
     "parse_errors": f"with {UPLOADS} select request_id, error from up_parsed where error is not null",
     "parse_resumes": f"with {PARSED} select resume_id, name, email, phone, array_to_string(skills, ', ') skills, "
                      "experience, education, raw_text, text_length, error from parsed",
+    "parse_resumes_intended": f"with {with_views('resumes_raw')}, parsed as ({meant_parse('resumes_raw', 'resume_id')}) "
+                              "select * replace (array_to_string(skills, ', ') as skills) from parsed",
+    "extract_skills_intended": f"with d as (select doc_id, lower({meant_lines('text')}) t from documents) "
+                               f"select doc_id, array_to_string({meant_skills('t')}, ', ') skills from d",
+    "extract_name_intended": f"with d as (select doc_id, {meant_lines('text')} t from documents) "
+                             f"select doc_id, {meant_name('t')} name, {meant_email('t')} email, {meant_phone('t')} phone from d",
     # B: projections
     "clean_jobs": f"with {JOBS_CLEAN} select job_id, title, company, location, link, is_remote from jobs_clean",
     "flag_remote": f"with {with_views('jobs_raw')} select job_id, "
@@ -379,11 +428,14 @@ ORACLES["match_topk_tfidf_pruned"] = ORACLES["match_topk_tfidf"]
 ORACLES["match_stats"] = (_tfidf_with(PARSED, _RES_FROM_PARSED)
                           + "\nselect resume_id, count(*) n_matches, max(match_score) top_score, "
                             "(select count(*) from jobs_text) n_jobs from ranked group by resume_id")
-ORACLES["match_results"] = (_tfidf_with(PARSED, _RES_FROM_PARSED) + """
+_SHOWN = """
 select m.resume_id, m.rank, m.job_id, j.title, j.company, j.location, j.link, m.match_score,
   case when match_score >= 0.7 then 'high' when match_score >= 0.5 then 'medium' else 'low' end band,
   cast(cast(round_even(match_score * 100, 0) as bigint) as varchar) || '%' pct
-from ranked m join jobs_clean j using (job_id)""")
+from ranked m join jobs_clean j using (job_id)"""
+ORACLES["match_results"] = _tfidf_with(PARSED, _RES_FROM_PARSED) + _SHOWN
+ORACLES["match_results_intended"] = _tfidf_with(
+    f"{with_views('resumes_raw')}, parsed as ({meant_parse('resumes_raw', 'resume_id')})", _RES_FROM_PARSED) + _SHOWN
 ORACLES["roundtrip_matches"] = (_tfidf_with(PARSED, _RES_FROM_PARSED) + """
 select m.resume_id, m.rank, m.job_id, j.title, j.company, j.location, j.link, m.match_score
 from ranked m join jobs_clean j using (job_id)""")

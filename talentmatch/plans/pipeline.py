@@ -8,6 +8,8 @@ with its job fields, score band and percent label.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +37,11 @@ def matched_jobs(texts: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_N
                      P.score_pct(F.col("match_score")).alias("pct")))
 
 
-def match_resumes_to_jobs(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_N) -> DataFrame:
+def match_resumes_to_jobs(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_N,
+                          parse: Callable[[DataFrame], DataFrame] = parse_resumes) -> DataFrame:
     """``resumes(resume_id, text)`` x ``jobs(job_id, title, company,
     location, link)`` -> ranked matches with display columns."""
-    parsed = parse_resumes(resumes.select("resume_id", "text"))
+    parsed = parse(resumes.select("resume_id", "text"))
     res_text = parsed.where(F.col("error").isNull()).select(
         "resume_id", C.resume_text(F.col("skills"), F.col("experience"), F.col("education"))
         .alias("text"))

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from talentmatch.functions import advice as A
 from talentmatch.functions import constants as K
+from talentmatch.functions import intended as I
 from talentmatch.functions import present as P
 from talentmatch.functions import resume as R
 from talentmatch.operators import clean as C
@@ -22,7 +23,7 @@ from talentmatch.operators import match as M
 from talentmatch.operators import tfidf as TF
 from talentmatch.operators.encoder import match_semantic
 from talentmatch.operators.ingest import first_nonempty
-from talentmatch.operators.parse import displayed, parse_resumes
+from talentmatch.operators.parse import displayed, parse_resumes, parse_resumes_intended
 from talentmatch.operators.profiles import manual_profiles, resolve_profiles
 from talentmatch.plans.pipeline import match_resumes_to_jobs
 from talentmatch.plans.requests import answer_requests, with_job_lines
@@ -158,6 +159,26 @@ def q_parse_resumes(spark, sf):
                     "experience", "education", "raw_text", "text_length", "error")
 
 
+def q_parse_resumes_intended(spark, sf):
+    """C10 as meant: sections end at headings, skills are whole terms."""
+    p = parse_resumes_intended(FX.resumes_raw(spark, sf))
+    return p.select("resume_id", "name", "email", "phone", skills_text().alias("skills"),
+                    "experience", "education", "raw_text", "text_length", "error")
+
+
+def q_extract_skills_intended(spark, sf):
+    """C5 as meant, over documents."""
+    d = spread(documents(spark, sf)).select("doc_id", F.lower(I.lines(F.col("text"))).alias("low"))
+    return d.select("doc_id", F.array_join(I.skills("low"), ", ").alias("skills"))
+
+
+def q_extract_name_intended(spark, sf):
+    """C2 to C4 as meant, over documents."""
+    d = spread(documents(spark, sf)).select("doc_id", I.lines(F.col("text")).alias("t"))
+    t = F.col("t")
+    return d.select("doc_id", I.name(t).alias("name"), I.email(t).alias("email"), I.phone(t).alias("phone"))
+
+
 def q_display_resumes(spark, sf):
     """The record as shown, sections and raw text shortened."""
     return displayed(parsed_resumes(spark, sf)).select("resume_id", "name", "experience", "education", "raw_text")
@@ -383,6 +404,11 @@ def q_match_results(spark, sf):
     return match_resumes_to_jobs(FX.resumes_raw(spark, sf), FX.jobs_raw(spark, sf))
 
 
+def q_match_results_intended(spark, sf):
+    """The same from records parsed as meant."""
+    return match_resumes_to_jobs(FX.resumes_raw(spark, sf), FX.jobs_raw(spark, sf), parse=parse_resumes_intended)
+
+
 def q_match_stats(spark, sf):
     return M.match_stats(tfidf_matches(spark, sf)).crossJoin(F.broadcast(  # one row
         M.job_counts(job_texts(spark, sf)).select("n_jobs")))
