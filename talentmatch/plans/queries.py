@@ -21,7 +21,6 @@ from talentmatch.functions import resume as R
 from talentmatch.operators import clean as C
 from talentmatch.operators import match as M
 from talentmatch.operators import tfidf as TF
-from talentmatch.operators.encoder import match_semantic
 from talentmatch.operators.ingest import first_nonempty
 from talentmatch.operators.parse import displayed, parse_resumes, parse_resumes_intended
 from talentmatch.operators.profiles import manual_profiles, resolve_profiles
@@ -386,13 +385,6 @@ def q_match_topk_tfidf_pruned(spark, sf):
     return m.select("resume_id", "job_id", "rank", "match_score")
 
 
-def q_match_topk_semantic(spark, sf):
-    """D1 and D5 from texts: an encoder trained on the jobs, then the dense
-    matcher."""
-    raw = FX.resumes_raw(spark, sf)
-    return match_semantic(resume_texts(parse_resumes(raw)), job_texts(spark, sf)).select("resume_id", "job_id", "rank", "match_score")
-
-
 def q_match_single(spark, sf):
     """The ranked list of one résumé, that of the smallest id."""
     res, jobs = embedding_sides(spark, sf)

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from talentmatch.operators import encoder as E
 from talentmatch.operators import tfidf
 from talentmatch.operators.match import match_tfidf
+from talentmatch.operators.parse import parse_resumes
+from talentmatch.plans.queries import job_texts as jobs_of
+from talentmatch.plans.queries import resume_texts
+from talentmatch.plans.trained import TRAINED
+from talentmatch.sources import fixtures as FX
 
 TOPICS = (("python", "pandas", "numpy", "spark"), ("react", "css", "html", "node"), ("welding", "steel", "lathe", "drill"))
 
@@ -94,3 +103,40 @@ def test_no_jobs_and_few_terms(spark, docs):
     found = E.match_semantic(tiny.withColumnRenamed("job_id", "resume_id"), tiny, 3, dim=8).collect()
     assert {(r.resume_id, r.job_id) for r in found} == {(i, j) for i in (1, 2, 3, 4) for j in (1, 2)}
     assert all(abs(r.match_score - 1) < 1e-6 for r in found if r.resume_id == r.job_id)
+
+
+def test_query_against_numpy(spark, small_sf):
+    """The same rounds on whole matrices, from the same start."""
+    jobs = jobs_of(spark, small_sf)
+    a, terms = matrix(spark, jobs)
+    width = E.DIM + E.OVERSAMPLE
+    start = spark.createDataFrame([(t,) for t in terms], "term string").select(
+        "term", *[(F.xxhash64("term", F.lit(i)) / F.lit(2.0 ** 63)).alias(f"v{i}") for i in range(width)]).collect()
+    rows = {r.term: list(r)[1:] for r in start}
+    q = np.array([rows[t] for t in terms])
+    for k in range(E.ROUNDS):
+        z = a.T @ (a @ q)
+        value, vector = np.linalg.eigh(z.T @ z)
+        keep = np.argsort(-value)[:E.DIM if k == E.ROUNDS - 1 else width]
+        keep = keep[value[keep] > value.max() * E.LEAST_SHARE]
+        q = z @ (vector[:, keep] / np.sqrt(value[keep]))
+    idf = {r.term: r.idf for r in tfidf.fit_idf(jobs).collect()}
+    resumes = resume_texts(parse_resumes(FX.resumes_raw(spark, small_sf))).collect()
+    ids = sorted(r.job_id for r in jobs.collect())
+    y = a @ q
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    got = {}
+    for r in TRAINED["match_topk_semantic"](spark, small_sf).collect():
+        got.setdefault(r.resume_id, {})[r["rank"]] = (r.job_id, r.match_score)
+    assert len(got) == len(resumes)
+
+    for r in resumes:
+        x = np.zeros(len(terms))
+        for w in re.findall(r"\w{2,}", r.text.lower()):
+            if w in idf:
+                x[terms.index(w)] += idf[w]
+        x = x @ q
+        score = y @ (x / np.linalg.norm(x)) if np.linalg.norm(x) > 1e-12 else np.zeros(len(ids))
+        best = np.sort(score)[::-1]
+        for rank, (job, s) in got[r.resume_id].items():
+            assert abs(s - score[ids.index(job)]) < 2e-5 and abs(s - best[rank - 1]) < 2e-5
