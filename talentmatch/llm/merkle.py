@@ -14,9 +14,10 @@ many rows of its first source lie before it.  Texts are hashed where they are
 read; only ids and digests are shuffled, and no group holds more than 256
 nodes.
 
-Results: ``manifest`` gives the stored levels and the root, ``proofs`` each
-row's path (siblings before and after, per level), ``verify`` folds leaves
-along paths.
+Results: ``manifest`` gives the stored levels and the root (``save`` and
+``load`` keep them), ``proofs`` the path of every row or of those asked for
+(siblings before and after, per level), ``verify`` folds leaves along paths,
+``changed`` names the rows in which a table differs from a manifest.
 
 Edge cases: null ids come first, rows of one id go by their digest, repeated
 rows are leaves of their own; a null source is a source of its own, before all
@@ -33,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,9 +156,12 @@ def step(run: Column, at: Column) -> Column:
                     F.substring(run, at * DIGEST + DIGEST + 1, F.lit(FAN_OUT * DIGEST)).alias("after"))
 
 
-def lowered(blocks: DataFrame, paths: DataFrame) -> DataFrame:
+def lowered(blocks: DataFrame, paths: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """Paths of the blocks' nodes from those of their tops: the level between
-    is computed again, gives its siblings and goes."""
+    is computed again, gives its siblings and goes.  With ``asked`` (tree,
+    position) only those nodes, from their blocks alone."""
+    if asked is not None:
+        blocks = blocks.join(lifted(asked).withColumnRenamed("position", "block"), ["tree", "block"], "left_semi")
     above = paths.select("tree", F.col("position").alias("block"), "path", "subroot", "root")
     entry = F.posexplode("entries").alias("at", "entry")
     rows = with_levels(blocks.join(above, ["tree", "block"])).select(
@@ -167,7 +171,20 @@ def lowered(blocks: DataFrame, paths: DataFrame) -> DataFrame:
     far = step(F.col("upper"), run)
     path = F.concat(F.when(F.col("levels") > 0, F.array(near)).otherwise(F.array().cast(f"array<{STEP}>")),
                     F.when(F.col("levels") > 1, F.array(far)).otherwise(F.array().cast(f"array<{STEP}>")), "path")
-    return rows.select("tree", "entry.*", path.alias("path"), "subroot", "root")
+    out = rows.select("tree", "entry.*", path.alias("path"), "subroot", "root")
+    return out if asked is None else out.join(asked, ["tree", "position"], "left_semi")
+
+
+def lifted(nodes: DataFrame) -> DataFrame:
+    """``tree, position`` of the tops over nodes."""
+    return nodes.select("tree", F.floor(F.col("position") / BLOCK).cast("long").alias("position")).distinct()
+
+
+def nodes_where(blocks: DataFrame, field: str, wanted: DataFrame) -> DataFrame:
+    """``tree, position`` of the entries whose ``field`` is in the one column of ``wanted``."""
+    values = wanted.toDF("wanted").distinct()
+    entries = blocks.select("tree", F.explode("entries").alias("e")).select("tree", "e.position", F.col(f"e.{field}").alias("value"))
+    return entries.join(values, F.col("value").eqNullSafe(F.col("wanted")), "left_semi").select("tree", "position")
 
 
 # -- manifest ----------------------------------------------------------------
@@ -182,6 +199,21 @@ class Manifest:
     subroots: DataFrame
     root: DataFrame
 
+    def save(self, path: str) -> None:
+        """All that is kept, as Parquet under ``path``."""
+        tables = {"subroots": self.subroots, "root": self.root}
+        tables |= {f"{kind}-{2 * k}": b for kind in ("levels", "over") for k, b in enumerate(getattr(self, kind))}
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+        counts = self.root.sparkSession.createDataFrame([(len(self.levels), len(self.over))], "levels int, over int")
+        counts.write.mode("overwrite").parquet(f"{path}/layout")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Manifest:
+        counts = spark.read.parquet(f"{path}/layout").first()
+        kept = [[spark.read.parquet(f"{path}/{kind}-{2 * k}") for k in range(counts[kind])] for kind in ("levels", "over")]
+        return cls(*kept, spark.read.parquet(f"{path}/subroots"), spark.read.parquet(f"{path}/root"))
+
 
 def stored_levels(nodes: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame]:
     """Blocks of every other level, written, and the last nodes."""
@@ -211,21 +243,53 @@ def manifest(df: DataFrame, fields=FIELDS, id_col: str = "doc_id", source_col: s
     return Manifest(levels, over, subroots, root)
 
 
-def proofs(m: Manifest) -> DataFrame:
-    """``doc_id, leaf, other, position, path, subroot, root`` of every leaf.
-    ``path`` has a step per level, leaf first: the siblings' digests before
-    and after, joined."""
+def proofs(m: Manifest, wanted: DataFrame | None = None) -> DataFrame:
+    """``doc_id, leaf, other, position, path, subroot, root`` of every leaf, or
+    of those whose ids are in the one column of ``wanted``: then only the
+    blocks on their paths are joined and recomputed.  ``path`` has a step per
+    level, leaf first: the siblings' digests before and after, joined."""
+    asked: list[DataFrame | None] = [None] * len(m.levels)
+    asked_over: list[DataFrame | None] = [None] * len(m.over)
+    if wanted is not None:
+        asked[0] = written(nodes_where(m.levels[0], "doc_id", wanted), "merkle-asked")
+        asked_over[0] = nodes_where(m.over[0], "source_key", asked[0].select("tree"))
+        for nodes in (asked, asked_over):
+            for k in range(1, len(nodes)):
+                nodes[k] = lifted(nodes[k - 1])
     none = F.array().cast(f"array<{STEP}>")
     paths = m.root.select("tree", "position", none.alias("path"), F.lit("").alias("subroot"), F.col("node").alias("root"))
-    for blocks in reversed(m.over):
-        paths = lowered(blocks, paths)
+    for blocks, nodes in zip(reversed(m.over), reversed(asked_over)):
+        paths = lowered(blocks, paths, nodes)
     paths = paths.select(F.col("source_key").alias("tree"), F.lit(0).cast("long").alias("position"), "path",
                          F.col("node").alias("subroot"), "root")
-    for blocks in reversed(m.levels):
-        paths = lowered(blocks, paths)
+    for blocks, nodes in zip(reversed(m.levels), reversed(asked)):
+        paths = lowered(blocks, paths, nodes)
     return paths.select("doc_id", F.col("node").alias("leaf"), "other", "position", "path", "subroot", "root")
 
 
+def changed(m: Manifest, df: DataFrame, fields=FIELDS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """``source, doc_id, before, after``: the leaves in which ``df`` differs
+    from the manifest, ``before`` null for rows that are new and ``after`` for
+    rows that are gone.  Sources whose subroot is the same are not compared."""
+    now = manifest(df, fields, id_col, source_col)
+    roots = m.subroots.select("tree", F.col("node").alias("old")).join(
+        now.subroots.select("tree", F.col("node").alias("new")), "tree", "full").where(~F.col("old").eqNullSafe(F.col("new"))).select("tree")
+
+    def leaves(of: Manifest, side: int) -> DataFrame:
+        e = of.levels[0].join(roots, "tree", "left_semi").select("tree", F.explode("entries").alias("e"))
+        return e.select("tree", "e.doc_id", F.col("e.node").alias("node"), F.lit(side).alias("side"))
+
+    # repeated rows: each digest counts as often as it occurs on either side
+    both = leaves(m, -1).unionByName(leaves(now, 1)).groupBy("tree", "doc_id", "node").agg(F.sum("side").alias("more")).where("more != 0")
+    source = F.when(F.col("tree") != "", F.substring("tree", F.lit(2), F.length("tree")))
+    gone, new = (both.where(F.col("more") * side > 0).select("tree", "doc_id", F.col("node").alias(name), F.row_number().over(
+        Window.partitionBy("tree", "doc_id").orderBy("node")).alias("nth")) for side, name in ((-1, "before"), (1, "after")))
+    same = (F.col("b.tree") == F.col("a.tree")) & F.col("b.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("b.nth") == F.col("a.nth"))
+    out = gone.alias("b").join(new.alias("a"), same, "full").select(
+        F.coalesce("b.tree", "a.tree").alias("tree"), F.coalesce("b.doc_id", "a.doc_id").alias("doc_id"), "before", "after")
+    return out.select(source.alias("source"), "doc_id", "before", "after")
+
+
 def folded(leaf: Column, path: Column) -> Column:
     """The root that a leaf and its siblings give."""
     return F.aggregate(path, leaf, lambda node, s: digest(s["before"], node, s["after"]))

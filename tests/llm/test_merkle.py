@@ -121,6 +121,33 @@ def test_only_every_other_level_is_kept(spark):
     assert [e.node for e in m.levels[1].first().entries] == levels[2]
 
 
+def test_saved_manifest_and_some_proofs(spark, tmp_path):
+    rows = random_rows(6, {"hot": 700, None: 3, **{f"s{i}": 1 + i % 5 for i in range(40)}})
+    df = made(spark, rows, 4)
+    merkle.manifest(df, tampered=merkle.lower_cased_fifth).save(str(tmp_path / "m"))
+    m = merkle.Manifest.load(spark, str(tmp_path / "m"))
+    want = plain(rows)
+    assert sorted([tuple(r) for r in merkle.digests(merkle.verify(merkle.proofs(m))).collect()], key=repr) == want
+    ids = spark.createDataFrame([(7,), (None,), (3,), (650,), (650,), (-5,)], "id long")
+    some = sorted([tuple(r) for r in merkle.digests(merkle.verify(merkle.proofs(m, ids))).collect()], key=repr)
+    assert some == [r for r in want if r[0] in (7, None, 3, 650)] and some
+    assert merkle.proofs(m, ids.where("id = -5")).count() == 0
+
+
+def test_changed_rows(spark):
+    rows = [(i % 300, s, "en", 2, f"t{i}") for s in ("a", "b", None) for i in range(300)] + [(None, "b", "en", 2, "x"), (1, "a", "en", 2, "t1")]
+    m = merkle.manifest(made(spark, rows))
+    assert merkle.changed(m, made(spark, rows, 3)).count() == 0
+    later = [r for r in rows if r[:2] != (7, None)] + [(9, "c", "en", 2, "new")]
+    later[5] = (5, "a", "de", 2, "t5")
+    later.remove((1, "a", "en", 2, "t1"))  # one of two equal rows
+    later.remove((None, "b", "en", 2, "x"))
+    got = sorted([tuple(r) for r in merkle.changed(m, made(spark, later, 2)).collect()], key=repr)
+    assert got == sorted([("a", 5, leaf((5, "a", "en", 2, "t5")), leaf((5, "a", "de", 2, "t5"))),
+                          ("a", 1, leaf((1, "a", "en", 2, "t1")), None), ("b", None, leaf((None, "b", "en", 2, "x")), None),
+                          (None, 7, leaf((7, None, "en", 2, "t7")), None), ("c", 9, None, leaf((9, "c", "en", 2, "new")))], key=repr)
+
+
 def test_op12_matches_sql(spark, small_sf):
     problems, n, _ = OC.compare(spark, OC.duck(small_sf), "op12", queries.op12_merkle_manifest,
                                 queries.ORACLES["op12_merkle_manifest"], small_sf)
