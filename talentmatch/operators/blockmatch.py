@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,15 +47,26 @@ def units(scores: np.ndarray) -> np.ndarray:
     return (np.sign(scores) * np.floor(np.abs(scores) * UNITS + 0.5)).astype(np.int64)
 
 
+def _lists(column, kind: pa.DataType) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and joined values of a column of lists (Arrow or pandas); a
+    null list is empty, a null value not a number."""
+    if isinstance(column, pd.Series):
+        column = pa.array(column.tolist(), pa.list_(kind))
+    elif isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return sizes.astype(np.int64), column.flatten().cast(kind).to_numpy(zero_copy_only=False)
+
+
 class _Dense:
     """Directions of one side; ``pair`` sums left to right, so trailing zeros
     and the other rows of a block change nothing."""
 
-    def __init__(self, frame: pd.DataFrame, dim: int):
-        m = np.zeros((len(frame), dim))
-        for k, v in enumerate(frame["vec"]):
-            if v is not None and all(x is not None for x in v):
-                m[k, :len(v)] = v
+    def __init__(self, frame, dim: int):
+        sizes, values = _lists(frame["vec"], pa.float64())
+        m = np.zeros((len(sizes), dim))
+        first = np.cumsum(sizes) - sizes
+        m[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(values)) - np.repeat(first, sizes)] = values
         m[~np.isfinite(m).all(axis=1)] = 0
         largest = np.abs(m).max(axis=1, initial=0)
         m /= np.where(largest > 0, largest, 1)[:, None]
@@ -65,8 +78,8 @@ class _Dense:
 
 
 class DenseBlock:
-    def __init__(self, left: pd.DataFrame, right: pd.DataFrame):
-        dim = max((len(v) for f in (left, right) for v in f["vec"] if v is not None), default=0)
+    def __init__(self, left, right):
+        dim = int(max(_lists(f["vec"], pa.float64())[0].max(initial=0) for f in (left, right)))
         self.left, self.right = _Dense(left, dim), _Dense(right, dim)
 
     def rough(self, a: int, b: int) -> np.ndarray:
@@ -80,13 +93,10 @@ class DenseBlock:
 class _Sparse:
     """Entries of one side by row, codes ascending within a row."""
 
-    def __init__(self, frame: pd.DataFrame):
-        codes = [np.asarray(c if c is not None else [], np.int64) for c in frame["codes"]]
-        weights = [np.asarray(w if w is not None else [], np.float64) for w in frame["weights"]]
-        self.size = np.array([len(c) for c in codes], np.int64)
-        self.row = np.repeat(np.arange(len(codes)), self.size)
-        self.code = np.concatenate([np.zeros(0, np.int64), *codes])
-        self.weight = np.concatenate([np.zeros(0), *weights])
+    def __init__(self, frame):
+        self.size, self.code = _lists(frame["codes"], pa.int64())
+        self.weight = _lists(frame["weights"], pa.float64())[1]
+        self.row = np.repeat(np.arange(len(self.size)), self.size)
         order = np.lexsort((self.code, self.row))
         self.code, self.weight = self.code[order], self.weight[order]
         self.end = np.cumsum(self.size)
@@ -96,7 +106,7 @@ class SparseBlock:
     """Rough scores: the vocabulary of the right rows is cut into column
     groups so that no helper matrix passes ``_CELLS`` cells."""
 
-    def __init__(self, left: pd.DataFrame, right: pd.DataFrame):
+    def __init__(self, left, right):
         self.l, self.r = _Sparse(left), _Sparse(right)
         self.vocabulary = np.unique(self.r.code)
         self.r_col = np.searchsorted(self.vocabulary, self.r.code)
@@ -179,6 +189,17 @@ def block_topk(block, n_left: int, n_right: int, k: int) -> tuple[np.ndarray, np
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def scored_block(make, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """``left_id, right_id, units`` of the k best right rows of each left row
+    of one group; lists go from Arrow to numpy as they are."""
+    if not len(left) or not len(right):
+        at, to, units = (np.zeros(0, np.int64) for _ in range(3))
+    else:
+        right = right.sort_by("id")
+        at, to, units = block_topk(make(left, right), len(left), len(right), k)
+    return pa.table({"left_id": left["id"].take(pa.array(at)), "right_id": right["id"].take(pa.array(to)), "units": pa.array(units)})
+
+
 def topk_cosine(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dense",
                 left_id: str = "left_id", right_id: str = "right_id", block_rows: int = 2048,
                 partitions: int | None = None, left_rows: DataFrame | None = None,
@@ -214,16 +235,12 @@ def topk_cosine(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dense
                            T.StructField("right_id", right.schema[right_id].dataType),
                            T.StructField("units", T.LongType())])
 
-    def score_block(l_rows: pd.DataFrame, r_rows: pd.DataFrame) -> pd.DataFrame:
-        if l_rows.empty or r_rows.empty:
-            return pd.DataFrame({"left_id": l_rows["id"][:0], "right_id": r_rows["id"][:0], "units": np.zeros(0, np.int64)})
-        r_rows = r_rows.sort_values("id", kind="stable", ignore_index=True)
-        at, to, score = block_topk(make(l_rows, r_rows), len(l_rows), len(r_rows), k)
-        return pd.DataFrame({"left_id": l_rows["id"].to_numpy()[at], "right_id": r_rows["id"].to_numpy()[to], "units": score})
+    def score_block(l_rows: pa.Table, r_rows: pa.Table) -> pa.Table:
+        return scored_block(make, l_rows, r_rows, k)
 
     found = (blocks(left, left_id, "lb", "rb").groupBy("lb", "rb")
              .cogroup(blocks(right, right_id, "rb", "lb").groupBy("lb", "rb"))
-             .applyInPandas(score_block, schema))
+             .applyInArrow(score_block, schema))
     order = Window.partitionBy("left_id").orderBy(F.desc("units"), F.asc("right_id"))
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select(F.col("left_id").alias(left_id), F.col("right_id").alias(right_id),

@@ -20,12 +20,12 @@ into groups of about ``block_rows``.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentmatch.operators.blockmatch import UNITS, DenseBlock, _Dense, block_topk
+from talentmatch.operators.blockmatch import UNITS, DenseBlock, _Dense, scored_block
 
 _SLACK = 4.0 / UNITS
 
@@ -91,14 +91,10 @@ def pruned_topk_cosine(left: DataFrame, right: DataFrame, k: int, *, left_id: st
     schema = T.StructType([T.StructField("left_id", lefts.schema["id"].dataType),
                            T.StructField("right_id", rights.schema["id"].dataType), T.StructField("units", T.LongType())])
 
-    def score_block(l_part: pd.DataFrame, r_part: pd.DataFrame) -> pd.DataFrame:
-        if l_part.empty or r_part.empty:
-            return pd.DataFrame({"left_id": l_part["id"][:0], "right_id": r_part["id"][:0], "units": np.zeros(0, np.int64)})
-        r_part = r_part.sort_values("id", kind="stable", ignore_index=True)
-        at, to, score = block_topk(DenseBlock(l_part, r_part), len(l_part), len(r_part), k)
-        return pd.DataFrame({"left_id": l_part["id"].to_numpy()[at], "right_id": r_part["id"].to_numpy()[to], "units": score})
+    def score_block(l_part: pa.Table, r_part: pa.Table) -> pa.Table:
+        return scored_block(DenseBlock, l_part, r_part, k)
 
-    found = l_rows.groupBy(*keys).cogroup(r_rows.groupBy(*keys)).applyInPandas(score_block, schema)
+    found = l_rows.groupBy(*keys).cogroup(r_rows.groupBy(*keys)).applyInArrow(score_block, schema)
     order = Window.partitionBy("left_id").orderBy(F.desc("units"), F.asc("right_id"))
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select(F.col("left_id").alias(left_id), F.col("right_id").alias(right_id),

@@ -26,12 +26,12 @@ folder.  Hot blocks are split by id hash on both sides.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentmatch.operators.blockmatch import UNITS, SparseBlock, block_topk
+from talentmatch.operators.blockmatch import UNITS, SparseBlock, scored_block
 from talentmatch.session import scratch_path
 
 MOST_BUCKETS = 4096
@@ -81,15 +81,11 @@ def scored(pairs: DataFrame, lefts: DataFrame, rights: DataFrame, k: int, left_r
     schema = T.StructType([T.StructField("left_id", lefts.schema["id"].dataType),
                            T.StructField("right_id", rights.schema["id"].dataType), T.StructField("units", T.LongType())])
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"left_id": left["id"][:0], "right_id": right["id"][:0], "units": np.zeros(0, np.int64)})
-        right = right.sort_values("id", kind="stable", ignore_index=True)
-        at, to, units = block_topk(SparseBlock(left, right), len(left), len(right), k)
-        return pd.DataFrame({"left_id": left["id"].to_numpy()[at], "right_id": right["id"].to_numpy()[to], "units": units})
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        return scored_block(SparseBlock, left, right, k)
 
     return (asked.repartition(partitions, *keys).groupBy(*keys)
-            .cogroup(held.repartition(partitions, *keys).groupBy(*keys)).applyInPandas(best, schema))
+            .cogroup(held.repartition(partitions, *keys).groupBy(*keys)).applyInArrow(best, schema))
 
 
 def pruned_topk_sparse(left: DataFrame, right: DataFrame, k: int, *, left_id: str = "left_id", right_id: str = "right_id",
