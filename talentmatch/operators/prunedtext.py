@@ -1,8 +1,10 @@
 """Exact sparse top-k with jobs in blocks and upper bounds per block.
 
 The plain matcher sends every left row to every right block.  Here right rows
-that share their heaviest term share a block, and the largest weight of each
-term in a block bounds what a left row can score there:
+that share their leading term share a block - the term that tends to add most
+to a score, by its weight in the row and its mean weight in left rows that have
+it - and the largest weight of each term in a block bounds what a left row can
+score there:
 
     score(l, x)  <=  sum over terms of  w_l(term) * max weight(term, block).
 
@@ -50,13 +52,17 @@ def _entries(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, e.alias("e")).select(*keep, "e.code", "e.w")
 
 
-def in_blocks(rights: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
+def in_blocks(lefts: DataFrame, rights: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
     """``id, codes, weights, block`` and the number of blocks: rows go to
-    buckets by their heaviest term, large buckets are split by id hash."""
+    buckets by their leading term, large buckets are split by id hash.  Rows
+    without a term of any left row share the bucket of no term."""
     n = rights.count()
     buckets = int(np.clip(-(-2 * n // block_rows), 1, MOST_BUCKETS))
-    heaviest = F.array_max(F.arrays_zip(F.col("weights").alias("w"), F.col("codes").alias("c")))["c"]
-    rows = rights.withColumn("bucket", F.pmod(F.xxhash64(heaviest), F.lit(buckets)).cast("int"))
+    demand = _entries(lefts).groupBy("code").agg(F.avg("w").alias("mean"))
+    leads = _entries(rights, "id").join(demand, "code").groupBy("id").agg(
+        F.max(F.struct((F.col("w") * F.col("mean")).alias("adds"), "code"))["code"].alias("lead"))
+    rows = rights.join(leads, "id", "left").withColumn("bucket", F.pmod(F.xxhash64("lead"), F.lit(buckets)).cast("int")).drop("lead")
+    rows = _written(rows, "pruned-buckets")
     count = np.zeros(buckets, np.int64)
     for r in rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect():  # MOST_BUCKETS rows
         count[r.bucket] = r.n
@@ -92,15 +98,17 @@ def pruned_topk_sparse(left: DataFrame, right: DataFrame, k: int, *, left_id: st
                        block_rows: int = 2048, partitions: int | None = None, many_blocks: int | None = None) -> DataFrame:
     """``(left_id, right_id, score, rank)``, as ``blockmatch.topk_cosine``
     gives for sparse rows.  Terms of more than ``many_blocks`` blocks (by
-    default the square root of their number, 8 at least) are common."""
+    default a fourth of them, 8 at least) are common."""
     partitions = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lefts = _written(left.select(F.col(left_id).alias("id"), "codes", "weights"), "pruned-left")
     rights = _written(right.select(F.col(right_id).alias("id"), "codes", "weights"), "pruned-right")
-    rights, n_blocks = in_blocks(rights, block_rows)
+    rights, n_blocks = in_blocks(lefts, rights, block_rows)
     rights = _written(rights, "pruned-blocks")
-    many = many_blocks or max(8, int(np.sqrt(n_blocks)))
+    many = many_blocks or max(8, n_blocks // 4)
 
-    summary = _written(_entries(rights, "block").groupBy("code", "block").agg(F.max("w").alias("most")), "pruned-summary")
+    asked_codes = _entries(lefts).select("code").distinct()
+    summary = _written(_entries(rights, "block").join(asked_codes, "code", "left_semi").groupBy("code", "block")
+                       .agg(F.max("w").alias("most")), "pruned-summary")
     per_code = summary.groupBy("code").agg(F.count(F.lit(1)).alias("blocks"), F.max("most").alias("top"))
     asked = _entries(lefts, "id").join(per_code, "code").select(
         "id", "code", "w", (F.col("blocks") > many).alias("common"), (F.col("w") * F.col("top")).alias("high"))
