@@ -525,6 +525,13 @@ select request_id, cast(length(coalesce(extracted, regexp_replace(text, '\\r\\n?
 ORACLES["read_uploads"] = f"""with {with_views('resumes_raw')}, uploads as ({view_sql('uploads')})
 select request_id, cast(length(text) as bigint) text_length, md5(text) text_md5,
   case when {extension('filename')} = 'docx' and request_id % 5 <> 0 then 'extracted' else 'decoded' end via from uploads"""
+# a PDF's text: lines without outer or repeated blanks, blank lines left out, each page ends its last line
+ORACLES["read_pdf_files"] = f"with {with_views('resumes_raw')}, " + r"""l as (select resume_id, text, [y for y in
+  [trim(regexp_replace(x, '[\s\p{Z}\x0b\x1c-\x1f\x85]+', ' ', 'g')) for x in string_split(text, chr(10))] if y <> ''] lines from resumes_raw),
+r as (select resume_id, case when resume_id % 7 = 0 then regexp_replace(text, '\r\n?', chr(10), 'g')
+  when len(lines) = 0 then '' else array_to_string(lines, chr(10)) || chr(10) end t from l)
+select resume_id, cast(length(t) as bigint) text_length, md5(t) text_md5,
+  case when resume_id % 7 = 0 then 'decoded' else 'extracted' end via from r"""
 ORACLES["parse_uploads"] = f"""with {UPLOADS} select request_id, case when error is null then filename end file, name, email, phone,
   array_to_string(skills, ', ') skills, experience, education, text_length, error from up_parsed where admitted"""
 ORACLES["admit_uploads"] = (f"with {with_views('resumes_raw')}, uploads as ({view_sql('uploads')}) "

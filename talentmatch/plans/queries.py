@@ -206,6 +206,16 @@ def q_read_uploads(spark, sf):
                        F.when(F.col("x").isNotNull(), "extracted").otherwise("decoded").alias("via"))
 
 
+def q_read_pdf_files(spark, sf):
+    """A4 and A5 over PDF files: the text by the built-in reader, plain bytes
+    under such a name by the fallback."""
+    files = FX.pdf_files(spark, sf)
+    read = files.select("resume_id", extracted_text(RF.extension(F.col("file")), F.col("content")).alias("x"), RF.decode_text(F.col("content")).alias("d"))
+    text = RF.with_fallback(F.col("x"), F.col("d"))
+    return read.select("resume_id", F.length(text).cast("bigint").alias("text_length"), F.md5(F.encode(text, "UTF-8")).alias("text_md5"),
+                       F.when(F.col("x").isNotNull(), "extracted").otherwise("decoded").alias("via"))
+
+
 def q_parse_uploads(spark, sf):
     """Uploaded files of all formats, admitted, read and parsed."""
     up = FX.upload_files(spark, sf).where(RF.admitted(F.col("filename"), F.col("size")))

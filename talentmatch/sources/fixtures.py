@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -140,6 +141,57 @@ def docx_of(text: str) -> bytes:
     return out.getvalue()
 
 
+def pdf_of(text: str, per_page: int = 50) -> bytes:
+    """A PDF with ``per_page`` lines of the text a page.  Codes number the
+    characters and only the font's map tells what they are.  Lines are placed
+    in turn by a matrix, by steps and by next-line operators, every second one
+    as words with gaps instead of blanks; the last line of a page is drawn
+    first; every second page is compressed."""
+    codes = {c: n for n, c in enumerate(sorted(set(text)), 1)}
+
+    def drawn(words: str) -> str:
+        return "<" + "".join(f"{codes[c]:04x}" for c in words) + ">"
+
+    def shown(n: int, line: str) -> str:
+        words = line.split()
+        show = f"[{' -500 '.join(map(drawn, words))}] TJ" if n % 2 else f"{drawn(line)} Tj"
+        top = 800 - 14 * (n % per_page)
+        if n % 3 == 0:
+            return f"BT 14 TL /F1 10 Tf 1 0 0 1 40 {top} Tm {show} ET"
+        return f"BT /F1 10 Tf 40 {top + 14} Td " + (f"0 -14 Td {show} ET" if n % 3 == 1 else f"14 TL T* {show} ET")
+
+    lines = [shown(n, line) for n, line in enumerate(text.split("\n"))]
+    pages = [lines[i:i + per_page] for i in range(0, len(lines), per_page)]
+    listed = [f"<{n:04x}> <{c.encode('utf-16-be').hex()}>" for c, n in codes.items()]
+    known = "\n".join(f"{len(part)} beginbfchar {' '.join(part)} endbfchar"
+                      for part in (listed[i:i + 100] for i in range(0, len(listed), 100)))
+    kids = " ".join(f"{6 + 2 * i} 0 R" for i in range(len(pages)))
+    objects = {1: "<< /Type /Catalog /Pages 2 0 R >>",
+               2: f"<< /Type /Pages /Count {len(pages)} /Kids [{kids}] /Resources << /Font << /F1 3 0 R >> >> >>",
+               3: "<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [4 0 R] /ToUnicode 5 0 R >>",
+               4: "<< /Type /Font /Subtype /CIDFontType2 /DW 500 >>"}
+    streams = {5: known} | {7 + 2 * i: "\n".join(page[-1:] + page[:-1]) for i, page in enumerate(pages)}
+    objects |= {6 + 2 * i: f"<< /Type /Page /Parent 2 0 R /Contents {7 + 2 * i} 0 R >>" for i in range(len(pages))}
+    out = bytearray(b"%PDF-1.5\n")
+    for n in sorted(objects | streams):
+        if n in objects:
+            body = objects[n].encode()
+        else:
+            packed = n % 4 == 1
+            data = zlib.compress(streams[n].encode()) if packed else streams[n].encode()
+            body = b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(data), b" /Filter /FlateDecode" * packed, data)
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    return bytes(out + b"trailer << /Root 1 0 R >>\n%%EOF\n")
+
+
+def pdf_content(text: Column) -> Column:
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(pdf_of)
+
+    return packed(text)
+
+
 def docx_content(text: Column) -> Column:
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
@@ -155,3 +207,10 @@ def upload_files(spark, sf_dir) -> DataFrame:
     is_docx = F.col("filename").endswith(".docx") & (F.col("request_id") % 5 != 0)
     return up.select("request_id", "filename", "size", F.when(is_docx, docx_content(F.col("text")))
                      .otherwise(F.encode("text", "UTF-8")).alias("content"))
+
+
+def pdf_files(spark, sf_dir) -> DataFrame:
+    """Every résumé as a PDF; every seventh is plain bytes under that name."""
+    r = resumes_raw(spark, sf_dir)
+    content = F.when(F.col("resume_id") % 7 == 0, F.encode("text", "UTF-8")).otherwise(pdf_content(F.col("text")))
+    return r.select("resume_id", F.concat(F.lit("cv_"), F.col("resume_id").cast("string"), F.lit(".PDF")).alias("file"), content.alias("content"))

@@ -3,8 +3,8 @@
 A reader is a plain function ``bytes -> str`` for one extension; it runs
 inside an Arrow function over the files that have that extension, and a file
 it cannot read (any exception) falls back to the plain decode of its bytes.
-``docx`` is built in.  PDF needs a codec library of the user's choice: pass
-``readers={**READERS, "pdf": my_reader}``.
+``docx`` and ``pdf`` are built in; another reader, or one for a further
+extension, is passed as ``readers={**READERS, "pdf": my_reader}``.
 
 Only files of a known extension carry their bytes to Python; Arrow batches are
 cut at ``spark.sql.execution.arrow.maxBytesPerBatch``.
@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from talentmatch.sources.pdf import pdf_text
+
 #: Namespace of text documents, and the kind of link that names the main part.
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 MAIN_PART = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument"
@@ -65,7 +67,7 @@ def docx_text(content: bytes) -> str:
     return "\n".join(_paragraph(p) for p in body.findall(WORD + "p"))
 
 
-READERS: Mapping[str, Callable[[bytes], str]] = {"docx": docx_text}
+READERS: Mapping[str, Callable[[bytes], str]] = {"docx": docx_text, "pdf": pdf_text}
 
 
 def extracted_text(extension: Column, content: Column, readers: Mapping[str, Callable[[bytes], str]] = READERS) -> Column:
