@@ -10,8 +10,9 @@ parts two words.  Every page that has text ends with a line feed.
 Characters come from a font's ``ToUnicode`` map, else its encoding; a code that
 neither knows leaves its place empty, and text without a font is left out.  Of
 a stream that is cut short, what can be unpacked counts.  An encrypted file, an
-unknown filter, a file without pages or one that unpacks to more than
-``MOST_BYTES`` is an error, so that :mod:`formats` takes the plain decode.
+unknown filter, a file without pages, one that unpacks to more than
+``MOST_BYTES`` or has a page of more than ``MOST_GLYPHS`` is an error, so that
+:mod:`formats` takes the plain decode.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ import zlib
 from collections.abc import Iterator
 
 NEAR = 3.0
-MOST_BYTES = 64 << 20
+MOST_BYTES = 32 << 20
+#: Most glyphs of a page, which is held as a whole; a full page of print has about 10,000.
+MOST_GLYPHS = 1 << 20
 MOST_DEPTH = 24
 
 BLANK = rb"\0\t\n\f\r\x20"
@@ -390,6 +393,8 @@ class Canvas:
             if not isinstance(part, bytes):
                 along -= part / 1000 * stretch
                 continue
+            if len(self.out) + len(part) > MOST_GLYPHS:
+                raise ValueError("page too full")
             for text, width, spaced in now["font"].glyphs(part):
                 right = along + width * stretch
                 if text:

@@ -141,6 +141,13 @@ def test_a_file_that_unpacks_too_far_is_not_unpacked(monkeypatch):
         pdf.pdf_text(pdf_file("/X Do", others=[again]))
 
 
+def test_a_page_that_is_too_full_is_an_error(monkeypatch):
+    monkeypatch.setattr(pdf, "MOST_GLYPHS", 10)
+    assert pdf.pdf_text(pdf_file(written("(12345) Tj (67890) Tj"))) == "1234567890\n"
+    with pytest.raises(ValueError):
+        pdf.pdf_text(pdf_file(written("(12345) Tj (67890) Tj (x) Tj")))
+
+
 def test_cut_streams_and_text_without_a_font():
     packed = zlib.compress(written(*(f"({n} {n * n}) Tj T*" for n in range(200))).encode())
     got = pdf.pdf_text(pdf_file(stream(packed[:300], "/Filter /FlateDecode")))
