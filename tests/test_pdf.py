@@ -9,10 +9,12 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from talentmatch.operators.parse import parse_resumes, parse_resumes_intended
 from talentmatch.sources import fixtures as FX
 from talentmatch.sources import pdf
-from talentmatch.sources.resume_files import read_resume_files
+from talentmatch.sources.resume_files import file_text, read_resume_files
 
 FONT = "<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>"
 
@@ -177,3 +179,15 @@ def test_files_in_a_folder(spark, tmp_path):
 def test_documents_as_pdf(small_sf):
     texts = pq.read_table(f"{small_sf}/documents.parquet", columns=["text"])["text"].to_pylist()
     assert all(pdf.pdf_text(FX.pdf_of(t or "")) == shown_lines(t or "") for t in texts)
+
+
+@pytest.mark.parametrize("parse", [parse_resumes, parse_resumes_intended])
+def test_a_resume_parses_alike_as_text_and_as_pdf(spark, small_sf, parse):
+    """Only blanks and blank lines differ, so only the length does."""
+    def records(texts):
+        return {r.resume_id: r for r in parse(texts, keep=("resume_id",)).drop("text_length", "raw_text", "file").collect()}
+
+    files = FX.pdf_files(spark, small_sf)
+    as_pdf = records(files.select("resume_id", file_text(F.col("file"), F.col("content")).alias("text")))
+    as_text = records(FX.resumes_raw(spark, small_sf).select("resume_id", "text"))
+    assert as_pdf == as_text and len(as_pdf) > 100
