@@ -24,7 +24,7 @@ from talentmatch.operators import clean as C
 from talentmatch.operators.parse import parse_resumes
 from talentmatch.operators.profiles import resolve_profiles
 from talentmatch.plans.pipeline import matched_jobs
-from talentmatch.sources.resume_files import admitted, too_large
+from talentmatch.sources.resume_files import admitted, file_text, too_large
 
 NO_JOBS = "No AI-matched jobs found."
 
@@ -38,10 +38,24 @@ REQUEST_SCHEMA = T.StructType([
     T.StructField("experience", T.StringType()),
     T.StructField("education", T.StringType()),
 ])
+#: The same where an upload may land as bytes instead of text.
+UPLOAD_SCHEMA = T.StructType([*REQUEST_SCHEMA.fields, T.StructField("content", T.BinaryType())])
+
+
+def with_texts(requests: DataFrame) -> DataFrame:
+    """``UPLOAD_SCHEMA`` rows as ``REQUEST_SCHEMA`` rows: the text of an
+    admitted upload is read from its bytes where it has no text yet, a missing
+    size is that of the bytes.  Bytes of other files are not read."""
+    sized = requests.withColumn("size", F.coalesce("size", F.octet_length("content").cast("bigint")))
+    wanted = admitted(F.col("filename"), F.col("size")) & F.col("text").isNull()
+    text = F.coalesce("text", file_text(F.col("filename"), F.when(wanted, F.col("content"))))
+    return sized.withColumn("text", text).select(*REQUEST_SCHEMA.fieldNames())
 
 
 def resolved_requests(requests: DataFrame) -> DataFrame:
-    """A profile or a rejection per request.  Ids are keys."""
+    """A profile or a rejection per request, whose upload may be text or
+    ``content``.  Ids are keys."""
+    requests = with_texts(requests) if "content" in requests.columns else requests
     uploads = requests.where(F.col("filename").isNotNull())
     files = parse_resumes(uploads.select("request_id", "filename", "size", "text"), keep=("request_id", "filename", "size"))
     files = files.withColumns({"admitted": admitted(F.col("filename"), F.col("size")), "too_large": too_large(F.col("size"))})
@@ -72,7 +86,7 @@ def answer_profiles(resolved: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT
 
 
 def answer_requests(requests: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_N, match_case: bool = True) -> DataFrame:
-    """Answers to ``REQUEST_SCHEMA`` rows from ``jobs(job_id, title, company,
+    """Answers to ``REQUEST_SCHEMA`` or ``UPLOAD_SCHEMA`` rows from ``jobs(job_id, title, company,
     location, link)``."""
     return answer_profiles(resolved_requests(requests), jobs, top_n, match_case)
 

@@ -3,7 +3,7 @@
 A file-source stream picks up requests as they land; each micro-batch is
 resolved once, matched against the job table as it stands at that time (the
 snapshot of :mod:`snapshot` grows between batches), and written as the
-partition of its batch number.  A batch that is run again after a failure
+partition of its batch number.  Uploads land as text or as bytes.  A batch that is run again after a failure
 replaces its own partition, so every request is answered once.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentmatch.functions import constants as K
-from talentmatch.plans.requests import REQUEST_SCHEMA, answer_profiles, resolved_requests
+from talentmatch.plans.requests import UPLOAD_SCHEMA, answer_profiles, resolved_requests
 from talentmatch.session import scratch_path
 
 
@@ -29,14 +29,14 @@ def start_request_stream(spark: SparkSession, landing: str, answers: str, checkp
     def answer_batch(batch: DataFrame, epoch_id: int) -> None:
         # persisted for its two reads (matching, answers); a lost executor
         # reads the batch's files again
-        resolved = resolved_requests(batch.select(*REQUEST_SCHEMA.fieldNames())).persist()
+        resolved = resolved_requests(batch.select(*UPLOAD_SCHEMA.fieldNames())).persist()
         try:
             (answer_profiles(resolved, jobs(), top_n).withColumn("batch", F.lit(epoch_id).cast("long"))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(answers))
         finally:
             resolved.unpersist()
 
-    reader = spark.readStream.schema(REQUEST_SCHEMA)
+    reader = spark.readStream.schema(UPLOAD_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (reader.parquet(landing).writeStream.foreachBatch(answer_batch)

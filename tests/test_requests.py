@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from talentmatch.functions import constants as K
-from talentmatch.plans.requests import NO_JOBS, REQUEST_SCHEMA, answer_requests, resolved_requests, with_job_lines
+from talentmatch.plans.requests import NO_JOBS, REQUEST_SCHEMA, UPLOAD_SCHEMA, answer_requests, resolved_requests, with_job_lines
+from talentmatch.sources import fixtures as FX
 from talentmatch.streaming.requests import start_request_stream
 
 JOBS = "job_id long, title string, company string, location string, link string"
@@ -102,3 +103,25 @@ def test_a_batch_that_runs_again_replaces_its_answers(spark, jobs, tmp_path):
         os.remove(f"{ckpt}/commits/.{commit}.crc")
     start_request_stream(spark, landing, answers, ckpt, table).awaitTermination()
     assert answered(spark, answers) == [(0, 1, 3), (0, 2, 3), (0, 3, 3)]
+
+
+def test_uploads_as_bytes(spark, jobs, tmp_path):
+    """Files of every format, in batch and by the stream; text goes before
+    bytes, and files that are not admitted are not read."""
+    form = ("gardener", "", "")
+    rows = [(1, "cv.txt", None, None, *form, CV.encode()), (2, "cv.PDF", None, None, *form, FX.pdf_of(CV)),
+            (3, "cv.docx", None, None, *form, FX.docx_of(CV)), (4, "cv.pdf", 9, None, *form, b"%PDF cut"),
+            (5, "cv.pdf", 9, CV, *form, b"other"), (6, "cv.exe", 9, None, *form, CV.encode()),
+            (7, "cv.pdf", 20_000_000, None, *form, FX.pdf_of(CV)), (8, "cv.pdf", None, None, *form, FX.pdf_of(" ")),
+            (9, None, None, None, *form, None), (10, "cv.pdf", None, None, *form, None)]
+    landed = spark.createDataFrame(rows, UPLOAD_SCHEMA)
+    got = {r.request_id: r for r in answer_requests(landed, jobs, top_n=2).collect()}
+    assert [got[i].name for i in (1, 2, 3, 5)] == ["Ada Lovelace"] * 4
+    assert got[2].jobs == got[1].jobs == got[3].jobs and got[4].profile_source == "file"
+    assert (got[6].profile_source, got[9].profile_source) == ("form", "form")
+    assert got[7].message == K.TOO_LARGE_ERROR and got[8].message == "Resume parsing error: " + K.EMPTY_TEXT_ERROR
+    assert sorted(got) == list(range(1, 11))
+    landing, answers, ckpt = (os.path.join(str(tmp_path), p) for p in ("landing", "answers", "ckpt"))
+    landed.write.parquet(landing)
+    start_request_stream(spark, landing, answers, ckpt, lambda: jobs, top_n=2).awaitTermination()
+    assert {r.request_id: r for r in spark.read.parquet(answers).drop("batch").collect()} == got
