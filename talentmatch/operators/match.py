@@ -63,20 +63,18 @@ def job_counts(jobs: DataFrame, text: str = "text") -> DataFrame:
 
 def match_tfidf(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_N, *,
                 resume_id: str = "resume_id", job_id: str = "job_id", text: str = "text",
-                resume_rows: DataFrame | None = None, pruned: bool = False, **kw) -> DataFrame:
+                pruned: bool = False, **kw) -> DataFrame:
     """Top-n jobs per résumé by TF-IDF cosine, the vocabulary fitted on the
     jobs that have text.  Jobs sharing no term with a résumé score 0 and
     still compete (lowest job id first), as when every job is scored.
 
     With ``pruned`` a résumé meets only the blocks of jobs that can hold one
-    of its best.  ``resume_rows`` is counted for the plain matcher's block
-    layout in place of the résumés; an upper bound will do."""
+    of its best."""
     jobs = with_text(jobs, text)
     jc = tfidf.term_counts(jobs, job_id, text)
     idf = tfidf.fit_idf(jobs, text)
     sides = [tfidf.coded(tfidf.vectors(c, idf)) for c in (tfidf.term_counts(resumes, resume_id, text), jc)]
-    match = pruned_topk_sparse if pruned else partial(
-        topk_cosine, kind="sparse", left_rows=resume_rows if resume_rows is not None else resumes, right_rows=jobs)
+    match = pruned_topk_sparse if pruned else partial(topk_cosine, kind="sparse")
     out = match(sides[0].withColumnRenamed("id", "l"), sides[1].withColumnRenamed("id", "r"), top_n,
                 left_id="l", right_id="r", **kw)
     return out.select(F.col("l").alias(resume_id), F.col("r").alias(job_id),

@@ -8,24 +8,26 @@ the cell around p,
     l.p - |l| radius  <=  l.x  <=  l.p + |l| radius.
 
 The cells with the largest lower bounds that together hold k rows give each
-left row a score it is sure to reach; it is sent only to cells whose upper
-bound reaches that.  Scores, rounding and ties are those of
-:mod:`blockmatch`, so the rows are the same.
+left row a score it is sure to reach; it is scored only in cells whose upper
+bound reaches that.  Blocks of left rows meet blocks of a cell's rows as in
+:mod:`blockmatch`, and in each pair only the left rows that want the cell are
+scored, so no row is copied for the cells it meets.  Scores, rounding and ties
+are those of :mod:`blockmatch`, so the rows are the same.
 
 Pivots (``n_pivots`` vectors) and the summary (``n_pivots`` rows) are read by
-the driver while the query is built; cells and left rows are split by id hash
-into groups of about ``block_rows``.
+the driver while the query is built; cells are split by id hash into groups of
+about ``block_rows``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentmatch.operators.blockmatch import UNITS, DenseBlock, _Dense, scored_block
+from talentmatch.operators.blockmatch import UNITS, DenseBlock, _Dense, block_pairs, one_of_equals, packed, ranked, scored_pairs
 
 _SLACK = 4.0 / UNITS
 
@@ -57,7 +59,7 @@ def pruned_topk_cosine(left: DataFrame, right: DataFrame, k: int, *, left_id: st
     left_dim = int(lefts.agg(F.max(F.size("vec"))).first()[0] or 0)
     dim = max(dim, left_dim, 1)
     pivots = _Dense(sample, dim).m if len(sample) else np.zeros((1, dim))
-    id_type, other_type = rights.schema["id"].dataType.simpleString(), lefts.schema["id"].dataType.simpleString()
+    id_type = rights.schema["id"].dataType.simpleString()
 
     def to_cells(frames):
         for f in frames:
@@ -66,36 +68,22 @@ def pruned_topk_cosine(left: DataFrame, right: DataFrame, k: int, *, left_id: st
             yield f.assign(cell=cell, away=np.sqrt(((m - pivots[cell]) ** 2).sum(axis=1)))
 
     celled = rights.mapInPandas(to_cells, f"id {id_type}, vec array<double>, cell long, away double")
-    n_left = F.count(F.lit(1)).alias("n")
     radius, count = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
     for r in celled.groupBy("cell").agg(F.max("away").alias("away"), F.count(F.lit(1)).alias("n")).collect():  # n_pivots rows
         radius[r.cell], count[r.cell] = r.away, r.n
     parts = np.maximum(1, -(-count // block_rows))
-    left_blocks = max(1, -(-lefts.agg(n_left).first().n // block_rows))
 
-    def to_wanted(frames):
-        for f in frames:
-            row, cell = np.nonzero(wanted_cells(_Dense(f, dim).m, pivots, radius, count, k))
-            copies = parts[cell]
-            part = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-            out = f.iloc[np.repeat(row, copies)]
-            yield out.assign(cell=np.repeat(cell, copies), part=part)
+    def wants(left: pa.Table, table: pa.Table, right, own) -> np.ndarray:
+        if own.wanted is None:
+            own.wanted = wanted_cells(_Dense(left, dim).m, pivots, radius, count, k)
+        return own.wanted[:, table["cell"][0].as_py()]
 
     part_of = F.pmod(F.xxhash64("id"), F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell").cast("int") + 1))
-    keys = ["cell", "part", "block"]
-    l_rows = (lefts.mapInPandas(to_wanted, f"id {other_type}, vec array<double>, cell long, part long")
-              .withColumn("block", F.pmod(F.xxhash64("id"), F.lit(left_blocks))).repartition(partitions, *keys))
-    r_rows = (celled.select("id", "vec", "cell", part_of.cast("long").alias("part"))
-              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(left_blocks - 1).cast("long"))))
-              .repartition(partitions, *keys))
-    schema = T.StructType([T.StructField("left_id", lefts.schema["id"].dataType),
+    held = celled.select("id", "vec", "cell", part_of.cast("long").alias("part")).repartition(partitions, "cell", "part")
+    own = lefts.withColumnRenamed("id", "left_id")
+    alike = one_of_equals(own, ["vec"])
+    pairs = block_pairs(packed(alike.withColumnRenamed("first_id", "id"), max(1, block_rows // 2), "l"),
+                        packed(held, block_rows, "r", by=("cell", "part")), partitions)
+    schema = T.StructType([T.StructField("id", lefts.schema["id"].dataType), T.StructField("mark", T.LongType()),
                            T.StructField("right_id", rights.schema["id"].dataType), T.StructField("units", T.LongType())])
-
-    def score_block(l_part: pa.Table, r_part: pa.Table) -> pa.Table:
-        return scored_block(DenseBlock, l_part, r_part, k)
-
-    found = l_rows.groupBy(*keys).cogroup(r_rows.groupBy(*keys)).applyInArrow(score_block, schema)
-    order = Window.partitionBy("left_id").orderBy(F.desc("units"), F.asc("right_id"))
-    return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select(F.col("left_id").alias(left_id), F.col("right_id").alias(right_id),
-                    (F.col("units") / UNITS).alias("score"), "rank"))
+    return ranked(scored_pairs(pairs, DenseBlock, k, schema, wants), own, alike, ["vec"], k, left_id, right_id)

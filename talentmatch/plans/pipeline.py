@@ -20,14 +20,13 @@ from talentmatch.operators.match import match_tfidf
 from talentmatch.operators.parse import parse_resumes
 
 
-def matched_jobs(texts: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_N,
-                 resume_rows: DataFrame | None = None) -> DataFrame:
+def matched_jobs(texts: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_N) -> DataFrame:
     """``texts(resume_id, text)`` x ``jobs(job_id, title, company, location,
     link)`` -> ranked matches with display columns."""
     clean = C.clean_jobs(jobs.select("job_id", "title", "company", "location", "link"))
     job_text = clean.select("job_id", C.job_text(F.col("title"), F.col("company"),
                                                  F.col("location")).alias("text"))
-    m = match_tfidf(texts, job_text, top_n, resume_rows=resume_rows)
+    m = match_tfidf(texts, job_text, top_n)
     # display fields are joined after the top-n cut, so only ids and
     # scores travel through the matching shuffles
     return (m.join(clean.select("job_id", "title", "company", "location", "link"), "job_id")
@@ -45,7 +44,7 @@ def match_resumes_to_jobs(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DE
     res_text = parsed.where(F.col("error").isNull()).select(
         "resume_id", C.resume_text(F.col("skills"), F.col("experience"), F.col("education"))
         .alias("text"))
-    return matched_jobs(res_text, jobs, top_n, resume_rows=resumes)
+    return matched_jobs(res_text, jobs, top_n)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,8 +87,7 @@ def dense_matches(spark, sf, top_n=K.DEFAULT_TOP_N):
 
 
 def tfidf_matches(spark, sf, top_n=K.DEFAULT_TOP_N):
-    raw = FX.resumes_raw(spark, sf)
-    return M.match_tfidf(resume_texts(parse_resumes(raw)), job_texts(spark, sf), top_n, resume_rows=raw)
+    return M.match_tfidf(resume_texts(parsed_resumes(spark, sf)), job_texts(spark, sf), top_n)
 
 
 def parsed_uploads(spark, sf):
@@ -187,7 +186,7 @@ def q_parse_resume_files(spark, sf):
     """A4: résumés landed as files, one each, listed and read as binary files,
     admitted, decoded and parsed."""
     path = scratch_path(spark, "resume_files")
-    FX.resumes_raw(spark, sf).select("resume_id", "text").write.partitionBy("resume_id").text(path)
+    RF.land_texts(FX.resumes_raw(spark, sf).select("resume_id", "text"), "resume_id", path)
     files = RF.read_resume_files(spark, path).where("admitted").withColumn(
         "resume_id", F.regexp_extract("path", r"resume_id=(\d+)", 1).cast("long"))
     p = parse_resumes(files, path_col="path", keep=("resume_id",))
