@@ -78,3 +78,11 @@ def spread(df: DataFrame) -> DataFrame:
     that is unset, as on a cluster, whose input comes in many splits."""
     n = int(df.sparkSession.conf.get("spark.talentmatch.spread", "0"))
     return df.repartition(n) if n else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over all tasks where it comes in fewer splits: for
+    tables of compact rows, of which one split becomes hours of text work."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentmatch.functions.constants import SKILL_LEXICON
-from talentmatch.session import table
+from talentmatch.session import dealt, table
 
 LEXICON_TEXT = ",".join(SKILL_LEXICON)
 
@@ -85,8 +85,10 @@ VIEWS = {
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view over its base table, whose rows are dealt out over all tasks
+    before texts, pages and files are made of them."""
     sql, base = VIEWS[name]
-    return spark.sql(sql, **{base: table(spark, sf_dir, base)})
+    return spark.sql(sql, **{base: dealt(table(spark, sf_dir, base))})
 
 
 def view_sql(name: str) -> str:

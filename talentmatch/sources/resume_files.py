@@ -8,8 +8,12 @@ upstream can take their place as a column.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Mapping
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,14 +71,48 @@ def file_text(name: Column, content: Column, readers: Mapping[str, Callable[[byt
     return with_fallback(extracted_text(F.coalesce(extension(name), F.lit("")), content, readers), decode_text(content))
 
 
+def land_texts(texts: DataFrame, id_col: str, path: str) -> None:
+    """Write ``texts(id_col, text)`` under path, a file ``<id_col>=<id>.txt``
+    for each id, in a folder for each task.  Spark's own writer makes a folder
+    for every id, and one commit per folder costs more than the text."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def land(batches):
+        where, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        folder = os.path.join(root, f"part-{TaskContext.get().partitionId()}")
+        where.create_dir(folder, recursive=True)
+        last, held, files = None, [], 0
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and key != last:
+                    write(where, folder, last, held)
+                    held, files = [], files + 1
+                last = key
+                held.append(text or "")
+        if held:
+            write(where, folder, last, held)
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    def write(where, folder, key, lines):
+        with where.open_output_stream(os.path.join(folder, f"{id_col}={'' if key is None else key}.txt")) as out:
+            out.write("".join(x + "\n" for x in lines).encode())
+
+    dealt = texts.select(id_col, "text").repartition(n, id_col).sortWithinPartitions(id_col, "text")
+    dealt.mapInArrow(land, "files long").agg(F.sum("files")).collect()  # one row
+
+
 def read_resume_files(spark: SparkSession, path: str, recursive: bool = True,
                       readers: Mapping[str, Callable[[bytes], str]] = READERS) -> DataFrame:
     """``(path, file, length, admitted, too_large, text)`` for every file
     under path; only admitted files are read, the others are listed (the size
     limit is pushed to the listing, so a huge file's bytes are never loaded)."""
+    # small files count as much as large ones when splits are cut, a few to a
+    # split: a table of them would be tens of thousands of tasks
+    tasks = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     files = (spark.read.format("binaryFile")
              .option("recursiveFileLookup", str(recursive).lower())
-             .load(path))
+             .load(path)).coalesce(tasks)
     name = basename(F.col("path"))
     ok = admitted(name, F.col("length"))
     listed = ["path", name.alias("file"), "length", ok.alias("admitted"), too_large(F.col("length")).alias("too_large")]

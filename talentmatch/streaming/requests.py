@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from talentmatch.functions import constants as K
 from talentmatch.plans.requests import UPLOAD_SCHEMA, answer_profiles, resolved_requests
-from talentmatch.session import scratch_path
+from talentmatch.session import dealt, scratch_path
 
 
 def start_request_stream(spark: SparkSession, landing: str, answers: str, checkpoint: str, jobs: Callable[[], DataFrame],
@@ -27,9 +27,10 @@ def start_request_stream(spark: SparkSession, landing: str, answers: str, checkp
     ``jobs`` gives the job table (job_id, title, company, location, link) and
     is called once a batch; ``files_per_batch`` bounds a batch."""
     def answer_batch(batch: DataFrame, epoch_id: int) -> None:
-        # persisted for its two reads (matching, answers); a lost executor
+        # a batch may be one file of one split: dealt out before it is parsed.
+        # Persisted for its two reads (matching, answers); a lost executor
         # reads the batch's files again
-        resolved = resolved_requests(batch.select(*UPLOAD_SCHEMA.fieldNames())).persist()
+        resolved = resolved_requests(dealt(batch.select(*UPLOAD_SCHEMA.fieldNames()))).persist()
         try:
             (answer_profiles(resolved, jobs(), top_n).withColumn("batch", F.lit(epoch_id).cast("long"))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(answers))

@@ -46,16 +46,14 @@ def start_snapshot_stream(spark: SparkSession, landing: str, snapshot: str, chec
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         # partition folders of the landing add columns; keep the landed ones.
-        # Persisted for the three reads below (emptiness, newest date, rows);
-        # a lost executor re-reads the batch's files.
-        landed = batch.select(*schema.fieldNames()).persist()
-        try:
-            if landed.isEmpty():
-                return
-            (clean_jobs(newest_landing(landed)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("date_scraped").parquet(snapshot))
-        finally:
-            landed.unpersist()
+        # The batch's files are read twice (newest date, rows): cheaper than
+        # keeping a whole landing in the executors' memory.
+        landed = batch.select(*schema.fieldNames())
+        newest = landed.agg(F.max("date_scraped")).first()[0]  # one row
+        if newest is None:
+            return
+        (clean_jobs(landed.where(F.col("date_scraped") == F.lit(newest))).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("date_scraped").parquet(snapshot))
 
     stream = spark.readStream.schema(schema).parquet(landing)
     return (stream.writeStream.foreachBatch(write_batch)
