@@ -1,7 +1,7 @@
 """Exact top-k cosine matching of every left row against every right row.
 
 All-pairs scoring is quadratic by nature; this operator materialises neither
-the pairs nor copies of the rows.  Either side is packed into blocks of at most
+the pairs nor copies of the rows.  Either side is packed into blocks of about
 ``block_rows`` rows (half as many left ones), a block being one row of Arrow
 bytes, and the blocks are dealt out once.  A scoring task takes one partition
 of left blocks and streams one of ``_RIGHT_PARTS`` partitions of right blocks
@@ -84,7 +84,7 @@ class _Dense:
 class DenseBlock:
     """A left table against a right one, which ``prepared`` may have read."""
 
-    prepared = _Dense
+    prepared, repeats = _Dense, False
 
     def __init__(self, left, right):
         self.left, self.right = _Dense(left), right if isinstance(right, _Dense) else _Dense(right)
@@ -108,6 +108,7 @@ class _Sparse:
         order = np.lexsort((self.code, self.row))
         self.code, self.weight = self.code[order], self.weight[order]
         self.end = np.cumsum(self.size)
+        self.repeats = bool(((np.diff(self.code) == 0) & (np.diff(self.row) == 0)).any())
 
 
 class _Postings(_Sparse):
@@ -134,6 +135,7 @@ class SparseBlock:
     def __init__(self, left, right):
         self.l, self.r = _Sparse(left), right if isinstance(right, _Postings) else _Postings(right)
         self.vocabulary, self.r_key = self.r.vocabulary, self.r.key
+        self.repeats = self.l.repeats or self.r.repeats  # a term twice in a row: rough scores are below the summed ones
         at = np.searchsorted(self.vocabulary, self.l.code)
         known = at < len(self.vocabulary)
         known[known] = self.vocabulary[at[known]] == self.l.code[known]
@@ -332,7 +334,8 @@ def scored_pairs(pairs: DataFrame, make, k: int, schema: T.StructType, asks=None
                     if not len(met):
                         continue
                     left, reached = left.take(pa.array(met)), reached[met]
-                at, to, score = block_topk(make(left, right), len(left), len(ids), k, reached)
+                block = make(left, right)
+                at, to, score = block_topk(block, len(left), len(ids), k, None if block.repeats else reached)
                 own.add(at if met is None else met[at], ids.take(pa.array(to)), score)
         for own in held.values():
             if own.rows is not None:
@@ -343,18 +346,25 @@ def scored_pairs(pairs: DataFrame, make, k: int, schema: T.StructType, asks=None
 
 def topk_cosine(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dense",
                 left_id: str = "left_id", right_id: str = "right_id", block_rows: int = 2048,
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, right_rows: DataFrame | None = None) -> DataFrame:
     """``(left_id, right_id, score, rank)`` for the k best right rows of
     every left row.
 
-    Ids are keys (unique and not null per side) of any orderable type;
-    ``partitions`` is the number of partitions of left blocks."""
+    Ids are keys (unique and not null per side) of any orderable type.
+    ``right_rows`` is counted for the number of right blocks where the side
+    itself is costly to compute (an upper bound will do); ``partitions`` is
+    the number of partitions of left blocks."""
     make, cols = {"dense": (DenseBlock, ["vec"]), "sparse": (SparseBlock, ["codes", "weights"])}[kind]
     partitions = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = left.select(F.col(left_id).alias("left_id"), *cols)
     alike = one_of_equals(own, cols)
     lefts = packed(alike.withColumnRenamed("first_id", "id"), max(1, block_rows // 2), "l")
-    rights = packed(right.select(F.col(right_id).alias("id"), *cols), block_rows, "r")
+    # one row: the number of right blocks
+    n = (right if right_rows is None else right_rows).agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("n"))
+    layout = F.broadcast(n.select(F.ceil(F.col("n") / block_rows).alias("blocks")))
+    held = right.select(F.col(right_id).alias("id"), *cols).crossJoin(layout)
+    held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks").repartition(partitions, "block")
+    rights = packed(held, 2 * block_rows, "r", by=("block",))
     schema = T.StructType([T.StructField("id", left.schema[left_id].dataType), T.StructField("mark", T.LongType()),
                            T.StructField("right_id", right.schema[right_id].dataType), T.StructField("units", T.LongType())])
     found = scored_pairs(block_pairs(lefts, rights, partitions), make, k, schema)

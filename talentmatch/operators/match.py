@@ -74,7 +74,7 @@ def match_tfidf(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_
     jc = tfidf.term_counts(jobs, job_id, text)
     idf = tfidf.fit_idf(jobs, text)
     sides = [tfidf.coded(tfidf.vectors(c, idf)) for c in (tfidf.term_counts(resumes, resume_id, text), jc)]
-    match = pruned_topk_sparse if pruned else partial(topk_cosine, kind="sparse")
+    match = pruned_topk_sparse if pruned else partial(topk_cosine, kind="sparse", right_rows=jobs)
     out = match(sides[0].withColumnRenamed("id", "l"), sides[1].withColumnRenamed("id", "r"), top_n,
                 left_id="l", right_id="r", **kw)
     return out.select(F.col("l").alias(resume_id), F.col("r").alias(job_id),
