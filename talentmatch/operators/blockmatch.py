@@ -228,7 +228,7 @@ def scored_block(make, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
 
 def to_bytes(rows: pa.Table) -> bytes:
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, rows.schema) as w:
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_table(rows)
     return out.getvalue().to_pybytes()
 
@@ -346,25 +346,19 @@ def scored_pairs(pairs: DataFrame, make, k: int, schema: T.StructType, asks=None
 
 def topk_cosine(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dense",
                 left_id: str = "left_id", right_id: str = "right_id", block_rows: int = 2048,
-                partitions: int | None = None, right_rows: DataFrame | None = None) -> DataFrame:
+                partitions: int | None = None) -> DataFrame:
     """``(left_id, right_id, score, rank)`` for the k best right rows of
     every left row.
 
     Ids are keys (unique and not null per side) of any orderable type.
-    ``right_rows`` is counted for the number of right blocks where the side
-    itself is costly to compute (an upper bound will do); ``partitions`` is
-    the number of partitions of left blocks."""
+    Right rows are packed where they are and only their blocks shuffled.
+    ``partitions`` is the number of partitions of left blocks."""
     make, cols = {"dense": (DenseBlock, ["vec"]), "sparse": (SparseBlock, ["codes", "weights"])}[kind]
     partitions = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = left.select(F.col(left_id).alias("left_id"), *cols)
     alike = one_of_equals(own, cols)
     lefts = packed(alike.withColumnRenamed("first_id", "id"), max(1, block_rows // 2), "l")
-    # one row: the number of right blocks
-    n = (right if right_rows is None else right_rows).agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("n"))
-    layout = F.broadcast(n.select(F.ceil(F.col("n") / block_rows).alias("blocks")))
-    held = right.select(F.col(right_id).alias("id"), *cols).crossJoin(layout)
-    held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks").repartition(partitions, "block")
-    rights = packed(held, 2 * block_rows, "r", by=("block",))
+    rights = packed(right.select(F.col(right_id).alias("id"), *cols), 2 * block_rows, "r")
     schema = T.StructType([T.StructField("id", left.schema[left_id].dataType), T.StructField("mark", T.LongType()),
                            T.StructField("right_id", right.schema[right_id].dataType), T.StructField("units", T.LongType())])
     found = scored_pairs(block_pairs(lefts, rights, partitions), make, k, schema)

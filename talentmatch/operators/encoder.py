@@ -5,14 +5,16 @@ the encoder spans ``A``'s leading right singular vectors, so terms that occur
 together point the same way.  They are found by randomized subspace iteration:
 every term starts with a direction drawn from its hash, and a round is
 
-    Y = A Q      a dense row per job:   entries joined on term, summed by job
-    Z = A' Y     a dense row per term:  entries joined on job, summed by term
+    Y = A Q      a dense row per job
+    Z = A' Y     a dense row per term
     Q = Z W      columns made orthonormal by the eigenvectors of Z'Z
 
-Joins and sums are ordinary DataFrame work with partial aggregation, so a
-term of every job collapses in the map tasks; the driver sees ``Z'Z`` alone, a
-square of ``dim + OVERSAMPLE`` numbers a side.  Each round's ``Z`` and the
-model are written to the shared checkpoint folder, which cuts the lineage.
+Jobs are packed into blocks once.  In a round a task holds its own blocks and
+streams the blocks of ``Q`` past them; ``Y`` stays in the task, ``Z`` leaves it
+as one partial sum per term, so neither the jobs nor ``Y`` are shuffled.  The
+driver sees ``Z'Z`` alone, a square of ``dim + OVERSAMPLE`` numbers a side.
+The blocks, each round's ``Z`` and the model are written to the shared
+checkpoint folder, which cuts the lineage.
 
 A text's vector is the TF-IDF sum of its terms' rows.  Unknown terms add
 nothing, a text without known terms is the zero vector (cosine 0).  The result
@@ -26,31 +28,116 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talentmatch.functions import constants as K
 from talentmatch.operators import tfidf
+from talentmatch.operators.blockmatch import from_bytes, packed
 from talentmatch.operators.match import match_dense, with_text
-from talentmatch.session import scratch_path
+from talentmatch.session import written as _written
 
 DIM = 32
 ROUNDS = 3
 OVERSAMPLE = 8
+_TEXT_ROWS = 2048       # texts in a block
+_MODEL_ROWS = 1 << 14   # terms in a block
 #: Directions with less than this share of the leading one's energy are noise.
 LEAST_SHARE = 1e-14
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _met(texts: DataFrame, rows: DataFrame, columns: list[str], make, schema: T.StructType) -> DataFrame:
+    """Every block of texts beside the model rows of its terms: ``make(blocks,
+    model)`` yields record batches for a task's blocks.  A task holds
+    its own blocks and streams the blocks of ``rows(term, ...)`` past them,
+    keeping the rows of its own terms, so no text is shuffled."""
+    rows = rows.select(F.col("term").alias("id"), *columns)
+    # a term that no text has: with an empty vocabulary every text is still met
+    none = rows.sparkSession.range(1).select(F.lit("").alias("id"), *[F.array().cast(f.dataType) if isinstance(f.dataType, T.ArrayType) else F.lit(0.0).alias(f.name)
+                                                                     for f in rows.schema.fields[1:]])
+    model = packed(rows.unionAll(none), _MODEL_ROWS, "r").repartition(1)
 
+    def met(batches):
+        held, kept, number, table, terms = {}, [], None, None, None
 
-def _summed(entries: DataFrame, rows: DataFrame, on: str, to: str, width: int) -> DataFrame:
-    """``to, v``: the rows of ``rows(on, v)`` weighted by the entries and summed by ``to``."""
-    sums = [F.sum(F.col("weight") * F.col("v")[i]).alias(f"v{i}") for i in range(width)]
-    return entries.join(rows, on).groupBy(to).agg(*sums).select(to, F.array(*[f"v{i}" for i in range(width)]).alias("v"))
+        def keep():
+            kept.append(table.filter(pc.is_in(table["id"], value_set=terms)))
+
+        def own_terms():
+            found = pa.array([], pa.string())
+            for data in held.values():
+                found = pc.unique(pa.concat_arrays([found, _flat(from_bytes(data), "terms")]))
+            return found
+
+        for batch in batches:
+            for r, r_rows, n, n_rows in zip(*batch.columns):
+                if number != r.as_py():
+                    if table is not None:
+                        terms = own_terms() if terms is None else terms
+                        keep()
+                    number, table = r.as_py(), from_bytes(r_rows)
+                if terms is None:  # the first block of the model meets all texts
+                    held[n.as_py()] = n_rows
+        if table is not None:
+            terms = own_terms() if terms is None else terms
+            keep()
+            model = pa.concat_tables(kept).combine_chunks()
+            yield from make((from_bytes(data) for data in held.values()), model)
+
+    return model.hint("shuffle_replicate_nl").crossJoin(texts).mapInArrow(met, schema)
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    return pa.concat_arrays(table[name].chunks or [pa.array([], table.schema.field(name).type)])
+
+
+def _flat(table: pa.Table, name: str) -> pa.Array:
+    return _column(table, name).flatten()
+
+
+def _matrix(model: pa.Table, width: int) -> np.ndarray:
+    return _flat(model, "v").to_numpy(zero_copy_only=False).reshape(len(model), width)
+
+
+def _entries(texts: pa.Table, weights: str, model: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in the model and weight of every entry with a known term."""
+    place = pc.fill_null(pc.index_in(_flat(texts, "terms"), value_set=_column(model, "id")), -1).to_numpy(zero_copy_only=False)
+    size = pc.list_value_length(texts["terms"]).to_numpy(zero_copy_only=False)
+    row, known = np.repeat(np.arange(len(texts)), size), place >= 0
+    weight = _flat(texts, weights).to_numpy(zero_copy_only=False).astype(float)
+    return row[known], place[known], weight[known]
+
+
+def _sums(to: np.ndarray, weight: np.ndarray, rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows: the weighted sums of ``rows[at]`` by ``to``, a column at a time."""
+    return np.stack([np.bincount(to, weight * rows[at, c], n) for c in range(rows.shape[1])], axis=1).astype(float)
+
+
+def _round(texts: DataFrame, q: DataFrame, width: int) -> DataFrame:
+    """``term, v``: A'(A Q), summed in each task first."""
+    def product(blocks, model):
+        v = _matrix(model, width)
+        z, seen = np.zeros(v.shape), np.zeros(len(v), bool)
+        for block in blocks:
+            row, place, weight = _entries(block, "weights", model)
+            y = _sums(row, weight, v, place, len(block))
+            z += _sums(place, weight, y, row, len(v))
+            seen[place] = True
+        at = np.flatnonzero(seen)
+        for part in np.split(at, range(_MODEL_ROWS, len(at), _MODEL_ROWS)):
+            yield pa.RecordBatch.from_pydict({"term": _column(model, "id").take(pa.array(part)), "v": _vectors(z[part])})
+
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
+    sums = [F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(width)]
+    parts = _met(texts, q, ["v"], product, schema)
+    return parts.groupBy("term").agg(*sums).select("term", F.array(*[f"v{i}" for i in range(width)]).alias("v"))
+
+
+def _vectors(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.reshape(-1)))
 
 
 def _gram(rows: DataFrame, width: int) -> np.ndarray:
@@ -98,14 +185,19 @@ class TextEncoder:
 
     def encode(self, docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
         """``(id_col, vec)`` of every document."""
-        counts = tfidf.term_counts(docs, id_col, text_col)
-        # a document without tokens carries a key of its own through the join
-        e = counts.select("id", F.explode_outer("counts").alias("c")).select(
-            "id", F.coalesce("c.term", F.concat(F.lit("\u0000"), F.col("id").cast("string"))).alias("term"), "c.tf")
-        weight = F.col("tf") * F.col("idf")
-        sums = [F.coalesce(F.sum(weight * F.col("v")[i]), F.lit(0.0)).alias(f"v{i}") for i in range(self.dim)]
-        out = e.join(self.model, "term", "left").groupBy("id").agg(*sums)
-        return out.select(F.col("id").alias(id_col), F.array(*[f"v{i}" for i in range(self.dim)]).alias("vec"))
+        # texts of one id are one text; what is shuffled are their counts
+        counts = tfidf.term_counts(docs, id_col, text_col).groupBy("id").agg(F.flatten(F.collect_list("counts")).alias("c"))
+        texts = packed(counts.select("id", F.col("c.term").alias("terms"), F.col("c.tf").alias("tf")), _TEXT_ROWS, "t")
+
+        def product(blocks, model):
+            v, idf = _matrix(model, dim), model["idf"].to_numpy()
+            for block in blocks:
+                row, place, tf = _entries(block, "tf", model)
+                yield pa.RecordBatch.from_pydict({id_col: _column(block, "id"), "vec": _vectors(_sums(row, tf * idf[place], v, place, len(block)))})
+
+        dim = self.dim
+        schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("vec", T.ArrayType(T.DoubleType()))])
+        return _met(texts, self.model, ["idf", "v"], product, schema)
 
     def save(self, path: str) -> None:
         self.model.write.mode("overwrite").parquet(path)
@@ -122,16 +214,14 @@ def fit_encoder(docs: DataFrame, dim: int = DIM, rounds: int = ROUNDS, *, id_col
     docs = with_text(docs, text_col)
     width = dim + OVERSAMPLE
     idf = _written(tfidf.fit_idf(docs, text_col), "encoder-idf")
-    entries = tfidf.weights(tfidf.vectors(tfidf.term_counts(docs, id_col, text_col), idf))
-    entries = _written(entries, "encoder-entries")
+    texts = _written(packed(tfidf.vectors(tfidf.term_counts(docs, id_col, text_col), idf), _TEXT_ROWS, "t"), "encoder-texts")
 
     def start(i: int) -> Column:
         return F.xxhash64("term", F.lit(i)) / F.lit(2.0 ** 63)
 
     q = idf.select("term", F.array(*[start(i) for i in range(width)]).alias("v"))
     for k in range(rounds):
-        y = _summed(entries, q, "term", "id", width)
-        z = _written(_summed(entries, y, "id", "term", width), f"encoder-{k}")
+        z = _written(_round(texts, q, width), f"encoder-{k}")
         q = _turned(z, "term", _orthonormal(_gram(z, width), dim if k == rounds - 1 else width))
     return TextEncoder(_written(idf.join(q, "term"), "encoder-model"), dim)
 
@@ -142,5 +232,5 @@ def match_semantic(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_T
     the jobs unless one is given: ``(resume_id, job_id, match_score, rank)``."""
     jobs = with_text(jobs, text)
     encoder = encoder or fit_encoder(jobs, dim, id_col=job_id, text_col=text)
-    left, right = (_written(encoder.encode(side, i, text), f"encoded-{i}") for side, i in ((resumes, resume_id), (jobs, job_id)))
-    return match_dense(left, right, top_n, resume_id=resume_id, job_id=job_id, **kw)
+    left = _written(encoder.encode(resumes, resume_id, text), f"encoded-{resume_id}")  # read twice
+    return match_dense(left, encoder.encode(jobs, job_id, text), top_n, resume_id=resume_id, job_id=job_id, **kw)

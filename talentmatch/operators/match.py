@@ -13,6 +13,7 @@ from talentmatch.operators import tfidf
 from talentmatch.operators.blockmatch import topk_cosine
 from talentmatch.operators.prunedmatch import pruned_topk_cosine
 from talentmatch.operators.prunedtext import pruned_topk_sparse
+from talentmatch.session import written
 
 
 def _direction(v: Column) -> Column:
@@ -72,9 +73,10 @@ def match_tfidf(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_
     of its best."""
     jobs = with_text(jobs, text)
     jc = tfidf.term_counts(jobs, job_id, text)
-    idf = tfidf.fit_idf(jobs, text)
+    # of known size, so that the planner can join a small vocabulary without shuffling every term of every text
+    idf = written(tfidf.fit_idf(jobs, text), "match-idf")
     sides = [tfidf.coded(tfidf.vectors(c, idf)) for c in (tfidf.term_counts(resumes, resume_id, text), jc)]
-    match = pruned_topk_sparse if pruned else partial(topk_cosine, kind="sparse", right_rows=jobs)
+    match = pruned_topk_sparse if pruned else partial(topk_cosine, kind="sparse")
     out = match(sides[0].withColumnRenamed("id", "l"), sides[1].withColumnRenamed("id", "r"), top_n,
                 left_id="l", right_id="r", **kw)
     return out.select(F.col("l").alias(resume_id), F.col("r").alias(job_id),

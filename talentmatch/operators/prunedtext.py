@@ -35,18 +35,12 @@ from pyspark.sql import types as T
 
 from talentmatch.operators.blockmatch import (UNITS, SparseBlock, _Sparse, block_pairs, one_of_equals, packed, ranked,
                                               scored_block, scored_pairs)
-from talentmatch.session import scratch_path
+from talentmatch.session import written as _written
 
 MOST_BUCKETS = 4096
 _SLACK = 2.0 / UNITS
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _entries(rows: DataFrame, *keep: str) -> DataFrame:
     """A row per entry: ``code, w`` and the kept columns."""
     e = F.explode(F.arrays_zip(F.col("codes").alias("code"), F.col("weights").alias("w")))

@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from talentmatch.operators import blockmatch as B
+from talentmatch.operators import encoder as E
 from talentmatch.operators import prunedtext as P
-from talentmatch.operators.match import match_dense
+from talentmatch.operators import tfidf
+from talentmatch.operators.match import match_dense, match_tfidf
 
 
 def plan_of(df):
@@ -40,6 +42,32 @@ def test_equal_vectors_are_scored_once_and_all_answered(spark):
     assert B.one_of_equals(left.withColumnRenamed("l", "left_id"), ["vec"]).count() == 4
 
 
+def test_vocabulary_is_joined_without_shuffling_terms(spark):
+    texts = spark.createDataFrame([(i, f"spark job{i} engineer") for i in range(20)], "id long, text string")
+    found = match_tfidf(texts.withColumnRenamed("id", "resume_id"), texts.withColumnRenamed("id", "job_id"), 3)
+    plan = plan_of(found)
+    assert "SortMergeJoin" not in plan.split("ObjectHashAggregate")[-1] and "BroadcastHashJoin" in plan.split("ObjectHashAggregate")[-1]
+    assert "hashpartitioning(block" not in plan  # right rows travel as blocks alone
+    assert {(r.resume_id, r.job_id) for r in found.where("rank = 1").collect()} == {(i, i) for i in range(20)}
+
+
+def test_blocks_travel_compressed():
+    rows = pa.table({"id": list(range(2000)), "weights": [[0.1, 0.7, 0.3]] * 2000})
+    data = B.to_bytes(rows)
+    assert len(data) < rows.nbytes / 4 and B.from_bytes(pa.scalar(data)).equals(rows)
+
+
+def test_rounds_of_the_encoder_shuffle_no_text(spark):
+    texts = spark.createDataFrame([(i, f"spark job{i % 3} engineer") for i in range(20)] + [(3, "spark"), (30, None)], "id long, text string")
+    enc = E.fit_encoder(texts, 2, id_col="id")
+    assert "CartesianProduct" in plan_of(enc.encode(texts))
+    blocks = B.packed(tfidf.vectors(tfidf.term_counts(texts, "id", "text"), tfidf.fit_idf(texts)), 4, "t").localCheckpoint()
+    plan = plan_of(E._round(blocks, enc.model.select("term", "v"), 2))
+    assert "CartesianProduct" in plan and "hashpartitioning(id" not in plan
+    vec = {r.id: r.vec for r in enc.encode(texts).collect()}
+    assert len(vec) == 21 and vec[30] == [0.0, 0.0] and vec[3] != vec[0]  # texts of one id are summed
+
+
 def test_blocks_keep_their_key_and_size(spark):
     df = spark.range(100).select("id", (F.col("id") % 3).alias("cell")).repartition(4, "cell")
     tables = [B.from_bytes(pa.scalar(bytes(r.r_rows), pa.binary())) for r in B.packed(df, 10, "r", by=("cell",)).collect()]
