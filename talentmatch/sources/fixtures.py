@@ -88,7 +88,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over its base table, whose rows are dealt out over all tasks
     before texts, pages and files are made of them."""
     sql, base = VIEWS[name]
-    return spark.sql(sql, **{base: dealt(table(spark, sf_dir, base))})
+    rows = table(spark, sf_dir, base)
+    return spark.sql(sql, **{base: dealt(rows.select(*[c for c in rows.columns if c in sql]))})
 
 
 def view_sql(name: str) -> str:

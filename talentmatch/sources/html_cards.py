@@ -11,11 +11,13 @@ where it was read, one search per container kind and per selector.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentmatch.functions import constants as K
-from talentmatch.functions.text import decode_entities, element_text
+from talentmatch.functions.text import decode_entities, element_text, py_strip
 from talentmatch.session import spread
 
 
@@ -48,7 +50,7 @@ def _closed(segment: Column, tag: str) -> Column:
     parts = F.split(segment, any_tag(tag), -1)
     folded = F.array_join(F.slice(parts, 1, F.when(end["depth"] == 0, end["pieces"]).otherwise(F.size(parts))), "")
     # without another opening tag the first closing one ends it: no need to count
-    first = F.get(F.split(segment, rf"</(?i:{tag})(?:\s[^>]*)?>", 2), 0)
+    first = F.regexp_replace(segment, rf"(?s)</(?i:{tag})(?:\s[^>]*)?>.*", "")
     return F.when(segment.rlike(rf"<(?i:{tag})(?:\s[^>]*)?>"), folded).otherwise(first)
 
 
@@ -56,21 +58,29 @@ def _closer(tag: str):
     return lambda segment: _closed(segment, tag)
 
 
-def _first_present(card: Column, selectors, default: str) -> Column:
+def _first_match(card: Column, selectors, pattern, group: int) -> Column:
+    """What the first selector present in the card matches, else null; a
+    card without the selector's class word is not searched."""
     found = []
     for tag, token in selectors:
-        pattern = element(tag, token)
-        found.append(element_text(F.regexp_extract(F.regexp_substr(card, F.lit(pattern)), pattern, 1)))
-    return F.coalesce(*found, F.lit(default))
+        match = F.get(F.regexp_extract_all(card, F.lit(pattern(tag, token)), F.lit(group)), F.lit(0))
+        plain = token is not None and re.fullmatch(r"[\w-]+", token, re.ASCII)
+        found.append(F.when(F.contains(card, F.lit(token)), match) if plain else match)
+    return F.coalesce(*found)
+
+
+def _text(inner: Column, default: str) -> Column:
+    """:func:`element_text`, in full only where there is markup or an entity."""
+    marked = F.contains(inner, F.lit("<")) | F.contains(inner, F.lit("&"))
+    return F.coalesce(F.when(marked, element_text(inner)).otherwise(py_strip(inner)), F.lit(default))
 
 
 _HREF = r"""\s(?i:href)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
 
-def _link(card: Column, selectors):
-    """(link, dropped): the first link element's href cut at '?', '#' when
-    no link element exists; a link element without href drops the card."""
-    opening = F.coalesce(*[F.regexp_substr(card, F.lit(open_tag(tag, token))) for tag, token in selectors])
+def _link(opening: Column):
+    """(link, dropped) of a link element's opening tag: its href cut at '?',
+    '#' when no link element exists; one without href drops the card."""
     href = F.concat(F.regexp_extract(opening, _HREF, 1), F.regexp_extract(opening, _HREF, 2))
     link = F.coalesce(F.split_part(decode_entities(href), F.lit("?"), F.lit(1)), F.lit(K.MISSING_LINK))
     return link, F.coalesce(~opening.rlike(_HREF), F.lit(False))
@@ -87,7 +97,7 @@ def extract_cards(pages: DataFrame, *, page_id: str = "page_id", html: str = "ht
     for k, (tag, token) in enumerate(containers):
         present = h.rlike(open_tag(tag, token))
         kind = F.when(present, k) if kind is None else kind.when(present, k)
-    found = spread(pages).select(F.col(page_id).alias("page_id"), h, kind.alias("kind")).where("kind is not null")
+    found = spread(pages).select(F.col(page_id).alias("page_id"), h, kind.alias("kind"))
     # cards are cut before they are exploded, so that no later step computes them again
     cut = None
     for k, (tag, token) in enumerate(containers):
@@ -95,10 +105,15 @@ def extract_cards(pages: DataFrame, *, page_id: str = "page_id", html: str = "ht
         own = F.transform(segments, _closer(tag))
         cut = F.when(F.col("kind") == k, own) if cut is None else cut.when(F.col("kind") == k, own)
     cards = found.select("page_id", F.posexplode(cut).alias("card_no", "card")).withColumn("card_no", F.col("card_no").cast("int"))
+    # the opening tag is a generated column, so that the filter on it does not search the card again
     c = F.col("card")
-    href, dropped = _link(c, link)
-    return (cards.where(~dropped).select(
-        "page_id", "card_no", _first_present(c, title, K.MISSING_TITLE).alias("title"),
-        _first_present(c, company, K.MISSING_COMPANY).alias("company"),
-        _first_present(c, location, K.MISSING_LOCATION).alias("location"), href.alias("link"),
-        F.lit(K.SOURCE_HTML).alias("source"), F.to_date(F.lit(scrape_date)).alias("date_scraped")))
+    cards = cards.select("page_id", "card_no", "card", F.explode(F.array(_first_match(c, link, open_tag, 0))).alias("opening"))
+    href, dropped = _link(F.col("opening"))
+    fields = cards.where(~dropped).select(
+        "page_id", "card_no", href.alias("link"), *[_first_match(c, selectors, element, 1).alias(n) for n, selectors in
+                                                    (("title", title), ("company", company), ("location", location))])
+    return fields.select(
+        "page_id", "card_no", _text(F.col("title"), K.MISSING_TITLE).alias("title"),
+        _text(F.col("company"), K.MISSING_COMPANY).alias("company"),
+        _text(F.col("location"), K.MISSING_LOCATION).alias("location"), "link",
+        F.lit(K.SOURCE_HTML).alias("source"), F.to_date(F.lit(scrape_date)).alias("date_scraped"))

@@ -89,6 +89,24 @@ def test_views_of_one_split_are_dealt_out(spark, small_sf):
         assert FX.view(spark, small_sf, name).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_filters_stay_after_the_dealing(spark, small_sf):
+    from talentmatch.sources import fixtures as FX
+    from talentmatch.sources.html_cards import extract_cards
+    for df in (extract_cards(FX.pages_jobs(spark, small_sf)), FX.resumes_raw(spark, small_sf).where(F.length("text") > 3)):
+        before = plan_of(df).split("RoundRobinPartitioning")[-1]
+        assert "rlike" not in before.lower() and "length(" not in before and "concat(" not in before
+
+
+def test_card_fields_of_odd_markup(spark):
+    from talentmatch.sources.html_cards import extract_cards
+    card = ('<h3 class="base-search-card__title"></h3><h3 CLASS=\'x job-card-search__title\'>second</h3><h3 class="base-search-card__title">third</h3>'
+            "<h4 class='base-search-card__subtitle'> a &lt;b&gt; <i>c</i>\u00a0</h4>base-card__full-link job-search-card__location")
+    html = f'<div class="base-card">{card}</div><p><div class="base-card"><a class="base-card__full-link">x</a></div><div class="base-card">cut'
+    rows = extract_cards(spark.createDataFrame([(1, html), (2, None), (3, "none")], "page_id long, html string")).orderBy("card_no").collect()
+    assert [(r.page_id, r.card_no, r.title, r.company, r.location, r.link) for r in rows] == [
+        (1, 0, "", "a <b> c", "Remote", "#"), (1, 2, "N/A", "N/A", "Remote", "#")]
+
+
 def test_many_files_are_few_folders_and_tasks(spark, tmp_path):
     from talentmatch.sources import resume_files as RF
     texts = spark.createDataFrame([(i, f"text {i}\nline") for i in range(300)] + [(7, "zz"), (500, None)], "resume_id long, text string")
