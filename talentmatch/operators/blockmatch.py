@@ -277,6 +277,27 @@ def packed(df: DataFrame, rows: int, name: str, by: tuple[str, ...] = ()) -> Dat
     return df.sortWithinPartitions(*by, "id").mapInArrow(pack, f"{name} long, {name}_rows binary")
 
 
+def packed_by_block(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """As :func:`packed`, each block holding one value of ``block``; rows that
+    are partitioned by it already stay where they are."""
+    def pack(own: pa.Table) -> pa.Table:
+        first, own = own["block"][0].as_py() << 32, own.drop_columns(["block"]).sort_by("id")
+        parts = [own.slice(at, rows).combine_chunks() for at in range(0, len(own), rows)]
+        return pa.table({name: pa.array(range(first, first + len(parts)), pa.int64()),
+                         f"{name}_rows": pa.array([to_bytes(p) for p in parts], pa.binary())})
+
+    return df.groupBy("block").applyInArrow(pack, f"{name} long, {name}_rows binary")
+
+
+def by_block(df: DataFrame, rows: DataFrame, block_rows: int = 2048, partitions: int | None = None) -> DataFrame:
+    """``df(id, ...)`` with a ``block`` by the id's hash, partitioned by it;
+    ``rows`` is counted for the number of blocks."""
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = rows.agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("n"))
+    layout = F.broadcast(n.select(F.ceil(F.col("n") / block_rows).alias("blocks")))  # one row
+    return df.crossJoin(layout).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks").repartition(partitions, "block")
+
+
 def block_pairs(lefts: DataFrame, rights: DataFrame, partitions: int) -> DataFrame:
     """Every right block beside every left block of a task, right ones first.
     Only the left blocks of a task (one partition of them) are held at once."""
@@ -351,14 +372,16 @@ def topk_cosine(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dense
     every left row.
 
     Ids are keys (unique and not null per side) of any orderable type.
-    Right rows are packed where they are and only their blocks shuffled.
+    Right rows are packed where they are, or by a column ``block`` where they
+    have one (:func:`by_block`), and their blocks shuffled.
     ``partitions`` is the number of partitions of left blocks."""
     make, cols = {"dense": (DenseBlock, ["vec"]), "sparse": (SparseBlock, ["codes", "weights"])}[kind]
     partitions = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = left.select(F.col(left_id).alias("left_id"), *cols)
     alike = one_of_equals(own, cols)
     lefts = packed(alike.withColumnRenamed("first_id", "id"), max(1, block_rows // 2), "l")
-    rights = packed(right.select(F.col(right_id).alias("id"), *cols), 2 * block_rows, "r")
+    pack, own_block = (packed_by_block, ["block"]) if "block" in right.columns else (packed, [])
+    rights = pack(right.select(F.col(right_id).alias("id"), *cols, *own_block), 2 * block_rows, "r")
     schema = T.StructType([T.StructField("id", left.schema[left_id].dataType), T.StructField("mark", T.LongType()),
                            T.StructField("right_id", right.schema[right_id].dataType), T.StructField("units", T.LongType())])
     found = scored_pairs(block_pairs(lefts, rights, partitions), make, k, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from talentmatch.functions import constants as K
 from talentmatch.functions.text import is_blank
 from talentmatch.operators import tfidf
-from talentmatch.operators.blockmatch import topk_cosine
+from talentmatch.operators.blockmatch import by_block, topk_cosine
 from talentmatch.operators.prunedmatch import pruned_topk_cosine
 from talentmatch.operators.prunedtext import pruned_topk_sparse
 from talentmatch.session import written
@@ -75,6 +75,8 @@ def match_tfidf(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_
     jc = tfidf.term_counts(jobs, job_id, text)
     # of known size, so that the planner can join a small vocabulary without shuffling every term of every text
     idf = written(tfidf.fit_idf(jobs, text), "match-idf")
+    if not pruned:  # a job's terms are gathered where its block is packed
+        jc = by_block(jc, jobs, **kw)
     sides = [tfidf.coded(tfidf.vectors(c, idf)) for c in (tfidf.term_counts(resumes, resume_id, text), jc)]
     match = pruned_topk_sparse if pruned else partial(topk_cosine, kind="sparse")
     out = match(sides[0].withColumnRenamed("id", "l"), sides[1].withColumnRenamed("id", "r"), top_n,

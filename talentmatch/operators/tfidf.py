@@ -58,15 +58,18 @@ def vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
     one per document (empty when it has no term of the vocabulary).
 
     A document without tokens carries a key of its own through the join, so
-    such rows do not gather under one null key."""
-    e = counts.select("id", F.explode_outer("counts").alias("c")).select(
-        "id", "c.term", "c.tf", F.coalesce("c.term", F.concat(F.lit("\u0000"), F.col("id").cast("string"))).alias("key"))
+    such rows do not gather under one null key.  Other columns than these are
+    functions of the id and kept: rows partitioned by them are not shuffled
+    by id where the planner broadcasts the vocabulary."""
+    own = ["id", *[c for c in counts.columns if c not in ("id", "counts")]]
+    e = counts.select(*own, F.explode_outer("counts").alias("c")).select(
+        *own, "c.term", "c.tf", F.coalesce("c.term", F.concat(F.lit("\u0000"), F.col("id").cast("string"))).alias("key"))
     known = e.join(idf.select(F.col("term").alias("key"), "idf"), "key", "left").select(
-        "id", F.when(F.col("idf").isNotNull(), F.struct("term", (F.col("tf") * F.col("idf")).alias("w"))).alias("e"))
-    packed = known.groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("e"))  # one document's own vocabulary
+        *own, F.when(F.col("idf").isNotNull(), F.struct("term", (F.col("tf") * F.col("idf")).alias("w"))).alias("e"))
+    packed = known.groupBy(*own).agg(F.sort_array(F.collect_list("e")).alias("e"))  # one document's own vocabulary
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    packed = packed.select("id", "e", norm.alias("norm"))
-    return packed.select("id", F.col("e.term").alias("terms"), F.transform(
+    packed = packed.select(*own, "e", norm.alias("norm"))
+    return packed.select(*own, F.col("e.term").alias("terms"), F.transform(
         "e", lambda x: F.when(F.col("norm") > 0, x["w"] / F.col("norm")).otherwise(F.lit(0.0))).alias("weights"))
 
 
@@ -78,4 +81,4 @@ def weights(vectors_: DataFrame) -> DataFrame:
 
 def coded(vectors_: DataFrame) -> DataFrame:
     """Vectors with terms as 64-bit hashes: ``(id, codes, weights)``."""
-    return vectors_.select("id", F.transform("terms", lambda t: F.xxhash64(t)).alias("codes"), "weights")
+    return vectors_.select(*[c for c in vectors_.columns if c not in ("terms", "weights")], F.transform("terms", lambda t: F.xxhash64(t)).alias("codes"), "weights")
