@@ -277,18 +277,6 @@ def packed(df: DataFrame, rows: int, name: str, by: tuple[str, ...] = ()) -> Dat
     return df.sortWithinPartitions(*by, "id").mapInArrow(pack, f"{name} long, {name}_rows binary")
 
 
-def packed_by_block(df: DataFrame, rows: int, name: str) -> DataFrame:
-    """As :func:`packed`, each block holding one value of ``block``; rows that
-    are partitioned by it already stay where they are."""
-    def pack(own: pa.Table) -> pa.Table:
-        first, own = own["block"][0].as_py() << 32, own.drop_columns(["block"]).sort_by("id")
-        parts = [own.slice(at, rows).combine_chunks() for at in range(0, len(own), rows)]
-        return pa.table({name: pa.array(range(first, first + len(parts)), pa.int64()),
-                         f"{name}_rows": pa.array([to_bytes(p) for p in parts], pa.binary())})
-
-    return df.groupBy("block").applyInArrow(pack, f"{name} long, {name}_rows binary")
-
-
 def by_block(df: DataFrame, rows: DataFrame, block_rows: int = 2048, partitions: int | None = None) -> DataFrame:
     """``df(id, ...)`` with a ``block`` by the id's hash, partitioned by it;
     ``rows`` is counted for the number of blocks."""
@@ -380,8 +368,8 @@ def topk_cosine(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dense
     own = left.select(F.col(left_id).alias("left_id"), *cols)
     alike = one_of_equals(own, cols)
     lefts = packed(alike.withColumnRenamed("first_id", "id"), max(1, block_rows // 2), "l")
-    pack, own_block = (packed_by_block, ["block"]) if "block" in right.columns else (packed, [])
-    rights = pack(right.select(F.col(right_id).alias("id"), *cols, *own_block), 2 * block_rows, "r")
+    by = [c for c in ("block",) if c in right.columns]
+    rights = packed(right.select(F.col(right_id).alias("id"), *cols, *by), 2 * block_rows, "r", by=tuple(by))
     schema = T.StructType([T.StructField("id", left.schema[left_id].dataType), T.StructField("mark", T.LongType()),
                            T.StructField("right_id", right.schema[right_id].dataType), T.StructField("units", T.LongType())])
     found = scored_pairs(block_pairs(lefts, rights, partitions), make, k, schema)

@@ -29,86 +29,26 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talentmatch.functions import constants as K
 from talentmatch.operators import tfidf
-from talentmatch.operators.blockmatch import from_bytes, packed
+from talentmatch.operators.blockmatch import packed
 from talentmatch.operators.match import match_dense, with_text
+from talentmatch.operators.termblocks import MODEL_ROWS, TEXT_ROWS, column, entries, flat, met
 from talentmatch.session import written as _written
 
 DIM = 32
 ROUNDS = 3
 OVERSAMPLE = 8
-_TEXT_ROWS = 2048       # texts in a block
-_MODEL_ROWS = 1 << 14   # terms in a block
 #: Directions with less than this share of the leading one's energy are noise.
 LEAST_SHARE = 1e-14
 
 
-def _met(texts: DataFrame, rows: DataFrame, columns: list[str], make, schema: T.StructType) -> DataFrame:
-    """Every block of texts beside the model rows of its terms: ``make(blocks,
-    model)`` yields record batches for a task's blocks.  A task holds
-    its own blocks and streams the blocks of ``rows(term, ...)`` past them,
-    keeping the rows of its own terms, so no text is shuffled."""
-    rows = rows.select(F.col("term").alias("id"), *columns)
-    # a term that no text has: with an empty vocabulary every text is still met
-    none = rows.sparkSession.range(1).select(F.lit("").alias("id"), *[F.array().cast(f.dataType) if isinstance(f.dataType, T.ArrayType) else F.lit(0.0).alias(f.name)
-                                                                     for f in rows.schema.fields[1:]])
-    model = packed(rows.unionAll(none), _MODEL_ROWS, "r").repartition(1)
-
-    def met(batches):
-        held, kept, number, table, terms = {}, [], None, None, None
-
-        def keep():
-            kept.append(table.filter(pc.is_in(table["id"], value_set=terms)))
-
-        def own_terms():
-            found = pa.array([], pa.string())
-            for data in held.values():
-                found = pc.unique(pa.concat_arrays([found, _flat(from_bytes(data), "terms")]))
-            return found
-
-        for batch in batches:
-            for r, r_rows, n, n_rows in zip(*batch.columns):
-                if number != r.as_py():
-                    if table is not None:
-                        terms = own_terms() if terms is None else terms
-                        keep()
-                    number, table = r.as_py(), from_bytes(r_rows)
-                if terms is None:  # the first block of the model meets all texts
-                    held[n.as_py()] = n_rows
-        if table is not None:
-            terms = own_terms() if terms is None else terms
-            keep()
-            model = pa.concat_tables(kept).combine_chunks()
-            yield from make((from_bytes(data) for data in held.values()), model)
-
-    return model.hint("shuffle_replicate_nl").crossJoin(texts).mapInArrow(met, schema)
-
-
-def _column(table: pa.Table, name: str) -> pa.Array:
-    return pa.concat_arrays(table[name].chunks or [pa.array([], table.schema.field(name).type)])
-
-
-def _flat(table: pa.Table, name: str) -> pa.Array:
-    return _column(table, name).flatten()
-
-
 def _matrix(model: pa.Table, width: int) -> np.ndarray:
-    return _flat(model, "v").to_numpy(zero_copy_only=False).reshape(len(model), width)
-
-
-def _entries(texts: pa.Table, weights: str, model: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place in the model and weight of every entry with a known term."""
-    place = pc.fill_null(pc.index_in(_flat(texts, "terms"), value_set=_column(model, "id")), -1).to_numpy(zero_copy_only=False)
-    size = pc.list_value_length(texts["terms"]).to_numpy(zero_copy_only=False)
-    row, known = np.repeat(np.arange(len(texts)), size), place >= 0
-    weight = _flat(texts, weights).to_numpy(zero_copy_only=False).astype(float)
-    return row[known], place[known], weight[known]
+    return flat(model, "v").to_numpy(zero_copy_only=False).reshape(len(model), width)
 
 
 def _sums(to: np.ndarray, weight: np.ndarray, rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -122,17 +62,17 @@ def _round(texts: DataFrame, q: DataFrame, width: int) -> DataFrame:
         v = _matrix(model, width)
         z, seen = np.zeros(v.shape), np.zeros(len(v), bool)
         for block in blocks:
-            row, place, weight = _entries(block, "weights", model)
+            row, place, weight = entries(block, "weights", model)
             y = _sums(row, weight, v, place, len(block))
             z += _sums(place, weight, y, row, len(v))
             seen[place] = True
         at = np.flatnonzero(seen)
-        for part in np.split(at, range(_MODEL_ROWS, len(at), _MODEL_ROWS)):
-            yield pa.RecordBatch.from_pydict({"term": _column(model, "id").take(pa.array(part)), "v": _vectors(z[part])})
+        for part in np.split(at, range(MODEL_ROWS, len(at), MODEL_ROWS)):
+            yield pa.RecordBatch.from_pydict({"term": column(model, "id").take(pa.array(part)), "v": _vectors(z[part])})
 
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
     sums = [F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(width)]
-    parts = _met(texts, q, ["v"], product, schema)
+    parts = met(texts, q, ["v"], product, schema)
     return parts.groupBy("term").agg(*sums).select("term", F.array(*[f"v{i}" for i in range(width)]).alias("v"))
 
 
@@ -187,17 +127,17 @@ class TextEncoder:
         """``(id_col, vec)`` of every document."""
         # texts of one id are one text; what is shuffled are their counts
         counts = tfidf.term_counts(docs, id_col, text_col).groupBy("id").agg(F.flatten(F.collect_list("counts")).alias("c"))
-        texts = packed(counts.select("id", F.col("c.term").alias("terms"), F.col("c.tf").alias("tf")), _TEXT_ROWS, "t")
+        texts = packed(counts.select("id", F.col("c.term").alias("terms"), F.col("c.tf").alias("tf")), TEXT_ROWS, "t")
 
         def product(blocks, model):
             v, idf = _matrix(model, dim), model["idf"].to_numpy()
             for block in blocks:
-                row, place, tf = _entries(block, "tf", model)
-                yield pa.RecordBatch.from_pydict({id_col: _column(block, "id"), "vec": _vectors(_sums(row, tf * idf[place], v, place, len(block)))})
+                row, place, tf = entries(block, "tf", model)
+                yield pa.RecordBatch.from_pydict({id_col: column(block, "id"), "vec": _vectors(_sums(row, tf * idf[place], v, place, len(block)))})
 
         dim = self.dim
         schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("vec", T.ArrayType(T.DoubleType()))])
-        return _met(texts, self.model, ["idf", "v"], product, schema)
+        return met(texts, self.model, ["idf", "v"], product, schema)
 
     def save(self, path: str) -> None:
         self.model.write.mode("overwrite").parquet(path)
@@ -214,7 +154,7 @@ def fit_encoder(docs: DataFrame, dim: int = DIM, rounds: int = ROUNDS, *, id_col
     docs = with_text(docs, text_col)
     width = dim + OVERSAMPLE
     idf = _written(tfidf.fit_idf(docs, text_col), "encoder-idf")
-    texts = _written(packed(tfidf.vectors(tfidf.term_counts(docs, id_col, text_col), idf), _TEXT_ROWS, "t"), "encoder-texts")
+    texts = _written(packed(tfidf.vectors(tfidf.term_counts(docs, id_col, text_col), idf), TEXT_ROWS, "t"), "encoder-texts")
 
     def start(i: int) -> Column:
         return F.xxhash64("term", F.lit(i)) / F.lit(2.0 ** 63)

@@ -13,7 +13,6 @@ from talentmatch.operators import tfidf
 from talentmatch.operators.blockmatch import by_block, topk_cosine
 from talentmatch.operators.prunedmatch import pruned_topk_cosine
 from talentmatch.operators.prunedtext import pruned_topk_sparse
-from talentmatch.session import written
 
 
 def _direction(v: Column) -> Column:
@@ -73,11 +72,12 @@ def match_tfidf(resumes: DataFrame, jobs: DataFrame, top_n: int = K.DEFAULT_TOP_
     of its best."""
     jobs = with_text(jobs, text)
     jc = tfidf.term_counts(jobs, job_id, text)
-    # of known size, so that the planner can join a small vocabulary without shuffling every term of every text
-    idf = written(tfidf.fit_idf(jobs, text), "match-idf")
-    if not pruned:  # a job's terms are gathered where its block is packed
-        jc = by_block(jc, jobs, **kw)
-    sides = [tfidf.coded(tfidf.vectors(c, idf)) for c in (tfidf.term_counts(resumes, resume_id, text), jc)]
+    idf = tfidf.fit_idf(jobs, text)
+    rc = tfidf.term_counts(resumes, resume_id, text)
+    if pruned:
+        sides = [tfidf.coded(tfidf.vectors(c, idf)) for c in (rc, jc)]
+    else:  # a job's terms are gathered where its block is packed
+        sides = [tfidf.coded_vectors(c, idf) for c in (rc, by_block(jc, jobs, **kw))]
     match = pruned_topk_sparse if pruned else partial(topk_cosine, kind="sparse")
     out = match(sides[0].withColumnRenamed("id", "l"), sides[1].withColumnRenamed("id", "r"), top_n,
                 left_id="l", right_id="r", **kw)

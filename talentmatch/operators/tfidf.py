@@ -16,9 +16,14 @@ else a sort-merge join whose hot-term partitions AQE splits); one
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from talentmatch.operators.blockmatch import packed
+from talentmatch.operators.termblocks import TEXT_ROWS, column, entries, met
 from talentmatch.session import spread
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -58,18 +63,15 @@ def vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
     one per document (empty when it has no term of the vocabulary).
 
     A document without tokens carries a key of its own through the join, so
-    such rows do not gather under one null key.  Other columns than these are
-    functions of the id and kept: rows partitioned by them are not shuffled
-    by id where the planner broadcasts the vocabulary."""
-    own = ["id", *[c for c in counts.columns if c not in ("id", "counts")]]
-    e = counts.select(*own, F.explode_outer("counts").alias("c")).select(
-        *own, "c.term", "c.tf", F.coalesce("c.term", F.concat(F.lit("\u0000"), F.col("id").cast("string"))).alias("key"))
+    such rows do not gather under one null key."""
+    e = counts.select("id", F.explode_outer("counts").alias("c")).select(
+        "id", "c.term", "c.tf", F.coalesce("c.term", F.concat(F.lit("\u0000"), F.col("id").cast("string"))).alias("key"))
     known = e.join(idf.select(F.col("term").alias("key"), "idf"), "key", "left").select(
-        *own, F.when(F.col("idf").isNotNull(), F.struct("term", (F.col("tf") * F.col("idf")).alias("w"))).alias("e"))
-    packed = known.groupBy(*own).agg(F.sort_array(F.collect_list("e")).alias("e"))  # one document's own vocabulary
+        "id", F.when(F.col("idf").isNotNull(), F.struct("term", (F.col("tf") * F.col("idf")).alias("w"))).alias("e"))
+    packed = known.groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("e"))  # one document's own vocabulary
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    packed = packed.select(*own, "e", norm.alias("norm"))
-    return packed.select(*own, F.col("e.term").alias("terms"), F.transform(
+    packed = packed.select("id", "e", norm.alias("norm"))
+    return packed.select("id", F.col("e.term").alias("terms"), F.transform(
         "e", lambda x: F.when(F.col("norm") > 0, x["w"] / F.col("norm")).otherwise(F.lit(0.0))).alias("weights"))
 
 
@@ -81,4 +83,28 @@ def weights(vectors_: DataFrame) -> DataFrame:
 
 def coded(vectors_: DataFrame) -> DataFrame:
     """Vectors with terms as 64-bit hashes: ``(id, codes, weights)``."""
-    return vectors_.select(*[c for c in vectors_.columns if c not in ("terms", "weights")], F.transform("terms", lambda t: F.xxhash64(t)).alias("codes"), "weights")
+    return vectors_.select("id", F.transform("terms", lambda t: F.xxhash64(t)).alias("codes"), "weights")
+
+
+def coded_vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """The rows of ``coded(vectors(counts, idf))``, with the other columns of
+    ``counts`` (functions of the id): the vocabulary streams past blocks of
+    texts, so terms are not shuffled, nor texts partitioned by such a column."""
+    own = ["id", *[c for c in counts.columns if c not in ("id", "counts")]]
+    # texts of one id are one text
+    c = counts.groupBy(*own).agg(F.array_sort(F.flatten(F.collect_list("counts"))).alias("c"))
+    texts = packed(c.select(*own, F.col("c.term").alias("terms"), F.col("c.tf").alias("tf")), TEXT_ROWS, "t")
+
+    def weighted(blocks, model):
+        code, idf_ = model["code"].to_numpy(), model["idf"].to_numpy()
+        for block in blocks:
+            row, place, tf = entries(block, "tf", model)
+            w = tf * idf_[place]
+            norm = np.sqrt(np.bincount(row, w * w, len(block)))[row]
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(block)))]), pa.int32())
+            yield pa.RecordBatch.from_pydict({c: column(block, c) for c in own} | {
+                "codes": pa.ListArray.from_arrays(ends, pa.array(code[place], pa.int64())),
+                "weights": pa.ListArray.from_arrays(ends, pa.array(np.where(norm > 0, w / np.where(norm > 0, norm, 1), 0.0), pa.float64()))})
+
+    schema = T.StructType([counts.schema[c] for c in own] + [T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    return met(texts, idf.withColumn("code", F.xxhash64("term")), ["code", "idf"], weighted, schema)
