@@ -120,6 +120,39 @@ def test_many_files_are_few_folders_and_tasks(spark, tmp_path):
     assert files.rdd.getNumPartitions() <= 2 * 4 * max(8, spark.sparkContext.defaultParallelism)
 
 
+def test_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver holds no list of a folder's files; rows are those of Spark's own reader."""
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from talentmatch.sources import resume_files as RF
+    names = ["a b.txt", "p%20q.txt", "é.TXT", "c.exe", "_k=v.txt", "s/deep/er/z.txt", "s/q.txt.gz", "s/h#a?b.txt", "s/[1].txt", "s/nl\nx.txt",
+             "_metadata_dir/x.txt", *(f"many/{i}.txt" for i in range(40))]
+    passed_over = ["_hid.txt", ".dot.txt", "x.txt._COPYING_", "_metadata.txt", "_h/x.txt", ".h/x.txt", "zz._COPYING_/x.txt"]
+    for name in names + passed_over:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "s" / "empty.txt").touch()
+    (tmp_path / "s" / "broken.txt").symlink_to(tmp_path / "none")
+    (tmp_path / "s" / "loop").symlink_to(tmp_path / "s" / "loop")
+    monkeypatch.setattr(RF, "_BATCH_ROWS", 3)
+    monkeypatch.setattr(RF, "_BATCH_BYTES", 20)
+    files = RF.read_resume_files(spark, str(tmp_path))
+    assert not files.inputFiles()
+    got = {(r.path, r.file, r.length): r.text for r in files.collect()}
+    assert got == {(f"file:{tmp_path}/{x}", x.split("/")[-1], len(x.encode())): x if x.lower().endswith(".txt") else None for x in names}
+    spark_s = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path", "length")
+    assert {(p, n) for p, _, n in got} == {tuple(r) for r in spark_s.collect()}
+    # what tasks do not list goes to Spark's reader
+    for path, n in ((f"{tmp_path}/man*", 40), (f"{tmp_path}/a b.txt", 1)):
+        assert len(RF.read_resume_files(spark, path).inputFiles()) == n == RF.read_resume_files(spark, path).count()
+    assert {r.file for r in RF.read_resume_files(spark, str(tmp_path / "s"), recursive=False).collect()} == {"q.txt.gz", "h#a?b.txt", "[1].txt", "nl\nx.txt"}
+    with pytest.raises(AnalysisException):
+        RF.read_resume_files(spark, str(tmp_path / "none"))
+    (tmp_path / "nothing").mkdir()
+    assert RF.read_resume_files(spark, str(tmp_path / "nothing")).count() == 0
+
+
 def test_a_landing_is_not_kept_in_memory(spark, tmp_path, monkeypatch):
     from pyspark.sql import DataFrame
 
