@@ -135,11 +135,10 @@ def test_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
     (tmp_path / "s" / "empty.txt").touch()
     (tmp_path / "s" / "broken.txt").symlink_to(tmp_path / "none")
     (tmp_path / "s" / "loop").symlink_to(tmp_path / "s" / "loop")
+    assert not RF.read_resume_files(spark, str(tmp_path)).inputFiles()
     monkeypatch.setattr(RF, "_BATCH_ROWS", 3)
     monkeypatch.setattr(RF, "_BATCH_BYTES", 20)
-    files = RF.read_resume_files(spark, str(tmp_path))
-    assert not files.inputFiles()
-    got = {(r.path, r.file, r.length): r.text for r in files.collect()}
+    got = {(r.path, r.file, r.length): r.text for r in RF.read_resume_files(spark, str(tmp_path)).collect()}
     assert got == {(f"file:{tmp_path}/{x}", x.split("/")[-1], len(x.encode())): x if x.lower().endswith(".txt") else None for x in names}
     spark_s = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path", "length")
     assert {(p, n) for p, _, n in got} == {tuple(r) for r in spark_s.collect()}
